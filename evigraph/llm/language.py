@@ -33,8 +33,10 @@ WORDS_KEPT, GRAMS_KEPT = 40_000, 30_000
 LONGEST_GRAM = 5
 #: Evidence of one word is cut at this many nats, so that no single word decides a long text.
 MOST = 7.0
+#: Weight of the n-grams of an unknown word against a known word.
+UNKNOWN = 0.5
 
-_WORD = regex.compile(r"(?V1)\p{Han}|[\p{Hiragana}\p{Katakana}ー]+|[[\p{L}\p{M}]--\p{Han}--\p{Hiragana}--\p{Katakana}]+")
+_WORD = regex.compile(r"(?V1)\p{Han}|[\p{Hiragana}\p{Katakana}ー]+|(?<![\d+/=_])[[\p{L}\p{M}]--\p{Han}--\p{Hiragana}--\p{Katakana}]++(?![\d+/=_])")
 
 
 def words_of(text: str) -> list[str]:
@@ -62,7 +64,7 @@ class LanguageModel:
         for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
             hit = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
             if hit:
-                return self.gram_scores[hit].mean(axis=0)
+                return UNKNOWN * self.gram_scores[hit].mean(axis=0)
         return np.zeros(len(self.codes), np.float32)
 
 
