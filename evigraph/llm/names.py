@@ -35,7 +35,7 @@ KNOWN_SUPPORT = 3
 
 #: The folded spelling of Cyrillic letters, and of Latin letters and groups of both transliterations.
 CYRILLIC = dict(zip("абвгғдезиійкқлмнңоөпрстуұүфхһыэәё", "abvggdeziiikklmnnooprstuuufhhieae", strict=True)) | {"ж": "j", "ц": "c", "ч": "q", "ш": "w", "щ": "w", "ъ": "", "ь": "", "ю": "iu", "я": "ia"}
-LATIN_GROUPS = {"shch": "w", "sh": "w", "ch": "q", "zh": "j", "kh": "h", "ts": "c", "yo": "e", "yu": "iu", "ya": "ia"}
+LATIN_GROUPS = {"shch": "w", "sh": "w", "ch": "q", "zh": "j", "kh": "h", "ts": "c", "yo": "e", "io": "e", "yu": "iu", "ya": "ia"}
 LATIN = {"y": "i", "q": "k", "ñ": "n", "ş": "w", "ç": "q", "ğ": "g", "ä": "a", "ö": "o", "ü": "u", "ū": "u", "ı": "i", "x": "h", "ə": "a", "w": "u", "ë": "e", "ß": "s", "â": "a", "î": "i"}
 
 #: Words for relatives that stand beside a name.
@@ -43,7 +43,7 @@ KIN = "ата атам атай аға ағам ағай аке әке әкем
 
 #: Case endings in folded spelling.
 KAZAKH_ENDINGS = ("nin", "din", "tin", "ga", "ge", "ka", "ke", "ni", "di", "ti", "da", "de", "ta", "te", "dan", "den", "tan", "ten", "nan", "nen", "men", "ben", "pen")
-RUSSIAN_HARD, RUSSIAN_A, RUSSIAN_IA, RUSSIAN_I = ("a", "u", "om", "e"), ("i", "e", "u", "oi", "ei"), ("i", "iu", "e", "ei"), ("ia", "iu", "em", "e")
+RUSSIAN_HARD, RUSSIAN_A, RUSSIAN_IA, RUSSIAN_I = ("a", "u", "om", "e"), ("i", "e", "u", "oi", "ei"), ("i", "iu", "e", "ei"), ("a", "ia", "u", "iu", "em", "e")
 
 _PATRONYMIC = re.compile(r"(uli|kizi|oviq|eviq|iniq|ovna|evna|iqna|[^aeiou]iq)$")
 _SURNAME = re.compile(r"(ov|ova|ev|eva|in|ina|ski|skaia|enko|iuk)$")
@@ -60,7 +60,7 @@ def fold(word: str, cyrillic: bool) -> str:
     while i < len(word):
         for n in (4, 2):
             g = LATIN_GROUPS.get(word[i : i + n])
-            if g is not None and len(word[i : i + n]) == n:
+            if g is not None and (i or word[i : i + n] != "io"):
                 out.append(g)
                 i += n
                 break
@@ -129,7 +129,7 @@ def inflected(form: str) -> list[str]:
     elif form.endswith("a"):
         out += [form[:-1] + e for e in RUSSIAN_A]
     elif form.endswith("i"):
-        out += [form[:-1] + e for e in RUSSIAN_I]
+        out += [form + e for e in RUSSIAN_I]
     else:
         out += [form + e for e in RUSSIAN_HARD]
     return ["".join(b for a, b in pairwise(" " + f) if a != b) for f in out]
