@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import hierarchies
+from evigraph.plans import hierarchies, text_queries
 
-MODULES = (hierarchies,)
+MODULES = (hierarchies, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
