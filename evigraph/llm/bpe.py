@@ -154,6 +154,7 @@ class Encoder:
         self.keep = keep
         by = self.vocabulary.token_bytes
         self.starts_char = np.array([bool(b) and b[0] & 0xC0 != 0x80 for b in by])
+        self.bytes = np.array([len(b) for b in by], dtype=np.int32)
         self.chars = np.array([sum(c & 0xC0 != 0x80 for c in b) for b in by], dtype=np.int32)
         self._reset()
 

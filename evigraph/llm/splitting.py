@@ -68,8 +68,9 @@ class Bisection:
         self.encoder, self.texts, self.ids = encoder, texts, ids
         self.starts = np.append(encoder.starts_char[ids], True)
         self.chars = np.concatenate([[0], np.cumsum(encoder.chars[ids])])
+        self.bytes = np.concatenate([[0], np.cumsum(encoder.bytes[ids])])
         self.start_before = np.maximum.accumulate(np.where(self.starts, np.arange(len(self.starts)), 0))
-        word_at = np.concatenate([[0], np.cumsum(size)])
+        self.word_at = word_at = np.concatenate([[0], np.cumsum(size)])
         self.word_start = np.zeros(len(ids) + 1, bool)
         self.word_start[word_at] = True
         # a unit begins at every word and, inside long words, at every character
@@ -156,7 +157,7 @@ def split_chunk(encoder: Encoder, keys: list, texts: list[str], budgets: list[tu
     found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in budgets]
     for k, *arrays in tree.leaves(budgets):
         found[k].append(tuple(arrays))
-    key_of = np.array(keys, dtype=object)
+    key_of = pa.array(keys, pa.int64())
     for k, (budget, limit, overlap) in enumerate(budgets):
         if not found[k]:
             continue
@@ -165,8 +166,10 @@ def split_chunk(encoder: Encoder, keys: list, texts: list[str], budgets: list[tu
         doc, lo, hi = doc[order], lo[order], hi[order]
         cut, end = tree.tokens[lo], tree.tokens[hi]
         start = tree.shared_from(cut, tree.doc_token[doc], overlap)
-        inside = np.flatnonzero(~tree.word_start[start] & (end - start > limit // 2))
-        for i in inside.tolist():
+        # a word that is cut has no more tokens by itself than bytes; only pieces that this could take over the limit are looked at
+        word_end = tree.word_at[np.searchsorted(tree.word_at, start)]
+        most_alone = end - np.minimum(word_end, end) + tree.bytes[np.minimum(word_end, end)] - tree.bytes[start]
+        for i in np.flatnonzero(most_alone > limit).tolist():
             while start[i] < cut[i] and tree.alone(int(doc[i]), int(start[i]), int(end[i])) > limit:
                 start[i] += 1
                 while not tree.starts[start[i]]:
@@ -177,9 +180,10 @@ def split_chunk(encoder: Encoder, keys: list, texts: list[str], budgets: list[tu
         a, b = tree.chars[start] - base_char, tree.chars[end] - base_char
         body = [texts[d][x:y] for d, x, y in zip(doc.tolist(), a.tolist(), b.tolist(), strict=True)]
         level = np.where(new, bpe.PARAGRAPH + 1, tree.strength[lo])
-        columns = [key_of[doc], [budget] * len(doc), number, a, b, start - base, end - base, end - start, cut - start, level, body]
-        for i in range(0, len(doc), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000], f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+        numbers = [pa.array(c.astype(np.int64), f.type, safe=False) for c, f in zip((number, a, b, start - base, end - base, end - start, cut - start, level), list(_ARROW)[2:10], strict=True)]
+        whole = pa.RecordBatch.from_arrays([key_of.take(pa.array(doc)), pa.repeat(budget, len(doc)), *numbers, pa.array(body, pa.string())], schema=_ARROW)
+        for i in range(0, len(doc), 20_000):
+            yield whole.slice(i, 20_000)
 
 
 def _split(batches: Iterator[pa.RecordBatch], budgets: list[tuple], path: str) -> Iterator[pa.RecordBatch]:
