@@ -17,10 +17,12 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evigraph.runtime import materialize
+
 #: Cyrillic and Greek letters that look like Latin ones.
 CYRILLIC_LIKE = "АВСЕНІЈКМОРЅТХУаеһіјорсԛѕхуԝӘәԁԚԜ"
 CYRILLIC_AS = "ABCEHIJKMOPSTXYaehijopcqsxywƏədQW"
@@ -136,20 +138,24 @@ def unified(df: DataFrame, text: str, out: str = "form") -> DataFrame:
     return df.withColumn(out, one_form(F.col(text)))
 
 
+def digest(column: str) -> Column:
+    """128 bits of a text: what is compared and moved in its place."""
+    return F.unhex(F.md5(column))
+
+
 def equal_looking(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
     """(key_a, key_b) of rows of one group whose texts look the same but are not equal.
 
-    The distinct texts of a form are paired first, and only then their rows, so copies of one text never meet each other.
-    Forms with a single text, nearly all of them, leave before any join.
+    Texts and forms are read once and go on as digests. The distinct texts of a form are paired first, and only then their
+    rows, so copies of one text never meet each other. Forms with a single text, nearly all of them, leave before any join.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text")).distinct()
-    texts = unified(rows.select("grp", "text").distinct(), "text")
-    texts = texts.select("grp", F.sha2("form", 256).alias("form"), "text")
-    many = texts.groupBy("grp", "form").count().where("count > 1").select("grp", "form")
-    texts = texts.join(many, ["grp", "form"], "left_semi")
-    both = texts.select("grp", "form", F.col("text").alias("text_a")).join(texts.select("grp", "form", F.col("text").alias("text_b")), ["grp", "form"]).where("text_a < text_b")
+    rows = df.where(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text"))
+    rows = materialize(unified(rows, "text").select("key", "grp", digest("text").alias("text"), digest("form").alias("form")).distinct())
+    many = rows.groupBy("grp", "form").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("grp", "form")
+    rows = rows.join(many, ["grp", "form"], "left_semi")
+    texts = rows.select("grp", "form", "text").distinct()
+    both = texts.withColumnRenamed("text", "text_a").join(texts.withColumnRenamed("text", "text_b"), ["grp", "form"]).where("text_a < text_b").drop("form")
     left = rows.select("grp", F.col("text").alias("text_a"), F.col("key").alias("a"))
     right = rows.select("grp", F.col("text").alias("text_b"), F.col("key").alias("b"))
     pairs = both.join(left, ["grp", "text_a"]).join(right, ["grp", "text_b"]).where("a <> b")
     return pairs.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
-
