@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.lookalike import transducer
-from evigraph.runtime import spread
+from evigraph.runtime import bounded, spread
 
 #: The bound of the fitted sample: so many labelled documents, none longer than so many characters.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 4_000, 20_000
@@ -223,8 +223,10 @@ def _label(batches: Iterator[pa.RecordBatch], model, source: str) -> Iterator[pa
 
 def training_sample(documents: DataFrame, codes: list[str], most: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
     """At most ``most`` labelled documents of bounded length, chosen by the hash of their id."""
-    rows = documents.where(F.col("lang").isin(codes) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    return [(r["lang"], r["text"]) for r in rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(most).select("lang", "text").collect()]
+    labelled = documents.where(F.col("lang").isin(codes) & F.col("text").isNotNull())
+    rows = labelled.where(F.length("text") <= SAMPLE_CHARS).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+    rows = bounded(rows, labelled.count(), most).orderBy("h", "doc_id").limit(most)
+    return [(r["lang"], r["text"]) for r in rows.select("lang", "text").collect()]
 
 
 def label_pieces(df: DataFrame, source: str, record_id: str, pieces: str, model) -> DataFrame:
@@ -259,5 +261,5 @@ def mislabelled(pieces: DataFrame, labels: DataFrame) -> DataFrame:
 def by_record(pieces: DataFrame) -> DataFrame:
     """(source, record_id, lang, confidence, n_pieces, n_languages): the language with most words of each record."""
     per = pieces.where("lang is not null").groupBy("source", "record_id", "lang").agg(F.sum("n_words").alias("w"), F.sum(F.col("n_words") * F.col("confidence")).alias("c"), F.count("*").alias("p"))
-    out = per.groupBy("source", "record_id").agg(F.max(F.struct("w", "lang", "c")).alias("m"), F.sum("w").alias("words"), F.sum("p").alias("n_pieces"), F.count("*").alias("n_languages"))
+    out = per.groupBy("source", "record_id").agg(F.min(F.struct((-F.col("w")).alias("w"), "lang", "c")).alias("m"), F.sum("w").alias("words"), F.sum("p").alias("n_pieces"), F.count("*").alias("n_languages"))
     return out.select("source", "record_id", "m.lang", (F.col("m.c") / F.col("words")).alias("confidence"), "n_pieces", "n_languages")

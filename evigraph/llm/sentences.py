@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.runtime import bounded
+
 #: The bound of the fitted sample, in transcripts of each table.
 SAMPLE_CASES = 3_000
 DIMENSIONS = 1 << 18
@@ -253,7 +255,8 @@ def _cut(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
 def training_sample(cases: DataFrame, key: str, segments: str, most: int = SAMPLE_CASES) -> list[list[str]]:
     """The segments of at most ``most`` transcripts, chosen by the hash of their key."""
     rows = cases.select(F.col(key).alias("k"), F.col(segments).alias("s")).where(F.aggregate("s", F.lit(0), lambda n, t: n + F.coalesce(F.length(t), F.lit(0))) < 40_000)
-    return [list(r["s"]) for r in rows.select("k", "s", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(most).select("s").collect()]
+    rows = bounded(rows.select("k", "s", F.xxhash64("k").alias("h")), cases.count(), most)
+    return [list(r["s"]) for r in rows.orderBy("h", "k").limit(most).select("s").collect()]
 
 
 def sentences(texts: DataFrame, model) -> DataFrame:
