@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import graph_queries, hierarchies, text_queries
+from evigraph.plans import graph_queries, hierarchies, language_queries, text_queries
 
-MODULES = (hierarchies, text_queries, graph_queries)
+MODULES = (hierarchies, text_queries, graph_queries, language_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
