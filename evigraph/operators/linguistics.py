@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import kinship as K
 from evigraph.functions import lexicon
+from evigraph.runtime import ship
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = {"«": "»", "“": "”", "„": "“"}
@@ -300,6 +301,7 @@ def _annotate(batches):
 
 def annotate(transcripts: DataFrame) -> DataFrame:
     """Annotations of (record, segments) rows; Python because offsets of words need a scanner."""
+    ship(transcripts.sparkSession)
     return transcripts.select("record", "segments").mapInArrow(_annotate, ANNOTATED)
 
 
@@ -318,6 +320,7 @@ def _names(batches):
 
 def name_occurrences(joined: DataFrame) -> DataFrame:
     """Where each person of a record is named, and in which form."""
+    ship(joined.sparkSession)
     return joined.select("record", "segments", "people").mapInArrow(_names, "record string, segment_id string, mention_id string, start_char int, end_char int, surface string, form string")
 
 
@@ -337,6 +340,7 @@ def _signals(batches):
 
 def relationship_signals(joined: DataFrame) -> DataFrame:
     """The relationships that the segments state."""
+    ship(joined.sparkSession)
     return joined.select("record", "speaker", "segments", "people").mapInArrow(_signals, ", ".join(f"{f.name} string" for f in _SIGNALS))
 
 
@@ -349,6 +353,7 @@ def _links(batches):
 
 def coreference_links(joined: DataFrame) -> DataFrame:
     """Third-person words before kinship, with candidates and status."""
+    ship(joined.sparkSession)
     return joined.select("record", "segments", "people").mapInArrow(_links, "record string, segment_id string, start_char int, end_char int, surface string, number string, status string, antecedents string, candidates string")
 
 

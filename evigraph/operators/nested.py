@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evigraph.runtime import ship
+
 
 @dataclass(frozen=True)
 class Entity:
@@ -147,6 +149,7 @@ def _emit(batches: Iterator[pa.RecordBatch], source: str, layout: Layout, with_p
 
 def flatten_records(df: DataFrame, source: str, record_id: str, document: str, layout: Layout, with_payload: bool = True) -> DataFrame:
     """Tagged rows (source, record_id, entity, entity_id, parent_entity, parent_id, payload) of all documents of ``df``."""
+    ship(df.sparkSession)
     two = df.where(F.col(document).isNotNull() & F.col(record_id).isNotNull()).select(F.col(record_id).alias("record_id"), F.col(document).alias("document"))
     return two.mapInArrow(partial(_emit, source=source, layout=layout, with_payload=with_payload), TAGGED)
 
@@ -158,9 +161,8 @@ def write_tables(tagged: DataFrame, path: str) -> None:
 
 def typed(tagged: DataFrame, entity: str) -> DataFrame:
     """One flat table with typed columns; equal rows that were delivered twice come once."""
-    schema = T.StructType.fromDDL(SCHEMAS[entity]) if hasattr(T.StructType, "fromDDL") else SCHEMAS[entity]
     rows = tagged.where(F.col("entity") == entity).distinct()
-    return rows.select("source", "record_id", "entity_id", "parent_entity", "parent_id", F.from_json("payload", schema).alias("p")).select("source", "record_id", "entity_id", "parent_entity", "parent_id", "p.*")
+    return rows.select("source", "record_id", "entity_id", "parent_entity", "parent_id", F.from_json("payload", SCHEMAS[entity]).alias("p")).select("source", "record_id", "entity_id", "parent_entity", "parent_id", "p.*")
 
 
 def read_table(spark, path: str, entity: str) -> DataFrame:

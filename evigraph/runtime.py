@@ -20,9 +20,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors of other hosts; in local mode it already is."""
+    """Make this package importable in Python workers, wherever they run and whatever their folder is; once a context."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_evigraph_shipped", False):
+    if getattr(sc, "_evigraph_shipped", False):
         return
     target = Path(tempfile.mkdtemp(prefix="evigraph-")) / "evigraph.zip"
     with zipfile.ZipFile(target, "w") as z:
@@ -47,6 +47,7 @@ def materialize(df: DataFrame) -> DataFrame:
     Unlike a cached table the copy outlives the executors that made it.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/evigraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -69,6 +70,7 @@ def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
 
     A large input has many splits already and is not shuffled; a small file would otherwise run as one task.
     """
+    ship(df.sparkSession)
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df.repartition(want, *keys) if df.rdd.getNumPartitions() * 2 <= want else df
 
