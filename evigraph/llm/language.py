@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.lookalike import transducer
-from evigraph.runtime import bounded, spread
+from evigraph.runtime import bounded, ship, spread
 
 #: The bound of the fitted sample: so many labelled documents, none longer than so many characters.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 4_000, 20_000
@@ -231,6 +231,7 @@ def training_sample(documents: DataFrame, codes: list[str], most: int = SAMPLE_D
 
 def label_pieces(df: DataFrame, source: str, record_id: str, pieces: str, model) -> DataFrame:
     """One row a piece of each record. ``pieces``: a column with an array of texts; ``model``: a broadcast model."""
+    ship(df.sparkSession)
     return df.select(F.col(record_id).cast("string").alias("record_id"), F.col(pieces).alias("pieces")).mapInArrow(partial(_label, model=model, source=source), PIECES)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigraph.runtime import materialize
+from evigraph.runtime import materialize, ship
 
 #: Cyrillic and Greek letters that look like Latin ones.
 CYRILLIC_LIKE = "АВСЕНІЈКМОРЅТХУаеһіјорсԛѕхуԝӘәԁԚԜ"
@@ -135,6 +135,7 @@ def one_form(texts: pd.Series) -> pd.Series:
 
 def unified(df: DataFrame, text: str, out: str = "form") -> DataFrame:
     """``df`` with the one form of ``text`` as a further column."""
+    ship(df.sparkSession)
     return df.withColumn(out, one_form(F.col(text)))
 
 

@@ -21,29 +21,29 @@ from itertools import pairwise
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evigraph.llm.lookalike import CYRILLIC_AS, CYRILLIC_LIKE, transducer
-from evigraph.runtime import materialize
+from evigraph.runtime import materialize, ship
 
 #: Names in one trie, and words of mentions run through one copy of it; larger families are cut into more shards.
 TRIE_NAMES, SHARD_WORDS = 20_000, 20_000
 #: Profiles that must share a form before it counts as known.
 KNOWN_SUPPORT = 3
 
-#: The folded spelling of Cyrillic letters, and of Latin letters and groups of both transliterations.
-CYRILLIC = dict(zip("абвгғдезиійкқлмнңоөпрстуұүфхһыэәё", "abvggdeziiikklmnnooprstuuufhhieae", strict=True)) | {"ж": "j", "ц": "c", "ч": "q", "ш": "w", "щ": "w", "ъ": "", "ь": "", "ю": "iu", "я": "ia"}
-LATIN_GROUPS = {"shch": "w", "sh": "w", "ch": "q", "zh": "j", "kh": "h", "ts": "c", "yo": "e", "io": "e", "yu": "iu", "ya": "ia"}
-LATIN = {"y": "i", "q": "k", "ñ": "n", "ş": "w", "ç": "q", "ğ": "g", "ä": "a", "ö": "o", "ü": "u", "ū": "u", "ı": "i", "x": "h", "ə": "a", "w": "u", "ë": "e", "ß": "s", "â": "a", "î": "i"}
+#: The symbol of each Cyrillic letter, and of Latin letters and groups of both transliterations; 9 is ya, 8 is yu.
+CYRILLIC = dict(zip("абвгғдезиійкқлмнңоөпрстуұүфхһыэәё", "abvggdeziiikklmnnooprstuuufhhieae", strict=True)) | {"ж": "j", "ц": "c", "ч": "q", "ш": "w", "щ": "w", "ъ": "", "ь": "", "ю": "8", "я": "9"}
+LATIN_GROUPS = {"shch": "w", "sh": "w", "ch": "q", "zh": "j", "kh": "h", "ts": "c", "yo": "e", "yu": "8", "ya": "9", "iu": "8", "ia": "9", "io": "e"}
+LATIN = {"y": "i", "q": "k", "ñ": "n", "ş": "w", "ç": "q", "ğ": "g", "ä": "a", "ö": "o", "ü": "u", "ū": "u", "x": "h", "ə": "a", "w": "u", "ë": "e", "ß": "s", "â": "a", "î": "i"}
 
 #: Words for relatives that stand beside a name.
 KIN = "ата атам атай аға ағам ағай аке әке әкем ана анам апа апам апай апке әпке әже әжем әжей тәте тәтем көке көкем іні інім қарындас дед деда дедушка баба бабушка бабуля дядя тётя тетя тётка мама папа отец мать брат сестра сын дочь внук внучка ata aga agai agay apa apai apay azhe aje tate koke ded dedushka baba babushka dyadya tyotya tetya uncle aunt auntie grandmother grandfather grandma grandpa mother father brother sister onkel tante oma opa großmutter großvater teyze amca dede nine"
 
 #: Case endings in folded spelling.
 KAZAKH_ENDINGS = ("nin", "din", "tin", "ga", "ge", "ka", "ke", "ni", "di", "ti", "da", "de", "ta", "te", "dan", "den", "tan", "ten", "nan", "nen", "men", "ben", "pen")
-RUSSIAN_HARD, RUSSIAN_A, RUSSIAN_IA, RUSSIAN_I = ("a", "u", "om", "e"), ("i", "e", "u", "oi", "ei"), ("i", "iu", "e", "ei"), ("a", "ia", "u", "iu", "em", "e")
+RUSSIAN_HARD, RUSSIAN_A, RUSSIAN_IA, RUSSIAN_I = ("a", "u", "om", "e"), ("i", "e", "u", "oi", "ei"), ("i", "iu", "e", "ei", "ie", "iei"), ("a", "ia", "u", "iu", "em", "e")
 
 _PATRONYMIC = re.compile(r"(uli|kizi|oviq|eviq|iniq|ovna|evna|iqna|[^aeiou]iq)$")
 _SURNAME = re.compile(r"(ov|ova|ev|eva|in|ina|ski|skaia|enko|iuk)$")
@@ -52,32 +52,44 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=200_000)
-def fold(word: str, cyrillic: bool) -> str:
-    """The folded spelling of one word in its one form."""
+def letters(word: str, cyrillic: bool) -> str:
+    """One word in its one form as symbols, one for each letter, in which both scripts and all transliterations agree."""
     word = word if not cyrillic else "".join(_BACK.get(c, c) for c in word)
-    word = word.lower().replace("ё", "ё").replace("й", "й")
+    word = word.lower().replace("\u0451", "ё").replace("ı", "i").replace("i\u0307", "i")
     out, i = [], 0
     while i < len(word):
         for n in (4, 2):
-            g = LATIN_GROUPS.get(word[i : i + n])
-            if g is not None and (i or word[i : i + n] != "io"):
-                out.append(g)
+            g = word[i : i + n]
+            # io is yo inside a word, but not in the ending of surnames in -iov, nor at the start
+            if g in LATIN_GROUPS and (g != "io" or i and word[i + 2 : i + 3] != "v"):
+                out.append(LATIN_GROUPS[g])
                 i += n
                 break
         else:
             c = word[i]
             out.append(CYRILLIC.get(c, LATIN.get(c, c if c.isascii() else "")))
             i += 1
-    text = "".join(out)
+    return "".join(out)
+
+
+@lru_cache(maxsize=200_000)
+def fold(symbols: str) -> str:
+    """The spelling in which words are equal: ya and yu written out, doubled letters once."""
+    text = symbols.replace("9", "ia").replace("8", "iu")
     return "".join(b for a, b in pairwise(" " + text) if a != b)
 
 
+def folded(c: Column) -> Column:
+    """``fold`` of a column."""
+    return F.regexp_replace(F.replace(F.replace(c, F.lit("9"), F.lit("ia")), F.lit("8"), F.lit("iu")), r"(.)\1+", "$1")
+
+
 _ONLY_LATIN = re.compile(r"[bdfgjklmnqrtuvwzDFGJLNQRUVWZäöüñğşūıçÄÖÜÑĞŞŪÇ]")
 _ONLY_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 
 
 def words_of(name: str) -> list[str]:
-    """The folded words of a name, kin terms left out; initials are single letters."""
+    """The words of a name as symbols, kin terms left out; a Cyrillic initial stays the capital letter that it is."""
     raw = _LETTERS.findall(transducer().apply(name or "").replace("'", ""))
     cyr = [bool(_ONLY_CYRILLIC.search(w)) for w in raw]
     lat = [bool(_ONLY_LATIN.search(w)) for w in raw]
@@ -88,24 +100,35 @@ def words_of(name: str) -> list[str]:
             c = len(_ONLY_CYRILLIC.findall(w)) >= len(_ONLY_LATIN.findall(w))
         elif not c and not la:
             c = default
-        f = fold(w, c)
+        f = letters(w, c)
         if f:
-            words.append(f[:1] if len(w) == 1 and f not in ("ia", "iu") else f)
-    rest = [w for w in words if w not in _kin()]
+            words.append(_cyrillic(w).upper() if len(w) == 1 and c else f)
+    rest = [w for w in words if fold(w) not in _kin()]
     return rest if any(len(w) > 1 for w in rest) else words
 
 
+def _cyrillic(word: str) -> str:
+    return "".join(_BACK.get(c, c) for c in word)
+
+
+def capitals_of(name: str) -> list[str]:
+    """The capitals that the Cyrillic words of a name begin with."""
+    raw = _LETTERS.findall(transducer().apply(name or ""))
+    return sorted({_cyrillic(w)[0].upper() for w in raw if _ONLY_CYRILLIC.search(w)})
+
+
 @lru_cache(maxsize=1)
 def _kin() -> frozenset[str]:
-    return frozenset(fold(transducer().apply(w), bool(_ONLY_CYRILLIC.search(transducer().apply(w)))) for w in KIN.split())
+    apply = transducer().apply
+    return frozenset(fold(letters(apply(w), bool(_ONLY_CYRILLIC.search(w)))) for w in KIN.split())
 
 
 def is_patronymic(word: str) -> bool:
-    return len(word) > 5 and bool(_PATRONYMIC.search(word))
+    return len(word) > 4 and bool(_PATRONYMIC.search(fold(word)))
 
 
 def is_surname(word: str) -> bool:
-    return len(word) > 3 and bool(_SURNAME.search(word))
+    return len(word) > 3 and bool(_SURNAME.search(fold(word)))
 
 
 def parts_of(name: str) -> tuple[list[str], list[str], list[str]]:
@@ -121,23 +144,25 @@ def parts_of(name: str) -> tuple[list[str], list[str], list[str]]:
     return rest[:1], rest[1:], patronymics
 
 
-def inflected(form: str) -> list[str]:
-    """Case forms of a name in folded spelling."""
+@lru_cache(maxsize=100_000)
+def inflected(name: str) -> tuple[str, ...]:
+    """Case forms of a name, folded."""
+    form = fold(name)
     out = [form + e for e in KAZAKH_ENDINGS]
     if form.endswith("ia"):
         out += [form[:-2] + e for e in RUSSIAN_IA]
     elif form.endswith("a"):
         out += [form[:-1] + e for e in RUSSIAN_A]
     elif form.endswith("i"):
-        out += [form + e for e in RUSSIAN_I]
+        out += [x + e for e in RUSSIAN_I for x in (form, form[:-1])]
     else:
         out += [form + e for e in RUSSIAN_HARD]
-    return ["".join(b for a, b in pairwise(" " + f) if a != b) for f in out]
+    return tuple(sorted({fold(f) for f in out} - {form}))
 
 
 def allowed(word: str) -> int:
     """The distance within which a word of this length may be another one misspelt."""
-    return 0 if len(word) < 4 else 1 if len(word) < 8 else 2
+    return 0 if len(word) < 4 else 1 if len(word) < 9 else 2
 
 
 class Trie:
@@ -202,24 +227,24 @@ _MATCHES = pa.schema([("family_id", pa.string()), ("word", pa.string()), ("name"
 
 def _trie_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards arrive in order, the names of each before its words; one trie of each kind is held at a time."""
-    key, tries, exact, bent = None, {}, {}, {}
+    key, tries, same, bent = None, {}, {}, {}
     for b in batches:
         rows = []
         for family, t, s, side, text, kind in zip(*(b.column(n).to_pylist() for n in ("family_id", "t", "s", "side", "text", "kind")), strict=True):
             if (family, t, s) != key:
                 key = (family, t, s)
-                tries, exact, bent = {GIVEN: Trie(), SURNAME: Trie()}, {GIVEN: set(), SURNAME: set()}, {}
+                tries, same, bent = {GIVEN: Trie(), SURNAME: Trie()}, {GIVEN: {}, SURNAME: {}}, {}
             if side == 0:
                 tries[kind].add(text)
-                exact[kind].add(text)
+                same[kind].setdefault(fold(text), set()).add(text)
                 if kind == GIVEN:
                     for f in inflected(text):
                         bent.setdefault(f, set()).add(text)
                 continue
             for k in (GIVEN, SURNAME):
-                for name, d in tries[k].near(text, allowed(text)):
-                    rows.append((family, text, name, k, d, False))
-            rows.extend((family, text, name, GIVEN, 0, True) for name in bent.get(text, ()))
+                found = dict(tries[k].near(text, allowed(text))) | dict.fromkeys(same[k].get(fold(text), ()), 0)
+                rows.extend((family, text, name, k, d, False) for name, d in sorted(found.items()))
+            rows.extend((family, text, name, GIVEN, 0, True) for name in sorted(bent.get(fold(text), ())))
         columns = zip(*rows, strict=True) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MATCHES, strict=True)], schema=_MATCHES)
 
@@ -230,6 +255,7 @@ def trie_join(names: DataFrame, words: DataFrame, trie_names: int = TRIE_NAMES,
     ``names``: family_id, text, kind; ``words``: family_id, text; both distinct. A family with many names has several tries,
     and its words visit each; a family with many words has several copies of its tries, and each word visits one.
     """
+    ship(names.sparkSession)
     n = names.groupBy("family_id").agg(F.ceil(F.count("*") / trie_names).cast("int").alias("tries"))
     w = words.groupBy("family_id").agg(F.ceil(F.count("*") / shard_words).cast("int").alias("copies"))
     size = n.join(w, "family_id")
@@ -239,7 +265,7 @@ def trie_join(names: DataFrame, words: DataFrame, trie_names: int = TRIE_NAMES,
     return shards.mapInArrow(_trie_join, MATCHES)
 
 
-PARTS = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("givens", "surnames", "patronymics", "shorts", "other_surnames")])
+PARTS = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("givens", "surnames", "patronymics", "shorts", "other_surnames", "capitals")])
 
 
 @F.pandas_udf(PARTS)
@@ -259,7 +285,7 @@ def _profile_parts(canonical: pd.Series, aliases: pd.Series) -> pd.DataFrame:
                     shorts += g
                     others += s
                     patronymics = patronymics + p
-        out.append((sorted(set(givens)), sorted(set(surnames)), sorted(set(patronymics)), sorted(set(shorts) - set(givens)), sorted(set(others))))
+        out.append((sorted(set(givens)), sorted(set(surnames)), sorted(set(patronymics)), sorted(w for w in set(shorts) if fold(w) not in map(fold, givens)), sorted(set(others)), sorted({c for n in (name, *(own if own is not None else ())) for c in capitals_of(n or "")})))
     return pd.DataFrame(out, columns=PARTS.names)
 
 
@@ -278,48 +304,61 @@ def profile_parts(profiles: DataFrame) -> DataFrame:
 def short_forms(parts: DataFrame, known: DataFrame, support: int = 2) -> DataFrame:
     """(given, short) pairs: the known ones, and aliases that at least ``support`` profiles of one given name share."""
     table = known.select(_mention_words("given_name")[0].alias("given"), _mention_words("short_form")[0].alias("short"))
-    shared = parts.select("person_id", F.explode("givens").alias("given"), "shorts").select("person_id", "given", F.explode("shorts").alias("short")).groupBy("given", "short").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    return table.unionByName(shared.select("given", "short")).where("given is not null and short is not null and given <> short").distinct()
+    shared = parts.select("person_id", F.explode("givens").alias("given"), "shorts").select("person_id", "given", F.explode("shorts").alias("short")).groupBy(F.col("given"), F.col("short")).agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    return table.unionByName(shared.select("given", "short")).where("given is not null and short is not null").where(folded(F.col("given")) != folded(F.col("short"))).distinct()
 
 
 def _min(words: list[str], word: str, bound: int) -> int:
-    return min((distance(word, w, bound) for w in words), default=bound + 1)
+    """The least distance to one of ``words``, or bound + 1; words that fold to one are equal."""
+    f = fold(word)
+    return min((0 if fold(w) == f else distance(word, w, bound) for w in words), default=bound + 1)
+
+
+def _begins(name: str, initial: str, capitals: list[str]) -> bool:
+    """Whether a name begins with an initial; Cyrillic capitals that only look or sound alike are told apart."""
+    symbol = letters(initial, initial.isupper())
+    return name.startswith(symbol) and (not initial.isupper() or not capitals or initial in capitals)
 
 
 def judge(words: list[str], person: dict, known: set[str]) -> float | None:
-    """How badly a mention's words fit a person over all orders of its parts; None where they do not fit at all."""
+    """How badly a mention's words fit a person over all orders of its parts; None where they do not fit at all.
+
+    ``known`` holds the folded words that are names by themselves: they are never taken for misspelt other names.
+    """
     full = [w for w in words if len(w) > 1]
     initials = [w for w in words if len(w) == 1]
     surnames, others, patronymics = person["surnames"], person["other_surnames"], person["patronymics"]
-    first = [*person["givens"], *person["shorts"]]
-    if initials and any(is_surname(w) for w in full) and not any(w in first for w in full):
+    givens, shorts, more = person["givens"], person["shorts"], person["more"]
+    first = [*givens, *shorts, *more]
+    if initials and any(is_surname(w) for w in full) and not any(fold(w) in map(fold, first) for w in full):
         surname = next((w for w in full if is_surname(w)), full[0])
-        bound = 0 if surname in known else 1
+        bound = 0 if fold(surname) in known else 1
         d = min(_min(surnames, surname, bound), _min(others, surname, bound))
         if d > bound or not any((s[-1] == "a") == (surname[-1] == "a") for s in [*surnames, *others]):
             return None
-        if not any(g.startswith(initials[0]) for g in person["givens"]):
+        if not any(_begins(g, initials[0], person["capitals"]) for g in givens):
             return None
         if len(initials) > 1:
-            if patronymics and not any(p.startswith(initials[1]) for p in patronymics):
+            if patronymics and not any(_begins(p, initials[1], person["capitals"]) for p in patronymics):
                 return None
             return d + (0.1 if patronymics else 0.3)
         return d + 0.2
     best: float | None = None
     for i, word in enumerate(full):
-        bound = 0 if word in known else allowed(word)
-        cost = 0.0 if word in person["givens"] else 0.05 if word in person["shorts"] else 0.15 if word in person["more"] else None
-        if cost is None and any(word in inflected(g) for g in [*first, *person["more"]]):
+        f = fold(word)
+        cost = next((c for c, names in ((0.0, givens), (0.05, shorts), (0.15, more)) if any(fold(n) == f for n in names)), None)
+        if cost is None and any(f in inflected(g) for g in first):
             cost = 0.2
         if cost is None:
-            d = _min([*first, *person["more"]], word, min(bound, 1 if len(word) < 9 else 2))
-            if d > bound or d > (1 if len(word) < 9 else 2) or d == 0:
+            bound = 0 if f in known else allowed(word)
+            d = _min(first, word, bound)
+            if d > bound:
                 continue
             cost = float(d)
         for j, w in enumerate(full):
             if j == i:
                 continue
-            b = 0 if w in known else allowed(w)
+            b = 0 if fold(w) in known else allowed(w)
             s, o, p = _min(surnames, w, b), _min(others, w, b), _min(patronymics, w, b)
             if min(s, o, p) <= b:
                 cost += min(s, o + 0.05, p)
@@ -327,10 +366,10 @@ def judge(words: list[str], person: dict, known: set[str]) -> float | None:
                 cost += 9.0 if patronymics else 0.2
             elif is_surname(w):
                 cost += 9.0 if surnames else 0.3
-            elif w in first or w in person["more"] or any(w in inflected(x) for x in [*surnames, *patronymics]):
+            elif any(fold(w) == fold(n) for n in first) or any(fold(w) in inflected(x) for x in [*surnames, *patronymics]):
                 cost += 0.1
             else:
-                cost += 9.0
+                cost += 9.0 if surnames or fold(w) in known else 0.6
         if initials:
             cost += 0.1
         if cost < 3 and (best is None or cost < best):
@@ -342,7 +381,7 @@ _JUDGED = pa.schema([("mention_id", pa.string()), ("person_id", pa.string()), ("
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("givens", "surnames", "patronymics", "shorts", "other_surnames", "more")
+    names = ("givens", "surnames", "patronymics", "shorts", "other_surnames", "capitals", "more")
     for b in batches:
         rows = []
         for r in b.to_pylist():
@@ -358,12 +397,14 @@ def link_mentions(mentions: DataFrame, profiles: DataFrame, known_forms: DataFra
 
     ``mentions``: mention_id, family_id, name.
     """
+    ship(mentions.sparkSession)
     own = mentions.where("mention_id is not null and family_id is not null and name is not null").select("mention_id", "family_id", "name").distinct()
     texts = own.select("family_id", "name").distinct().select("family_id", "name", _mention_words("name").alias("words")).where(F.size("words") > 0)
     texts = materialize(texts)
     parts = materialize(profile_parts(profiles))
     shorts = short_forms(parts, known_forms)
-    more = parts.select("family_id", "person_id", F.explode("givens").alias("given")).join(shorts, "given").groupBy("family_id", "person_id").agg(F.array_sort(F.collect_set("short")).alias("more"))
+    by_given = shorts.select(folded(F.col("given")).alias("f"), "short").distinct()
+    more = parts.select("family_id", "person_id", F.explode("givens").alias("given")).select("family_id", "person_id", folded(F.col("given")).alias("f")).join(by_given, "f").groupBy("family_id", "person_id").agg(F.array_sort(F.collect_set("short")).alias("more"))
     people = materialize(parts.join(more, ["family_id", "person_id"], "left"))
     given = people.select("family_id", "person_id", F.explode(F.array_distinct(F.concat("givens", "shorts", F.coalesce("more", F.array().cast("array<string>"))))).alias("text"), F.lit(GIVEN).alias("kind"))
     family = people.select("family_id", "person_id", F.explode(F.array_distinct(F.concat("surnames", "other_surnames"))).alias("text"), F.lit(SURNAME).alias("kind"))
@@ -371,8 +412,8 @@ def link_mentions(mentions: DataFrame, profiles: DataFrame, known_forms: DataFra
     names = by_person.select("family_id", "text", "kind").distinct()
     words = texts.select("family_id", F.explode("words").alias("text")).where(F.length("text") > 1).distinct()
     matches = materialize(trie_join(names, words))
-    known = by_person.groupBy("text").agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN_SUPPORT).select("text")
-    known_of = texts.select("family_id", "name", F.explode("words").alias("text")).join(known, "text", "left_semi").groupBy("family_id", "name").agg(F.collect_set("text").alias("known"))
+    known = by_person.groupBy(folded(F.col("text")).alias("text")).agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN_SUPPORT).select("text")
+    known_of = texts.select("family_id", "name", F.explode("words").alias("w")).select("family_id", "name", folded(F.col("w")).alias("text")).join(known, "text", "left_semi").groupBy("family_id", "name").agg(F.collect_set("text").alias("known"))
     texts = texts.withColumn("initial", F.exists("words", lambda w: F.length(w) == 1))
     found = texts.select("family_id", F.col("name").alias("spelling"), "initial", F.explode("words").alias("word")).join(matches, ["family_id", "word"]).where((F.col("kind") == GIVEN) | F.col("initial"))
     pairs = found.select("family_id", "spelling", F.col("name").alias("text"), "kind").join(by_person, ["family_id", "text", "kind"]).select("family_id", "spelling", "person_id").distinct()
@@ -380,7 +421,7 @@ def link_mentions(mentions: DataFrame, profiles: DataFrame, known_forms: DataFra
         pairs.join(texts.select("family_id", F.col("name").alias("spelling"), "words"), ["family_id", "spelling"])
         .join(known_of.withColumnRenamed("name", "spelling"), ["family_id", "spelling"], "left")
         .join(people, ["family_id", "person_id"])
-        .select(F.to_json(F.struct("family_id", "spelling")).alias("mention_id"), "person_id", "words", "known", "givens", "surnames", "patronymics", "shorts", "other_surnames", "more")
+        .select(F.to_json(F.struct("family_id", "spelling")).alias("mention_id"), "person_id", "words", "known", "givens", "surnames", "patronymics", "shorts", "other_surnames", "capitals", "more")
     )
     judged = full.mapInArrow(_judge, "mention_id string, person_id string, cost double")
     best = judged.groupBy("mention_id").agg(F.min(F.struct("cost", "person_id")).alias("first"), F.sort_array(F.collect_list("cost")).alias("costs"))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.runtime import bounded
+from evigraph.runtime import bounded, ship
 
 #: The bound of the fitted sample, in transcripts of each table.
 SAMPLE_CASES = 3_000
@@ -261,6 +261,7 @@ def training_sample(cases: DataFrame, key: str, segments: str, most: int = SAMPL
 
 def sentences(texts: DataFrame, model) -> DataFrame:
     """(case_id, field, start_char, end_char) of (case_id, field, text) rows; ``model`` is a broadcast one."""
+    ship(texts.sparkSession)
     return texts.where(F.col("text").isNotNull()).select("case_id", "field", "text").mapInArrow(partial(_cut, model=model), SENTENCES)
 
 
