@@ -31,10 +31,13 @@ SAMPLE_CASES = 3_000
 DIMENSIONS = 1 << 18
 #: A quotation that does not close within so many characters is not taken for one.
 LONGEST_QUOTE = 400
+#: Below and above these shares an unlabelled place counts as known in the later fits.
+UNLIKELY, LIKELY = 0.2, 0.6
 
 _MARKS = r"[.!?…。！？।॥．｡]"
 _CLOSERS = "\"'»”“’」』)）]＂"
-_CANDIDATE = regex.compile(rf"(?P<mark>{_MARKS}+)(?P<close>[\"'»”’」』\)）\]＂“]*)(?P<space>\s*)|(?P<line>[^\S\n]*\n\s*)|(?P<gap>(?<=[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}ー”」』\d])[^\S\n]+(?=[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}“「『\d]))")
+_BARE = r"\p{Han}\p{Hiragana}\p{Katakana}"
+_CANDIDATE = regex.compile(rf"(?P<mark>{_MARKS}+)(?P<close>[\"'»”’」』\)）\]＂“]*)(?P<space>\s*)|(?P<line>[^\S\n]*\n\s*)|(?P<gap>(?<=[{_BARE}ー”」』])[^\S\n]+(?=[{_BARE}“「『\d])|(?<=\d)[^\S\n]+(?=[{_BARE}“「『]))")
 _TOKEN = regex.compile(r"\p{Han}|[\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+|\d+|[^\s\p{L}\p{M}\d]")
 _PAIRS = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "‹": "›"}
 
@@ -98,6 +101,8 @@ def _word(token: str) -> str:
 def candidates(text: str) -> list[Candidate]:
     """All candidate boundaries of a text in order, the end of the text left out."""
     quotes = quotations(text)
+    first = regex.search(r"\p{L}", text)
+    style = "l" if first and first.group().islower() else "u"
     out = []
     q = 0
     inside_until = -1
@@ -110,7 +115,7 @@ def candidates(text: str) -> list[Candidate]:
             end, next_ = start, m.end()
             if next_ >= len(text) or not text[:end].strip():
                 continue
-            out.append(Candidate(end, next_, inside_until < start, _features(text, start, start, next_, "\n" if m["line"] is not None else "_", "", m.group(), inside_until >= end)))
+            out.append(Candidate(end, next_, inside_until < start, _features(text, start, start, next_, "\n" if m["line"] is not None else "_", "", m.group(), inside_until >= end, style)))
             continue
         mark, close = m["mark"], m["close"]
         end = m.end("close")
@@ -123,11 +128,12 @@ def candidates(text: str) -> list[Candidate]:
             next_ += 1
         if next_ >= len(text):
             continue
-        out.append(Candidate(end, next_, "\n" in text[end:next_] and inside_until < end, _features(text, start, end, next_, mark, close, text[end:next_], inside_until >= end)))
+        out.append(Candidate(end, next_, "\n" in text[end:next_] and inside_until < end, _features(text, start, end, next_, mark, close, text[end:next_], inside_until >= end, style)))
     return out
 
 
-def _features(text: str, start: int, end: int, next_: int, mark: str, close: str, space: str, quoted: bool) -> list[str]:
+def _features(text: str, start: int, end: int, next_: int, mark: str, close: str, space: str, quoted: bool, style: str) -> list[str]:
+    """``style`` is l where the text itself begins in lower case, as transcripts without capitals do."""
     before = _TOKEN.findall(text[max(0, start - 40) : start])[-2:]
     after = _TOKEN.findall(text[next_ : next_ + 40])[:4]
     words = [t for t in after if t[0].isalnum()]
@@ -141,7 +147,8 @@ def _features(text: str, start: int, end: int, next_: int, mark: str, close: str
         "m" + kind, "g" + gap, f"mg{kind}{gap}", "q" + str(quoted), f"c{close[:1]}{lead}", f"mc{kind}{close[:1]}{shape}", "l" + lead,
         "b" + _word(b1), f"b2{_shape(b2)} {_word(b1)}", "bs" + _shape(b1), f"bg{_word(b1)}{gap}", f"bc{_word(b1)}{shape}",
         "n" + _word(n1), f"n2{_shape(n1)} {_word(n2)}", "ns" + _shape(n1), f"sc{_script(b1)}{_script(n1)}",
-        f"bsn{_shape(b1)}{shape}{gap}{kind}", f"ln{lead}{_word(n1)}", f"ls{lead}{shape}{kind}{close[:1]}", f"ii{_shape(b1)}{_shape(n1)}{gap}",
+        f"bsn{_shape(b1)}{shape}{gap}{kind}", f"ln{lead}{_word(n1)}", f"ls{lead}{shape}{kind}{close[:1]}", f"ii{_shape(b1)}{_shape(n1)}{gap}", f"t{_shape(b2)}{_shape(b1)}{_shape(n1)}",
+        f"S{style}{shape}{gap}", f"S{style}{shape}{_word(b1)}", f"S{style}{_word(n1)}",
     ]
 
 
@@ -209,14 +216,15 @@ def fit(segment_lists: list[list[str]], rounds: int = 60) -> BoundaryModel:
     if not rows or not any(known):
         return BoundaryModel(np.zeros(DIMENSIONS), 10.0, 1.0)
     x, y = np.array([_hashed(r) for r in rows]), np.array(known, dtype=np.float64)
-    ones = np.ones(len(y))
-    w, bias = _regress(x, y, ones, rounds)
+    w, bias = _regress(x, y, np.ones(len(y)), rounds)
     p = 1 / (1 + np.exp(-(w[x].sum(axis=1) + bias)))
     share = np.minimum(p / np.median(p[y == 1]), 1.0)
-    # second fit: known ends, and unlabelled places that the first one is sure about
-    sure = (y == 1) | (share < 0.3) | (share > 0.7)
-    target = np.where((y == 1) | (share > 0.5), 1.0, 0.0)
-    w, bias = _regress(x[sure], target[sure], ones[sure], rounds)
+    for _ in range(2):
+        # fitted again on the known ends and on those places that the fit before is sure about
+        sure = (y == 1) | (share < UNLIKELY) | (share > LIKELY)
+        target = np.where((y == 1) | (share > (UNLIKELY + LIKELY) / 2), 1.0, 0.0)
+        w, bias = _regress(x[sure], target[sure], np.ones(int(sure.sum())), rounds)
+        share = 1 / (1 + np.exp(-(w[x].sum(axis=1) + bias)))
     return BoundaryModel(w, float(bias), 1.0)
 
 
