@@ -18,7 +18,7 @@ from evigraph.llm.bpe import Encoder
 from evigraph.runtime import spread
 
 #: Characters that are encoded at once; bounds a task's memory whatever the lengths of the texts.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
