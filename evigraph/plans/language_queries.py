@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import kinship
 from evigraph.functions.text import has_phrase, normalize
-from evigraph.operators import linguistics, nested
+from evigraph.operators import linguistics, nested, sanitize
 from evigraph.plans.text_queries import norm
-from evigraph.runtime import read
+from evigraph.runtime import materialize, read
 
 
 def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,23 @@ def correction_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues.groupBy("cue").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_annotations, name_occurrences, relationship_signals, anaphor_links, name_variants, correction_cues)}
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = nested.Layout("raw_extraction", nested.ENTITIES, nested.WRAPPERS)
+    return nested.flatten_records(read(spark, sf_dir, "benchmark_cases"), "benchmark_cases", "case_id", "raw_extraction", layout)
+
+
+def sanitized_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every extracted object, accepted or with its issue."""
+    tagged = materialize(_tagged(spark, sf_dir))
+    return sanitize.sanitize(tagged, sanitize.transcripts(read(spark, sf_dir, "benchmark_cases")))
+
+
+def sanitize_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted objects by kind and outcome."""
+    return sanitize.issue_table(sanitized_objects(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (lexical_annotations, name_occurrences, relationship_signals, anaphor_links, name_variants, correction_cues, sanitized_objects, sanitize_issues)}
 
 ORACLES = {
     "name_variants": f"""WITH m AS (SELECT DISTINCT ON (mention_id) family_id AS record, mention_id, name, aliases FROM people_mentions),
