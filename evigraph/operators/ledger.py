@@ -29,7 +29,7 @@ def graph(edges: DataFrame) -> DataFrame:
     """One row an edge of the graph, with the claims that state it."""
     rows = canonical_edge(edges).where("subject <> '' and object <> ''")
     each = rows.select("family_id", "relationship_type", "subject", "subject_role", "object", "object_role", F.explode("source_claim_ids").alias("claim"))
-    return each.groupBy("family_id", "relationship_type", "subject", "subject_role", "object", "object_role").agg(F.count_distinct("claim").alias("n_claims"), F.array_join(F.array_sort(F.collect_set("claim")), ",").alias("claims"))
+    return each.groupBy("family_id", "relationship_type", "subject", "subject_role", "object", "object_role").agg(F.array_sort(F.collect_set("claim")).alias("c")).withColumn("n_claims", F.size("c").cast("long")).withColumn("claims", F.array_join("c", ",")).drop("c")
 
 
 def pair(a: Column, b: Column) -> tuple[Column, Column]:
@@ -42,15 +42,15 @@ def pair_conflicts(edges: DataFrame) -> DataFrame:
     """Pairs of persons that are stated in more than one type of relationship."""
     first, second = pair(F.col("subject_person_id"), F.col("object_person_id"))
     rows = edges.where("subject_person_id is not null and object_person_id is not null").select("family_id", first.alias("first_id"), second.alias("second_id"), "relationship_type", "edge_id")
-    out = rows.groupBy("family_id", "first_id", "second_id").agg(F.count_distinct("relationship_type").alias("n_types"), F.array_join(F.array_sort(F.collect_set("relationship_type")), ",").alias("types"), F.count_distinct("edge_id").alias("n_edges"))
-    return out.where("n_types > 1")
+    out = rows.groupBy("family_id", "first_id", "second_id").agg(F.array_sort(F.collect_set("relationship_type")).alias("t"), F.size(F.collect_set("edge_id")).cast("long").alias("n_edges"))
+    return out.where(F.size("t") > 1).select("family_id", "first_id", "second_id", F.size("t").cast("long").alias("n_types"), F.array_join("t", ",").alias("types"), "n_edges")
 
 
 def alias_conflicts(names: DataFrame) -> DataFrame:
     """Names of one family that more than one person has. ``names``: family_id, person_id, name."""
     rows = names.withColumn("key", name_key(F.col("name"))).where("key <> ''")
-    out = rows.groupBy("family_id", "key").agg(F.count_distinct("person_id").alias("n_people"), F.array_join(F.array_sort(F.collect_set("person_id")), ",").alias("people"))
-    return out.where("n_people > 1")
+    out = rows.groupBy("family_id", "key").agg(F.array_sort(F.collect_set("person_id")).alias("p")).where(F.size("p") > 1)
+    return out.select("family_id", "key", F.size("p").cast("long").alias("n_people"), F.array_join("p", ",").alias("people"))
 
 
 def profile_names(profiles: DataFrame) -> DataFrame:
