@@ -76,3 +76,9 @@ CONTEXT_CHARS, CONTEXT_UNITS, TOP_CONTEXTS = 420, 2, 6
 NEAR_CHARS, AFTER_KINSHIP_CHARS, KINSHIP_CHARS = 70, 110, 32
 CHUNK_SECONDS, GAP_SECONDS, PADDING_SECONDS, FINAL_SECONDS = 22.0, 1.2, 0.45, 24.9
 OVERLAP_WORDS, WORDS_PER_SECOND = 8, 5.0
+
+# Words that may stand in a question or show that something is open, and cues of another name.
+QUESTION_WORDS = ("кто", "чей", "чья", "чьи", "какой", "какая", "когда", "где", "почему", "кім", "қашан", "қайда", "неге", "who", "whose", "when", "where", "why", "is", "was", "ли")
+OPEN_SIGNALS = ("не знаю", "не помню", "кажется", "возможно", "кто", "чей", "чья", "чьи", "неясно", "білмеймін", "есімде жоқ", "кім", "мүмкін", "maybe", "not sure", "who")
+ALIAS_CUES = ("по прозвищу", "прозвище", "также звали", "также звался", "также звалась", "называли", "назывался", "называлась", "лақап аты", "деп атайтын", "екінші аты", "also known as", "nicknamed", "called")
+ALIAS_CHARS = 32

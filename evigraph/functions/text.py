@@ -106,6 +106,42 @@ def support(statement: Column, evidence: Column) -> Column:
     )
 
 
+def is_supported(statement: Column, evidence: Column) -> Column:
+    return support(statement, evidence).isin("exact", "ordered")
+
+
+def all_supported(text: Column, evidence: Column) -> Column:
+    """Whether a text has statements and all of them are supported."""
+    parts = statements(text)
+    return (F.size(parts) > 0) & F.forall(parts, lambda s: is_supported(s, evidence))
+
+
+def title_supported(title: Column, evidence: Column, allowed: Column) -> Column:
+    """Whether a title is supported, or has words and each of them is a significant word of the array ``allowed`` of texts."""
+    words_ = F.flatten(F.transform(F.coalesce(allowed, F.array().cast("array<string>")), significant))
+    own = significant(title)
+    return is_supported(title, evidence) | ((F.size(own) > 0) & (F.size(F.array_except(own, words_)) == 0))
+
+
+def question_adds_facts(question: Column, evidence: Column) -> Column:
+    """Whether a question has words, those of asking left out, that its evidence lacks."""
+    own = F.array_except(significant(question), F.array(*map(F.lit, lexicon.QUESTION_WORDS)))
+    return F.size(F.array_except(own, significant(evidence))) > 0
+
+
+def is_open(c: Column) -> Column:
+    """Whether a text signals that something is not known."""
+    n = normalize(c)
+    out = F.lit(False)
+    for s in lexicon.OPEN_SIGNALS:
+        out = out | F.contains(n, F.lit(s))
+    return out
+
+
+def drops_negation(text: Column, evidence: Column) -> Column:
+    return any_of(words(evidence), lexicon.NEGATION) & ~any_of(words(text), lexicon.NEGATION)
+
+
 def script(c: Column) -> Column:
     """cyrillic, latin, mixed or other."""
     cyr, lat = c.rlike(r"[\x{0400}-\x{04FF}]"), c.rlike(r"[A-Za-z\x{00C0}-\x{024F}]")

@@ -69,7 +69,7 @@ def insert_absent(ledger: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def upsert(history: DataFrame, key: list[str], latest: list[str], order: list[str], union: list[str]) -> DataFrame:
     """Merge rows of a key: last known values of ``latest`` by ``order``, and the union of the arrays ``union``."""
     aggs = [F.max_by(F.col(c), F.struct(*(F.struct(F.col(c).isNotNull().alias("k"), *(F.col(o) for o in order)),))).alias(c) for c in latest]
-    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(c), F.array().cast("array<string>")))))).alias(c) for c in union]
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(F.col(c), F.array().cast("array<string>")))))).alias(c) for c in union]
     return history.groupBy(*key).agg(*aggs, *sets)
 
 

@@ -357,6 +357,54 @@ def coreference_links(joined: DataFrame) -> DataFrame:
     return joined.select("record", "segments", "people").mapInArrow(_links, "record string, segment_id string, start_char int, end_char int, surface string, number string, status string, antecedents string, candidates string")
 
 
+def alias_linked(text: str, alias: str, name: str) -> bool:
+    """Whether a text says that ``alias`` is another name: a cue stands beside it, at most one word between, and it has the name."""
+    ts = tokens(text)
+    cues = {tuple(c.split()): c for c in lexicon.ALIAS_CUES}
+    found = [s for s, _ in _phrases(ts, cues, "cue")]
+    hits = name_matches(ts, alias)
+    near = False
+    for h in hits:
+        for c in found:
+            a, b = (c.end, h.start) if c.end <= h.start else (h.end, c.start)
+            near = near or (b < a) or (b - a <= lexicon.ALIAS_CHARS and len(_WORD.findall(text[a:b])) <= 1)
+    return near and (bool(name_matches(ts, name)) or [t.info for t in tokens(name)] == [t.info for t in tokens(alias)])
+
+
+def name_candidates(ts: list[Span]) -> list[Span]:
+    """Words with a capital within four words of a kinship word that are no kinship, pronoun or first-person word themselves."""
+    kin = [i for i, t in enumerate(ts) if (_base(t.info),) in _KIN]
+    plain = lambda t: (t.info,) not in _PRONOUNS and (t.info,) not in _ANCHORS and (_base(t.info),) not in _KIN
+    return [Span(t.start, t.end, t.text, "name_candidate") for i, t in enumerate(ts) if t.text[0].isupper() and plain(t) and any(abs(i - k) <= 4 for k in kin)]
+
+
+_ANCHORED = pa.schema([("record", pa.string()), ("anchor_id", pa.string()), ("kind", pa.string()), ("segment_id", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("surface", pa.string()), ("mention_id", pa.string())])
+
+
+def _bundle(r: dict) -> list[tuple]:
+    rows = []
+    for g in r["segments"] or ():
+        if not g["text"]:
+            continue
+        ts = tokens(g["text"])
+        own = [("speaker", s, "") for s in anchors(ts)] + [("known_person", s, m) for s, m in names_in(ts, r["people"] or [])] + [("name_candidate", s, "") for s in name_candidates(ts)]
+        rows += [(k, g["segment_id"], s, m) for k, s, m in own]
+    first: dict[tuple, tuple] = {}
+    for k, seg, s, m in rows:
+        first.setdefault((k, seg, s.text.casefold(), m), (s, m))
+    return [(r["record"], f"anchor_{i:03d}", k, seg, s.start, s.end, s.text, m) for i, ((k, seg, _, _), (s, m)) in enumerate(first.items(), 1)]
+
+
+def _bundles(batches):
+    return _rows(batches, _ANCHORED, _bundle)
+
+
+def anchor_bundle(joined: DataFrame) -> DataFrame:
+    """Numbered anchors of each record: first-person words, known people and candidate names, each once a segment."""
+    ship(joined.sparkSession)
+    return joined.select("record", "segments", "people").mapInArrow(_bundles, "record string, anchor_id string, kind string, segment_id string, start_char int, end_char int, surface string, mention_id string")
+
+
 def name_variants(people: DataFrame) -> DataFrame:
     """(record, mention_id, variant_type, surface, norm): the name as it stands first, then its aliases, each normal form once."""
     from evigraph.functions.text import normalize

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.functions import kinship
+from evigraph.functions import kinship, lexicon
+from evigraph.functions import text as X
 from evigraph.functions.text import has_phrase, normalize
 from evigraph.operators import linguistics, nested, sanitize
-from evigraph.plans.text_queries import norm
+from evigraph.plans.text_queries import norm, sig, stmts, words
 from evigraph.runtime import materialize, read
 
 
@@ -60,6 +61,33 @@ def correction_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues.groupBy("cue").agg(F.count("*").alias("n"))
 
 
+def anchor_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered anchors of every transcript."""
+    return linguistics.anchor_bundle(_joined(spark, sf_dir))
+
+
+def description_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether extracted descriptions are supported by their transcript, and whether they drop a negation."""
+    texts = sanitize.transcripts(read(spark, sf_dir, "benchmark_cases"))
+    d = nested.typed(_tagged(spark, sf_dir), "descriptions").join(texts, "record_id")
+    return d.select("record_id", "entity_id", X.all_supported(F.col("description"), F.col("full_text")).alias("supported"), X.drops_negation(F.col("description"), F.col("full_text")).alias("drops_negation"))
+
+
+def title_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by whether their title is supported by the transcript, their type or their place."""
+    texts = sanitize.transcripts(read(spark, sf_dir, "benchmark_cases"))
+    e = nested.typed(_tagged(spark, sf_dir), "events").join(texts, "record_id")
+    ok = X.title_supported(F.coalesce("title", F.lit("")), F.col("full_text"), F.array_compact(F.array("event_type", "location")))
+    return e.groupBy(ok.alias("supported")).agg(F.count("*").alias("n"))
+
+
+def open_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of transcripts that signal something unknown, and those whose words a question could not add."""
+    c = read(spark, sf_dir, "e2e_cases").select("case_id", F.col("reference_text").alias("ref"), F.col("request.transcript.full_text").alias("hyp")).distinct().where("ref is not null and hyp is not null")
+    s = c.select("case_id", "hyp", F.explode(X.statements(F.col("ref"))).alias("s"))
+    return s.groupBy("case_id").agg(F.sum(X.is_open(F.col("s")).cast("long")).alias("n_open"), F.sum(X.question_adds_facts(F.col("s"), F.col("hyp")).cast("long")).alias("n_adding"), F.sum(X.drops_negation(F.col("s"), F.col("hyp")).cast("long")).alias("n_dropping"))
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = nested.Layout("raw_extraction", nested.ENTITIES, nested.WRAPPERS)
     return nested.flatten_records(read(spark, sf_dir, "benchmark_cases"), "benchmark_cases", "case_id", "raw_extraction", layout)
@@ -76,7 +104,7 @@ def sanitize_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize.issue_table(sanitized_objects(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (lexical_annotations, name_occurrences, relationship_signals, anaphor_links, name_variants, correction_cues, sanitized_objects, sanitize_issues)}
+QUERIES = {f.__name__: f for f in (lexical_annotations, name_occurrences, relationship_signals, anaphor_links, name_variants, correction_cues, anchor_bundle, description_support, title_support, open_statements, sanitized_objects, sanitize_issues)}
 
 ORACLES = {
     "name_variants": f"""WITH m AS (SELECT DISTINCT ON (mention_id) family_id AS record, mention_id, name, aliases FROM people_mentions),
@@ -84,4 +112,9 @@ v AS (SELECT record, mention_id, 0 AS pos, 'primary' AS variant_type, name AS su
 n AS (SELECT *, {norm('surface')} AS norm FROM v WHERE surface IS NOT NULL)
 SELECT record, mention_id, variant_type, surface, norm FROM (SELECT *, row_number() OVER (PARTITION BY record, mention_id, norm ORDER BY pos) AS r FROM n WHERE norm <> '') WHERE r = 1""",
     "correction_cues": f"""SELECT cue, count(*) AS n FROM (SELECT DISTINCT case_id, {norm('transcript.full_text')} AS t FROM benchmark_cases) JOIN (VALUES {', '.join(f"('{c}')" for c in kinship.CORRECTIONS)}) v(cue) ON contains(' ' || t || ' ', ' ' || cue || ' ') GROUP BY 1""",
+    "open_statements": f"""WITH c AS (SELECT DISTINCT case_id, reference_text AS ref, request.transcript.full_text AS hyp FROM e2e_cases WHERE reference_text IS NOT NULL AND request.transcript.full_text IS NOT NULL),
+s AS (SELECT case_id, hyp, unnest({stmts('ref')}) AS s FROM c)
+SELECT case_id, CAST(sum(CASE WHEN {' OR '.join(f"contains({norm('s')}, '{x}')" for x in lexicon.OPEN_SIGNALS)} THEN 1 ELSE 0 END) AS BIGINT) AS n_open,
+CAST(sum(CASE WHEN len(list_filter({sig('s')}, lambda w: NOT list_contains([{', '.join(repr(x) for x in lexicon.QUESTION_WORDS)}], w) AND NOT list_contains({sig('hyp')}, w))) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_adding,
+CAST(sum(CASE WHEN list_has_any({words('hyp')}, [{', '.join(repr(x) for x in lexicon.NEGATION)}]) AND NOT list_has_any({words('s')}, [{', '.join(repr(x) for x in lexicon.NEGATION)}]) THEN 1 ELSE 0 END) AS BIGINT) AS n_dropping FROM s GROUP BY 1""",
 }

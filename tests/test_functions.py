@@ -85,3 +85,13 @@ def test_dates_stay_in_generated_code(spark):
 @pytest.mark.parametrize(("text", "state"), [("бывший муж", "former"), ("они развелись", "ended"), ("не мой брат", "negated"), ("как родной брат", "figurative"), ("не не брат", "unresolved"), ("сестра", "current"), (None, None)])
 def test_states(spark, text, state):
     assert one(spark, (text,), "a string", temporal.relationship_state(F.col("a"))) == state
+
+
+def test_titles_questions_and_openness(spark):
+    get = lambda c: one(spark, ("свадьба в Алматы", "он жил в ауле и не уехал", ["свадьба", "Алматы"]), "t string, e string, a array<string>", c)
+    t, e, a = F.col("t"), F.col("e"), F.col("a")
+    assert get(X.title_supported(t, e, a)) is True and get(X.title_supported(t, e, F.array(F.lit("свадьба")))) is False
+    assert get(X.question_adds_facts(F.lit("кто жил в ауле"), e)) is False and get(X.question_adds_facts(F.lit("кто пришёл"), e)) is True
+    assert get(X.is_open(F.lit("Не помню, кажется"))) is True and get(X.is_open(e)) is False
+    assert get(X.drops_negation(F.lit("он уехал"), e)) is True and get(X.drops_negation(F.lit("не уехал"), e)) is False
+    assert get(X.all_supported(F.lit("Он жил в ауле. Не уехал."), e)) is True and get(X.all_supported(F.lit(""), e)) is False

@@ -69,3 +69,19 @@ def test_frames(spark):
 def test_variants(spark):
     m = spark.createDataFrame([("r", "m", "Анна", ["анна", "Аня", None, ""]), ("r", "n", None, None)], "record string, mention_id string, name string, aliases array<string>")
     assert rows(L.name_variants(m), "mention_id", "variant_type", "surface") == [("m", "explicit_alias", "Аня"), ("m", "primary", "Анна")]
+
+
+@pytest.mark.parametrize(("text", "alias", "name", "want"), [
+    ("Анна, по прозвищу Аня, жила там.", "Аня", "Анна", True), ("Анна жила там. Пришла Аня, прозвище старое, давно забытое другое.", "Аня", "Анна", True),
+    ("Анна пришла, а Вера прозвище дала той самой Ане.", "Аня", "Анна", False), ("Анна и Аня.", "Аня", "Анна", False), ("по прозвищу Аня", "Аня", "Анна", False), ("", "Аня", "Анна", False),
+])
+def test_alias_cues(text, alias, name, want):
+    assert L.alias_linked(text, alias, name) is want
+
+
+def test_anchor_bundle_numbers_each_once(spark):
+    t = spark.createDataFrame([("r", "Серік", [("s1", "Менің әкем Асқар мен Асқар, Қайрат."), ("s2", None)])], "record string, speaker string, segments array<struct<segment_id:string,text:string>>")
+    p = spark.createDataFrame([("r", "a", "Асқар", None)], "record string, mention_id string, name string, source_segment_ids array<string>")
+    got = rows(L.anchor_bundle(L.with_people(t, p)), "anchor_id", "kind", "surface")
+    assert [g[0] for g in got] == [f"anchor_{i:03d}" for i in range(1, len(got) + 1)]
+    assert {(k, s) for _, k, s in got} == {("speaker", "Менің"), ("speaker", "әкем"), ("known_person", "Асқар"), ("name_candidate", "Асқар"), ("name_candidate", "Қайрат")}
