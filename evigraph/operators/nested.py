@@ -85,9 +85,13 @@ SCHEMAS = {
 }
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
 def _loads(text: str) -> object:
     try:
-        return json.loads(text)
+        return json.loads(text, parse_constant=_no_constant)
     except (ValueError, RecursionError):
         return None
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -24,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_evigraph_shipped", False):
         return
-    target = Path(tempfile.mkdtemp(prefix="evigraph-")) / "evigraph.zip"
+    folder = tempfile.mkdtemp(prefix="evigraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "evigraph.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(PACKAGE.parent))
@@ -36,8 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(spark.sparkContext, "_evigraph_dir", None) or tempfile.mkdtemp(prefix="evigraph-")
-        spark.sparkContext._evigraph_dir = base
+        base = getattr(spark.sparkContext, "_evigraph_dir", None)
+        if base is None:
+            base = spark.sparkContext._evigraph_dir = tempfile.mkdtemp(prefix="evigraph-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base.rstrip("/")
 
 
@@ -52,9 +59,17 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evigraph_path = path
+    atexit.register(_discard_at_exit, out)
     return out
 
 
+def _discard_at_exit(df: DataFrame) -> None:
+    """Written tables go with the driver's process, if its session still lives then."""
+    with contextlib.suppress(Exception):
+        if df.sparkSession.sparkContext._jsc is not None:
+            discard(df)
+
+
 def discard(df: DataFrame | None) -> None:
     """Remove the files of a materialized table that nothing reads any more."""
     path = getattr(df, "_evigraph_path", None)

@@ -31,7 +31,7 @@ def test_deep_paths():
 
 
 def test_bad_documents_give_no_row(spark):
-    data = [("a", None), ("b", ""), ("c", "{"), ("d", "[1]"), ("e", '{"events": [{"event_id": "e1"}, {"event_id": ""}, {"event_id": null}]}'), ("e", '{"events": [{"event_id": "e1"}, {"event_id": ""}, {"event_id": null}]}'), (None, "{}")]
+    data = [("a", None), ("b", ""), ("c", "{"), ("d", "[1]"), ("n", '{"events": [{"event_id": "x", "w": NaN}]}'), ("o", '{"events": ' + "[" * 100_000), ("e", '{"events": [{"event_id": "e1"}, {"event_id": ""}, {"event_id": null}]}'), ("e", '{"events": [{"event_id": "e1"}, {"event_id": ""}, {"event_id": null}]}'), (None, "{}")]
     df = spark.createDataFrame(data, "id string, doc string")
     out = N.flatten_records(df, "t", "id", "doc", LAYOUT)
     assert rows(out.distinct(), "record_id", "entity", "entity_id") == [("e", "events", "e1")]
