@@ -220,7 +220,7 @@ def distance(a: str, b: str, bound: int) -> int:
     return min(row[-1], bound + 1)
 
 
-GIVEN, SURNAME = "g", "f"
+GIVEN, SURNAME, PATRONYMIC = KINDS = ("g", "f", "p")
 MATCHES = "family_id string, word string, name string, kind string, dist int, bent boolean"
 _MATCHES = pa.schema([("family_id", pa.string()), ("word", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("dist", pa.int32()), ("bent", pa.bool_())])
 
@@ -233,18 +233,17 @@ def _trie_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for family, t, s, side, text, kind in zip(*(b.column(n).to_pylist() for n in ("family_id", "t", "s", "side", "text", "kind")), strict=True):
             if (family, t, s) != key:
                 key = (family, t, s)
-                tries, same, bent = {GIVEN: Trie(), SURNAME: Trie()}, {GIVEN: {}, SURNAME: {}}, {}
+                tries, same, bent = {k: Trie() for k in KINDS}, {k: {} for k in KINDS}, {k: {} for k in KINDS}
             if side == 0:
                 tries[kind].add(text)
                 same[kind].setdefault(fold(text), set()).add(text)
-                if kind == GIVEN:
-                    for f in inflected(text):
-                        bent.setdefault(f, set()).add(text)
+                for f in inflected(text):
+                    bent[kind].setdefault(f, set()).add(text)
                 continue
-            for k in (GIVEN, SURNAME):
+            for k in KINDS:
                 found = dict(tries[k].near(text, allowed(text))) | dict.fromkeys(same[k].get(fold(text), ()), 0)
                 rows.extend((family, text, name, k, d, False) for name, d in sorted(found.items()))
-            rows.extend((family, text, name, GIVEN, 0, True) for name in sorted(bent.get(fold(text), ())))
+                rows.extend((family, text, name, k, 0, True) for name in sorted(bent[k].get(fold(text), ())))
         columns = zip(*rows, strict=True) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MATCHES, strict=True)], schema=_MATCHES)
 
@@ -289,6 +288,12 @@ def _profile_parts(canonical: pd.Series, aliases: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=PARTS.names)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _initial_symbols(words: pd.Series) -> pd.Series:
+    """The symbols of the initials among words."""
+    return words.map(lambda ws: sorted({letters(w, w.isupper()) for w in ws if len(w) == 1}), na_action="ignore")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _mention_words(names: pd.Series) -> pd.Series:
     return names.map(words_of, na_action="ignore")
@@ -392,6 +397,35 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _JUDGED, strict=True)], schema=_JUDGED)
 
 
+def _candidates(texts: DataFrame, people: DataFrame, given: DataFrame, matches: DataFrame) -> DataFrame:
+    """(family_id, spelling, person_id) pairs that may fit, without all people who share a given name.
+
+    A spelling meets everybody whose given name and whose surname or patronymic both match words of it. People of whom only
+    the given name matches cost the same within a class (same form of the name, surname known or not, patronymic known or not):
+    two of each class are enough to find the best one and to see a tie. Spellings with initials meet everybody whose surname
+    matches and whose given name begins with an initial.
+    """
+    hits = texts.select("family_id", F.col("name").alias("spelling"), F.explode("words").alias("word")).join(matches.withColumnRenamed("name", "text"), ["family_id", "word"]).select("family_id", "spelling", "kind", "text").distinct()
+    by_given = hits.where(F.col("kind") == GIVEN).select("family_id", "spelling", "text")
+    kind_of_person = people.select("family_id", "person_id", (F.size("surnames") > 0).alias("has_surname"), (F.size("patronymics") > 0).alias("has_patronymic"))
+    classes = given.join(kind_of_person, ["family_id", "person_id"]).groupBy("family_id", "text", "level", "has_surname", "has_patronymic").agg(F.min("person_id").alias("a"), F.max("person_id").alias("b"))
+    few = classes.select("family_id", "text", F.explode(F.array_distinct(F.array("a", "b"))).alias("person_id")).distinct()
+    alone = by_given.join(few, ["family_id", "text"]).select("family_id", "spelling", "person_id")
+    second = people.select("family_id", "person_id", F.explode(F.array_distinct(F.concat(_kinded("surnames", SURNAME), _kinded("other_surnames", SURNAME), _kinded("patronymics", PATRONYMIC)))).alias("x")).select("family_id", "person_id", F.col("x.k").alias("kind"), F.col("x.t").alias("second"))
+    both = given.select("family_id", "person_id", "text").join(second, ["family_id", "person_id"])
+    by_second = hits.where(F.col("kind") != GIVEN).select("family_id", "spelling", "kind", F.col("text").alias("second"))
+    paired = by_given.join(by_second, ["family_id", "spelling"]).join(both, ["family_id", "text", "kind", "second"]).select("family_id", "spelling", "person_id")
+    initials = texts.where(F.exists("words", lambda w: F.length(w) == 1)).select("family_id", F.col("name").alias("spelling"), F.explode(_initial_symbols("words")).alias("symbol"))
+    starts = people.select("family_id", "person_id", F.explode("givens").alias("g")).select("family_id", "person_id", F.substring("g", 1, 1).alias("symbol")).distinct()
+    surnamed = second.where(F.col("kind") == SURNAME).select("family_id", "person_id", "second").distinct().join(starts, ["family_id", "person_id"])
+    by_initial = initials.join(by_second.where(F.col("kind") == SURNAME), ["family_id", "spelling"]).join(surnamed, ["family_id", "second", "symbol"]).select("family_id", "spelling", "person_id")
+    return alone.unionByName(paired).unionByName(by_initial).distinct()
+
+
+def _kinded(column: str, kind: str) -> Column:
+    return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda t: F.struct(F.lit(kind).alias("k"), t.alias("t")))
+
+
 def link_mentions(mentions: DataFrame, profiles: DataFrame, known_forms: DataFrame, margin: float = 0.04) -> DataFrame:
     """(mention_id, person_id, cost) of each mention that names exactly one profile of its family.
 
@@ -399,32 +433,27 @@ def link_mentions(mentions: DataFrame, profiles: DataFrame, known_forms: DataFra
     """
     ship(mentions.sparkSession)
     own = mentions.where("mention_id is not null and family_id is not null and name is not null").select("mention_id", "family_id", "name").distinct()
-    texts = own.select("family_id", "name").distinct().select("family_id", "name", _mention_words("name").alias("words")).where(F.size("words") > 0)
-    texts = materialize(texts)
+    texts = materialize(own.select("family_id", "name").distinct().select("family_id", "name", _mention_words("name").alias("words")).where(F.size("words") > 0))
     parts = materialize(profile_parts(profiles))
-    shorts = short_forms(parts, known_forms)
-    by_given = shorts.select(folded(F.col("given")).alias("f"), "short").distinct()
+    by_given = short_forms(parts, known_forms).select(folded(F.col("given")).alias("f"), "short").distinct()
     more = parts.select("family_id", "person_id", F.explode("givens").alias("given")).select("family_id", "person_id", folded(F.col("given")).alias("f")).join(by_given, "f").groupBy("family_id", "person_id").agg(F.array_sort(F.collect_set("short")).alias("more"))
     people = materialize(parts.join(more, ["family_id", "person_id"], "left"))
-    given = people.select("family_id", "person_id", F.explode(F.array_distinct(F.concat("givens", "shorts", F.coalesce("more", F.array().cast("array<string>"))))).alias("text"), F.lit(GIVEN).alias("kind"))
-    family = people.select("family_id", "person_id", F.explode(F.array_distinct(F.concat("surnames", "other_surnames"))).alias("text"), F.lit(SURNAME).alias("kind"))
-    by_person = given.unionByName(family)
-    names = by_person.select("family_id", "text", "kind").distinct()
+    given = people.select("family_id", "person_id", F.explode(F.concat(_kinded("givens", "0"), _kinded("shorts", "1"), _kinded("more", "2"))).alias("x")).select("family_id", "person_id", F.col("x.k").alias("level"), F.col("x.t").alias("text")).distinct()
+    every = F.concat(_kinded("givens", GIVEN), _kinded("shorts", GIVEN), _kinded("more", GIVEN), _kinded("surnames", SURNAME), _kinded("other_surnames", SURNAME), _kinded("patronymics", PATRONYMIC))
+    by_person = people.select("family_id", "person_id", F.explode(F.array_distinct(every)).alias("x")).select("family_id", "person_id", F.col("x.k").alias("kind"), F.col("x.t").alias("text"))
     words = texts.select("family_id", F.explode("words").alias("text")).where(F.length("text") > 1).distinct()
-    matches = materialize(trie_join(names, words))
-    known = by_person.groupBy(folded(F.col("text")).alias("text")).agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN_SUPPORT).select("text")
-    known_of = texts.select("family_id", "name", F.explode("words").alias("w")).select("family_id", "name", folded(F.col("w")).alias("text")).join(known, "text", "left_semi").groupBy("family_id", "name").agg(F.collect_set("text").alias("known"))
-    texts = texts.withColumn("initial", F.exists("words", lambda w: F.length(w) == 1))
-    found = texts.select("family_id", F.col("name").alias("spelling"), "initial", F.explode("words").alias("word")).join(matches, ["family_id", "word"]).where((F.col("kind") == GIVEN) | F.col("initial"))
-    pairs = found.select("family_id", "spelling", F.col("name").alias("text"), "kind").join(by_person, ["family_id", "text", "kind"]).select("family_id", "spelling", "person_id").distinct()
+    matches = materialize(trie_join(by_person.select("family_id", "text", "kind").distinct(), words))
+    known = by_person.where(F.col("kind") != PATRONYMIC).groupBy(folded(F.col("text")).alias("text")).agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN_SUPPORT).select("text")
+    known_of = texts.select("family_id", F.col("name").alias("spelling"), F.explode("words").alias("w")).select("family_id", "spelling", folded(F.col("w")).alias("text")).join(known, "text", "left_semi").groupBy("family_id", "spelling").agg(F.collect_set("text").alias("known"))
+    spelled = texts.select("family_id", F.col("name").alias("spelling"), "words").join(known_of, ["family_id", "spelling"], "left")
     full = (
-        pairs.join(texts.select("family_id", F.col("name").alias("spelling"), "words"), ["family_id", "spelling"])
-        .join(known_of.withColumnRenamed("name", "spelling"), ["family_id", "spelling"], "left")
+        _candidates(texts, people, given, matches)
+        .join(spelled, ["family_id", "spelling"])
         .join(people, ["family_id", "person_id"])
         .select(F.to_json(F.struct("family_id", "spelling")).alias("mention_id"), "person_id", "words", "known", "givens", "surnames", "patronymics", "shorts", "other_surnames", "capitals", "more")
     )
     judged = full.mapInArrow(_judge, "mention_id string, person_id string, cost double")
     best = judged.groupBy("mention_id").agg(F.min(F.struct("cost", "person_id")).alias("first"), F.sort_array(F.collect_list("cost")).alias("costs"))
     clear = best.where((F.size("costs") == 1) | (F.get("costs", F.lit(1)) - F.col("first.cost") > margin))
-    spelled = clear.select(F.from_json("mention_id", "family_id string, spelling string").alias("k"), "first").select("k.family_id", F.col("k.spelling").alias("name"), "first.person_id", "first.cost")
-    return own.join(spelled, ["family_id", "name"]).select("mention_id", "person_id", "cost")
+    named = clear.select(F.from_json("mention_id", "family_id string, spelling string").alias("k"), "first").select("k.family_id", F.col("k.spelling").alias("name"), "first.person_id", "first.cost")
+    return own.join(named, ["family_id", "name"]).select("mention_id", "person_id", "cost")
