@@ -462,4 +462,7 @@ w AS (SELECT record, i, start AS a, "end" AS b, 0 AS chunk FROM n WHERE i = 1 UN
  SELECT n.record, n.i, CASE WHEN n."end" - w.a <= {lexicon.CHUNK_SECONDS} AND n.start - w.b <= {lexicon.GAP_SECONDS} THEN w.a ELSE n.start END, CASE WHEN n."end" - w.a <= {lexicon.CHUNK_SECONDS} AND n.start - w.b <= {lexicon.GAP_SECONDS} THEN greatest(w.b, n."end") ELSE n."end" END, CASE WHEN n."end" - w.a <= {lexicon.CHUNK_SECONDS} AND n.start - w.b <= {lexicon.GAP_SECONDS} THEN w.chunk ELSE w.chunk + 1 END FROM w JOIN n ON n.record = w.record AND n.i = w.i + 1)
 SELECT record, CAST(chunk AS BIGINT) AS chunk, min(a) AS start, max(b) AS "end" FROM w GROUP BY 1, 2""",
     "edge_padding": f"WITH {_S}, t AS (SELECT DISTINCT case_id AS record, transcript.duration_seconds AS total FROM benchmark_cases), p AS (SELECT record, segment_id, greatest(start - {lexicon.PADDING_SECONDS}, 0.0) AS a, least(\"end\" + {lexicon.PADDING_SECONDS}, total) AS b FROM s JOIN t USING (record)), o AS (SELECT *, greatest(b - a - {lexicon.FINAL_SECONDS}, 0.0) AS over FROM p) SELECT record, segment_id, a + over / 2 AS padded_start, b - (over - over / 2) AS padded_end FROM o",
+    "shared_words": f"""WITH {_S}, n AS (SELECT record, segment_id, text, lead(text) OVER (PARTITION BY record ORDER BY seg_ord) AS nxt FROM s),
+w AS (SELECT record, segment_id, list_transform(string_split_regex(trim(text), '[ \t\n\v\f\r]+'), lambda x: {_key("x")}) AS a, list_transform(string_split_regex(trim(nxt), '[ \t\n\v\f\r]+'), lambda x: {_key("x")}) AS b FROM n WHERE nxt IS NOT NULL)
+SELECT record, segment_id, CAST(coalesce(list_max(list_filter(range(2, {lexicon.OVERLAP_WORDS} + 1), lambda k: k <= len(a) AND k <= len(b) AND list_slice(a, len(a) - k + 1, len(a)) = list_slice(b, 1, k) AND NOT list_contains(list_slice(b, 1, k), ''))), 0) AS BIGINT) AS n_shared FROM w""",
 }

@@ -67,4 +67,47 @@ ORACLES = {
     "p2_found": f"WITH RECURSIVE {_EDGES} SELECT n AS person_id, root AS root_person_id, depth, path FROM tree UNION ALL SELECT n, '', -1, '' FROM ring UNION ALL SELECT n, '', -2, '' FROM below",
     "p2_descendants": f"""WITH RECURSIVE {_EDGES}, pairs AS (SELECT n, path, depth, unnest(string_split(path, '/')) AS anc, generate_subscripts(string_split(path, '/'), 1) AS pos FROM tree WHERE depth > 0)
 SELECT anc AS ancestor_id, n AS descendant_id, CAST(min(depth - pos + 1) AS INTEGER) AS distance FROM pairs WHERE pos <= depth GROUP BY 1, 2""",
+    "p2_rings": f"""WITH RECURSIVE {_EDGES}, mates AS (SELECT DISTINCT x.a AS n, x.d AS m FROM reach x JOIN reach y ON x.a = y.d AND x.d = y.a),
+first AS (SELECT n, min(m) AS f FROM mates GROUP BY 1)
+SELECT f AS first_person_id, count(*) AS n_members, array_to_string(list_sort(list(n)), ',') AS members FROM first GROUP BY 1""",
 }
+
+
+def _members(value: str, id_field: str) -> str:
+    """The objects of a collection in SQL: a list, one object, a map of objects, or any of these as a JSON string."""
+    inner = f"(CASE WHEN json_type({value}) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({value}, '$')) THEN CAST(json_extract_string({value}, '$') AS JSON) END ELSE {value} END)"
+    return f"""CASE json_type({inner}) WHEN 'ARRAY' THEN json_extract({inner}, '$[*]') WHEN 'OBJECT' THEN
+ CASE WHEN list_contains(json_keys({inner}), '{id_field}') THEN [{inner}] ELSE list_transform(json_keys({inner}), lambda k: json_extract({inner}, '$."' || k || '"')) END END"""
+
+
+def _tables_sql() -> str:
+    """Every object with an id, its parent and its record."""
+    text = lambda v: f"CASE WHEN json_type({v}) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({v}, '$')) THEN CAST(json_extract_string({v}, '$') AS JSON) END ELSE {v} END"
+    places = {"resolutions": "w.doc", "passes": "json_extract(w.doc, '$.processing')"}
+    parents = {"name_variants": "obj", "claim_refs": "obj", "supporting_signals": "json_extract(obj, '$.trace')", "calls": "obj"}
+    ctes = [
+        "d AS (SELECT DISTINCT 'benchmark_cases' AS source, case_id AS record_id, 'raw_extraction' AS root, CAST(raw_extraction AS JSON) AS doc FROM benchmark_cases WHERE json_valid(raw_extraction) UNION SELECT DISTINCT 'pipeline_results', recording_id, 'payload', CAST(payload AS JSON) FROM pipeline_results WHERE json_valid(payload))",
+        f"w AS (SELECT source, record_id, root, CASE WHEN list_contains(json_keys(doc), 'result') THEN {text("json_extract(doc, '$.result')")} ELSE doc END AS doc FROM d WHERE json_type(doc) = 'OBJECT')",
+        f"x AS (SELECT source, record_id, root, doc, CASE WHEN list_contains(json_keys(doc), 'extraction') THEN {text("json_extract(doc, '$.extraction')")} ELSE doc END AS ext FROM w)",
+    ]
+    tops, selects = [], []
+    for e in nested.ENTITIES:
+        if e.parent:
+            continue
+        holder = places.get(e.name, "w.ext")
+        value = f"json_extract({holder}, '$.{e.name}')"
+        ctes.append(f"t_{e.name} AS (SELECT source, record_id, root, unnest({_members(value, e.id_field)}) AS obj FROM x AS w)")
+        ctes.append(f"o_{e.name} AS (SELECT *, json_extract_string(obj, '$.{e.id_field}') AS id FROM t_{e.name} WHERE json_type(obj) = 'OBJECT' AND coalesce(json_extract_string(obj, '$.{e.id_field}'), '') <> '')")
+        tops.append(e.name)
+        selects.append(f"SELECT source, record_id, '{e.name}' AS entity, id AS entity_id, root AS parent_entity, record_id AS parent_id FROM o_{e.name}")
+    for e in nested.ENTITIES:
+        if not e.parent:
+            continue
+        value = f"json_extract({parents[e.name]}, '$.{e.name}')"
+        ctes.append(f"t_{e.name} AS (SELECT source, record_id, id AS pid, unnest({_members(value, e.id_field)}) AS sub FROM o_{e.parent})")
+        selects.append(f"SELECT source, record_id, '{e.name}', json_extract_string(sub, '$.{e.id_field}'), '{e.parent}', pid FROM t_{e.name} WHERE json_type(sub) = 'OBJECT' AND coalesce(json_extract_string(sub, '$.{e.id_field}'), '') <> ''")
+    return f"WITH {', '.join(ctes)}, found AS ({' UNION '.join(selects)})"
+
+
+ORACLES["p5_found"] = f"{_tables_sql()} SELECT * FROM found"
+ORACLES["p5_tables"] = f"{_tables_sql()} SELECT source, entity, parent_entity, count(*) AS n_rows FROM found GROUP BY ALL"
