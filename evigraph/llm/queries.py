@@ -124,5 +124,26 @@ def p9_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_records, p3_found, p3_forms, p4_found, p4_profiles, p6_found, p6_lengths, p7_ids, p7_sizes, p8_containers, p8_fill, p9_pieces, p9_boundaries)}
 
+def _form_sql(text: str) -> str:
+    """The one form in SQL: invisible characters out, single characters mapped between two compositions, white space as one space."""
+    single = sorted((k, v) for k, v in lookalike.build_table().items() if len(k) == len(v) == 1)
+    quote = lambda x: x.replace("'", "''")
+    sources, targets = quote("".join(k for k, _ in single)), quote("".join(v for _, v in single))
+    spaces = "".join(f"\\x{{{c:04X}}}" for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+    hidden = "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in lookalike.INVISIBLE_RANGES)
+    bare = f"regexp_replace({text}, '[{hidden}]', '', 'g')"
+    mapped = f"translate(nfc_normalize(translate(nfc_normalize({bare}), '{sources}', '{targets}')), '{sources}', '{targets}')"
+    return f"trim(regexp_replace({mapped}, '[{spaces}]+', ' ', 'g'))"
+
+
+def _pairs_sql(source: str, table: str, key: str, group: str, text: str) -> str:
+    rows = f"SELECT DISTINCT {key} AS k, {group} AS g, {text} AS t FROM {table} WHERE {key} IS NOT NULL AND {group} IS NOT NULL AND {text} IS NOT NULL"
+    formed = f"SELECT k, g, t, {_form_sql('t')} AS f FROM ({rows})"
+    return f"SELECT DISTINCT '{source}' AS source, a.k AS key_a, b.k AS key_b FROM ({formed}) a JOIN ({formed}) b ON a.g = b.g AND a.f = b.f AND a.k < b.k AND a.t <> b.t"
+
+
 #: Queries of this package that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p3_found": _pairs_sql("people_mentions", "people_mentions", "mention_id", "family_id", "name") + " UNION ALL " + _pairs_sql("benchmark_cases", "benchmark_cases", "case_id", "speaker_id", "transcript.full_text"),
+    "p3_forms": f"SELECT mention_id, name, {_form_sql('name')} AS form FROM (SELECT DISTINCT mention_id, name FROM people_mentions)",
+}
