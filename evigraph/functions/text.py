@@ -33,7 +33,7 @@ def name_key(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Lower case with ё as е and white space as one space; punctuation stays."""
-    return F.trim(F.regexp_replace(F.replace(lowered(c), F.lit("ё"), F.lit("е")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.replace(lowered(c), F.lit("ё"), F.lit("е")), r"(?U)\s+", " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -59,7 +59,7 @@ def has_phrase(text: Column, phrase: Column) -> Column:
 
 def statements(c: Column) -> Column:
     """The statements of a text: cut after end marks before white space, and at line ends."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?…])\s+|[\n\r]+"), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?…])\s+|[\n\r]+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 def occurrences(text: Column, part: Column) -> Column:

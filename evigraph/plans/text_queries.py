@@ -173,9 +173,13 @@ def sig(x: str) -> str:
     return f"list_filter({words(x)}, lambda t: length(t) >= 2 OR regexp_full_match(t, '[0-9]+'))"
 
 
+#: White space of Unicode as a class that RE2 reads.
+SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def stmts(x: str) -> str:
     """Without lookbehind in RE2: a line feed is put after end marks before white space, then lines are split."""
-    return rf"list_filter(list_transform(string_split_regex(regexp_replace({x}, '([.!?…])[ \t\n\v\f\r]+', '\1' || chr(10), 'g'), '[\n\r]+'), lambda s: trim(regexp_replace(s, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g'))), lambda s: s <> '')"
+    return rf"list_filter(list_transform(string_split_regex(regexp_replace({x}, '([.!?…]){SPACE}+', '\1' || chr(10), 'g'), '[\n\r]+'), lambda s: regexp_replace(s, '^{SPACE}+|{SPACE}+$', '', 'g')), lambda s: s <> '')"
 
 
 def _list(items: tuple[str, ...]) -> str:
@@ -265,7 +269,7 @@ _CASES = "SELECT DISTINCT case_id, language, reference_text AS ref, request.tran
 _NUMBERED = f"SELECT doc_id, unnest({stmts('text')}) AS s, generate_subscripts({stmts('text')}, 1) - 1 AS pos FROM ({_DOCS})"
 
 ORACLES = {
-    "text_normalize": rf"SELECT DISTINCT mention_id, {norm('name')} AS norm, regexp_replace({low('name')}, '[^\p{{L}}\p{{N}}_]+', '', 'g') AS name_key, trim(regexp_replace(replace({low('name')}, 'ё', 'е'), '[ \t\n\v\f\r]+', ' ', 'g')) AS collapsed FROM people_mentions",
+    "text_normalize": rf"SELECT DISTINCT mention_id, {norm('name')} AS norm, regexp_replace({low('name')}, '[^\p{{L}}\p{{N}}_]+', '', 'g') AS name_key, trim(regexp_replace(replace({low('name')}, 'ё', 'е'), '{SPACE}+', ' ', 'g')) AS collapsed FROM people_mentions",
     "script_buckets": r"SELECT CASE WHEN c AND l THEN 'mixed' WHEN c THEN 'cyrillic' WHEN l THEN 'latin' ELSE 'other' END AS script, count(*) AS n FROM (SELECT regexp_matches(name, '[\x{0400}-\x{04FF}]') AS c, regexp_matches(name, '[A-Za-z\x{00C0}-\x{024F}]') AS l FROM (SELECT DISTINCT mention_id, name, relation_to_speaker FROM people_mentions)) GROUP BY 1",
     "kazakh_preference": f"SELECT source, count(*) AS n_documents, CAST(sum(CASE WHEN regexp_matches({low('text')}, '[{lexicon.KAZAKH_LETTERS}]') OR list_has_any({words('text')}, {_list(lexicon.FIRST_PERSON['kk'])}) THEN 1 ELSE 0 END) AS BIGINT) AS n_kazakh FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "phrase_containment": f"SELECT case_id, contains(' ' || t || ' ', ' ' || p || ' ') AS named FROM (SELECT DISTINCT case_id, {norm('speaker_name')} AS p, {norm('transcript.full_text')} AS t FROM benchmark_cases)",
