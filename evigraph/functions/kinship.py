@@ -44,3 +44,12 @@ CORRECTIONS = ("жоқ", "дұрыс айтсам", "дұрысы", "дәлір
 JOINERS = ("и", "мен", "және", "пен", "бен", "and")
 COUPLE = ("женаты", "супруги", "поженились", "муж", "жена", "үйленді", "ерлі", "зайыпты", "married", "couple", "wife", "husband")
 SWITCHES = ("но", "однако", "зато", "бірақ", "алайда", "дегенмен", "however", "but")
+
+# Words that marry two names joined before them (True: also standing before the names), phrases that marry the name
+# before to the name after, words that make two joined names siblings, and words that forbid it.
+COUPLE_CUES = {"поженились": False, "поженился": False, "поженилась": False, "женились": False, "женился": False, "женилась": False, "женаты": False, "супруги": True, "мужем и женой": False, "муж и жена": False, "үйленді": False, "үйленген": False, "некелесті": False, "жұбайлар": True, "married": False, "spouses": True}
+MARRY = ("вышла замуж за", "женился на", "женилась на", "поженился с", "поженилась с", "married")
+SIBLING_CUES = ("брат и сестра", "сестра и брат", "brother and sister", "sister and brother")
+ENDED = ("бывшие", "бывший", "бывшая", "развелись", "former", "divorced", "бұрынғы", "ажырасты")
+COUSINS = ("двоюродный", "двоюродная", "двоюродные", "немере", "cousin", "cousins")
+PAIR_CHARS, BEFORE_PAIR_CHARS = 140, 48

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import kinship, lexicon
 from evigraph.functions import text as X
 from evigraph.functions.text import has_phrase, normalize
-from evigraph.operators import linguistics, nested, sanitize
+from evigraph.operators import grounding, linguistics, nested, sanitize
 from evigraph.plans.text_queries import norm, sig, stmts, words
 from evigraph.runtime import materialize, read
 
@@ -88,6 +88,41 @@ def open_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("case_id").agg(F.sum(X.is_open(F.col("s")).cast("long")).alias("n_open"), F.sum(X.question_adds_facts(F.col("s"), F.col("hyp")).cast("long")).alias("n_adding"), F.sum(X.drops_negation(F.col("s"), F.col("hyp")).cast("long")).alias("n_dropping"))
 
 
+def named_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Couples and siblings that transcripts name as pairs."""
+    return grounding.named_pairs(_joined(spark, sf_dir))
+
+
+def mention_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted mentions by evidence class."""
+    transcripts, people = _transcripts(spark, sf_dir), materialize(_people(spark, sf_dir))
+    joined = linguistics.with_people(transcripts, people)
+    anchors = linguistics.annotate(transcripts).where("kind = 'anchor'")
+    out = grounding.mention_classes(people, linguistics.name_occurrences(joined), anchors, transcripts.select("record", "speaker"))
+    return out.groupBy("evidence_class").agg(F.count("*").alias("n"))
+
+
+def claim_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the transcripts make of every extracted relationship."""
+    claims = nested.typed(_tagged(spark, sf_dir), "relationship_claims").select(F.col("record_id").alias("record"), F.col("entity_id").alias("relationship_id"), "relationship_type", F.col("subject_mention_id").alias("subject"), F.col("object_mention_id").alias("object"))
+    joined = _joined(spark, sf_dir)
+    told = linguistics.relationship_signals(joined).select("record", "relationship_type", "subject", "object")
+    pairs = grounding.named_pairs(joined).select("record", "relationship_type", F.col("first").alias("subject"), F.col("second").alias("object"))
+    return grounding.claim_decisions(claims, told.unionByName(pairs))
+
+
+def provenance_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The activities behind every transcript."""
+    return grounding.activities(read(spark, sf_dir, "benchmark_cases"))
+
+
+def merged_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of results once by their content, whatever recording stated them first: people by name, events by type and title."""
+    tagged = _tagged(spark, sf_dir).where(F.col("entity").isin("people_mentions", "events"))
+    rows = tagged.select(F.col("source").alias("record"), F.col("entity").alias("kind"), F.lit(0).alias("pass_order"), "payload")
+    return grounding.merge_passes(rows, {"people_mentions": ["name"], "events": ["event_type", "location"]}).groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_dropped").alias("n_dropped"))
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout = nested.Layout("raw_extraction", nested.ENTITIES, nested.WRAPPERS)
     return nested.flatten_records(read(spark, sf_dir, "benchmark_cases"), "benchmark_cases", "case_id", "raw_extraction", layout)
@@ -104,7 +139,7 @@ def sanitize_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize.issue_table(sanitized_objects(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (lexical_annotations, name_occurrences, relationship_signals, anaphor_links, name_variants, correction_cues, anchor_bundle, description_support, title_support, open_statements, sanitized_objects, sanitize_issues)}
+QUERIES = {f.__name__: f for f in (lexical_annotations, name_occurrences, relationship_signals, anaphor_links, name_variants, correction_cues, anchor_bundle, description_support, title_support, named_pairs, mention_classes, claim_decisions, provenance_activities, merged_passes, open_statements, sanitized_objects, sanitize_issues)}
 
 ORACLES = {
     "name_variants": f"""WITH m AS (SELECT DISTINCT ON (mention_id) family_id AS record, mention_id, name, aliases FROM people_mentions),
@@ -117,4 +152,7 @@ s AS (SELECT case_id, hyp, unnest({stmts('ref')}) AS s FROM c)
 SELECT case_id, CAST(sum(CASE WHEN {' OR '.join(f"contains({norm('s')}, '{x}')" for x in lexicon.OPEN_SIGNALS)} THEN 1 ELSE 0 END) AS BIGINT) AS n_open,
 CAST(sum(CASE WHEN len(list_filter({sig('s')}, lambda w: NOT list_contains([{', '.join(repr(x) for x in lexicon.QUESTION_WORDS)}], w) AND NOT list_contains({sig('hyp')}, w))) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_adding,
 CAST(sum(CASE WHEN list_has_any({words('hyp')}, [{', '.join(repr(x) for x in lexicon.NEGATION)}]) AND NOT list_has_any({words('s')}, [{', '.join(repr(x) for x in lexicon.NEGATION)}]) THEN 1 ELSE 0 END) AS BIGINT) AS n_dropping FROM s GROUP BY 1""",
+    "provenance_activities": """WITH c AS (SELECT DISTINCT case_id AS record, transcript.recording_id AS recording_id, transcript.asr_model AS m, transcript.asr_revision AS v FROM benchmark_cases),
+a AS (SELECT record, recording_id, 'asr' AS stage, m AS system, v AS version FROM c UNION ALL SELECT record, recording_id, 'extractor', 'recorded', '1' FROM c UNION ALL SELECT record, recording_id, 'sanitizer', 'evigraph', '1' FROM c)
+SELECT *, 'activity_' || substr(sha256(coalesce(recording_id, '') || chr(31) || stage || chr(31) || coalesce(system, '') || chr(31) || coalesce(version, '')), 1, 32) AS activity_id FROM a""",
 }
