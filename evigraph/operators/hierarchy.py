@@ -57,13 +57,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        nxt = materialize(small.distinct())
+        nxt = materialize(small.distinct(), n=F.count(F.lit(1)), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         discard(cur)
         cur = nxt
-        now = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == tuple(now):
+        now = (cur.metrics["n"], cur.metrics["h"])
+        if mark == now:
             break
-        mark = tuple(now)
+        mark = now
     else:
         raise RuntimeError("connected components did not settle")
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select(F.col("v"), F.col("v")))

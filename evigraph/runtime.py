@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
@@ -48,17 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **metrics: Column) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage is cut and each row is computed once.
 
-    Unlike a cached table the copy outlives the executors that made it.
+    Unlike a cached table the copy outlives the executors that made it. ``metrics`` are aggregates worked out while the rows
+    are written, without a job of their own; the result has them in ``metrics``.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/evigraph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if metrics else None
+    (df.observe(seen, *(c.alias(n) for n, c in metrics.items())) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evigraph_path = path
+    out.metrics = seen.get if seen else {}
     atexit.register(_discard_at_exit, out)
     return out
 
