@@ -82,3 +82,8 @@ QUESTION_WORDS = ("кто", "чей", "чья", "чьи", "какой", "как
 OPEN_SIGNALS = ("не знаю", "не помню", "кажется", "возможно", "кто", "чей", "чья", "чьи", "неясно", "білмеймін", "есімде жоқ", "кім", "мүмкін", "maybe", "not sure", "who")
 ALIAS_CUES = ("по прозвищу", "прозвище", "также звали", "также звался", "также звалась", "называли", "назывался", "называлась", "лақап аты", "деп атайтын", "екінші аты", "also known as", "nicknamed", "called")
 ALIAS_CHARS = 32
+
+# What keeps a phrase of uncertainty from counting near it, and words that report speech.
+UNCERTAINTY_GUARDS = ("без сомнения", "без сомнений", "точно", "анық")
+GUARD_CHARS = 16
+REPORTED = ("сказал", "сказала", "сказали", "говорил", "говорила", "говорили", "утверждал", "утверждала", "утверждали", "айтты", "деді")

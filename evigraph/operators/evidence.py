@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import lexicon
-from evigraph.functions.text import normalize, occurrences
+from evigraph.functions.text import has_phrase, normalize, occurrences
 
 
 def segments_of(cases: DataFrame, key: str = "case_id") -> DataFrame:
@@ -69,6 +69,25 @@ def previous_context(segments: DataFrame, most_chars: int = lexicon.CONTEXT_CHAR
     return segments.withColumn("before", F.lag("text").over(w)).withColumn("joint_chars", F.when(joint <= most_chars, joint).otherwise(F.length("text"))).withColumn("has_previous", F.coalesce(joint <= most_chars, F.lit(False)))
 
 
+def ordered_segments(rows: DataFrame, key: str, references: str, segments: DataFrame, keep_unknown: bool = True) -> DataFrame:
+    """(key, segments) with the distinct references of each row in transcript order; unknown ones last, in order, or dropped.
+
+    ``rows`` have the column record.
+    """
+    each = rows.select("record", key, F.explode(F.array_distinct(F.col(references))).alias("segment_id"))
+    each = each.join(segments.select("record", "segment_id", "seg_ord"), ["record", "segment_id"], "left" if keep_unknown else "inner")
+    at = F.struct(F.col("seg_ord").isNull().alias("unknown"), "seg_ord", "segment_id")
+    return each.groupBy("record", key).agg(F.array_sort(F.collect_set(at)).alias("s")).select("record", key, F.transform("s", lambda x: x["segment_id"]).alias("segments"))
+
+
+def identity_segment(rows: DataFrame, key: str, name: str, references: str, segments: DataFrame) -> DataFrame:
+    """(key, segment_id): the first cited segment that names the row, else the first one cited, both in transcript order."""
+    each = rows.select("record", key, normalize(F.col(name)).alias("n"), F.explode(F.array_distinct(F.col(references))).alias("segment_id"))
+    each = each.join(segments.select("record", "segment_id", "seg_ord", normalize(F.col("text")).alias("t")), ["record", "segment_id"])
+    named = F.coalesce((F.length("n") > 0) & has_phrase(F.col("t"), F.col("n")), F.lit(False))
+    return each.groupBy("record", key).agg(F.min_by("segment_id", F.struct((~named).alias("no"), "seg_ord")).alias("segment_id"))
+
+
 def nearest_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, within: float, size: str) -> DataFrame:
     """As-of join forward: for each left row the nearest right row of its keys that begins within a distance; ties go to the longest.
 

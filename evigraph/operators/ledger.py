@@ -53,6 +53,14 @@ def alias_conflicts(names: DataFrame) -> DataFrame:
     return out.select("family_id", "key", F.size("p").cast("long").alias("n_people"), F.array_join("p", ",").alias("people"))
 
 
+def temporal_conflicts(events: DataFrame, types: tuple[str, ...] = ("birth", "death")) -> DataFrame:
+    """Events of one type and the same participants in a record that give more than one date. ``events``: record, event_id,
+    event_type, participants (array), date (text); events without participants or date do not conflict."""
+    rows = events.where(F.col("event_type").isin(*types) & F.col("date").isNotNull() & (F.size("participants") > 0)).select("record", "event_id", "event_type", F.array_join(F.array_sort(F.array_distinct("participants")), ",").alias("people"), "date").distinct()
+    out = rows.groupBy("record", "event_type", "people").agg(F.array_sort(F.collect_set("date")).alias("d"), F.size(F.collect_set("event_id")).cast("long").alias("n_events"))
+    return out.where(F.size("d") > 1).select("record", "event_type", "people", "n_events", F.array_join("d", ",").alias("dates"))
+
+
 def profile_names(profiles: DataFrame) -> DataFrame:
     """(family_id, person_id, name, source) of canonical names and aliases, each once."""
     p = profiles.select("family_id", "person.*")

@@ -275,10 +275,59 @@ def links(segments: list[dict], people: list[dict]) -> list[tuple[str, int, int,
     return out
 
 
+_CLAUSE = re.compile(r"(?<=[.!?;])\s+|\s+(?=(?:а|но|однако|бірақ|ал|дегенмен)\s)|\.{2,}\s*", re.IGNORECASE)
+
+
+def clauses(text: str) -> list[Span]:
+    """Clauses, cut after end marks, before words that oppose, and at dots of omission."""
+    out, at = [], 0
+    for m in [*_CLAUSE.finditer(text), None]:
+        a, b = _trim(text, at, m.start() if m else len(text))
+        if a < b:
+            out.append(Span(a, b, text[a:b], "clause"))
+        at = m.end() if m else at
+    return out
+
+
+def uncertainty(text: str) -> list[Span]:
+    """Phrases of uncertainty outside quotations, with their status; none after a negation or near a word of certainty."""
+    ts = tokens(text)
+    table = {tuple(t.info for t in tokens(p)): (status, p) for status, ps in lexicon.UNCERTAINTY.items() for p in ps}
+    scopes = quotation_scopes(text)
+    guards = [s for s, _ in _phrases(ts, {tuple(g.split()): g for g in lexicon.UNCERTAINTY_GUARDS}, "guard")]
+    out = []
+    for s, (status, phrase) in _phrases(ts, table, "uncertainty"):
+        before = [t.info for t in ts if t.end <= s.start][-1:]
+        own = set(phrase.split())
+        near = any(g.text.casefold() not in own and max(g.start - s.end, s.start - g.end) <= lexicon.GUARD_CHARS and not (s.start <= g.start < s.end) for g in guards)
+        if scopes[s.start] == 0 and before != ["не"] and not near:
+            out.append(Span(s.start, s.end, s.text, "uncertainty", status))
+    return out
+
+
+def scoped_uncertainty(text: str, surface: str) -> str | None:
+    """The status of a surface: reported where it stands only inside reported quotations, else that of the markers of its one
+    clause, unresolved where its clause cannot be told, None without a marker."""
+    ts = tokens(text)
+    hits = name_matches(ts, surface)
+    scopes = quotation_scopes(text)
+    if hits and all(scopes[h.start] for h in hits) and any(t.info in lexicon.REPORTED for t in ts):
+        return "reported"
+    found = uncertainty(text)
+    if not found:
+        return None
+    own = [c for c in clauses(text) if any(c.start <= h.start < c.end for h in hits)]
+    if len(own) != 1:
+        return "unresolved"
+    order = ("uncertain", "remembered_imprecisely", "unresolved")
+    inside = [m.info for m in found if own[0].start <= m.start < own[0].end]
+    return max(inside, key=order.index) if inside else None
+
+
 def annotations(text: str) -> list[Span]:
-    """Units, kinship words, third-person words and first-person anchors of a text."""
+    """Units, kinship words, third-person words, first-person anchors and phrases of uncertainty of a text."""
     ts = tokens(text)
-    out = list(units(text)) + anchors(ts)
+    out = list(units(text)) + anchors(ts) + uncertainty(text)
     out += [Span(s.start, s.end, s.text, "kinship", f"{lang}:{frame[0]}:{frame[2]}") for s, lang, frame in kinship(ts)]
     out += [Span(s.start, s.end, s.text, "anaphor", f"{lang}:{number}") for s, lang, number in anaphors(ts)]
     return sorted(out, key=lambda s: (s.start, s.end, s.kind))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import kinship, lexicon
 from evigraph.functions import text as X
 from evigraph.functions.text import has_phrase, normalize
-from evigraph.operators import grounding, linguistics, nested, sanitize
+from evigraph.operators import evidence, grounding, ledger, linguistics, nested, sanitize
 from evigraph.plans.text_queries import norm, sig, stmts, words
 from evigraph.runtime import materialize, read
 
@@ -88,6 +88,22 @@ def open_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("case_id").agg(F.sum(X.is_open(F.col("s")).cast("long")).alias("n_open"), F.sum(X.question_adds_facts(F.col("s"), F.col("hyp")).cast("long")).alias("n_adding"), F.sum(X.drops_negation(F.col("s"), F.col("hyp")).cast("long")).alias("n_dropping"))
 
 
+def temporal_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weddings and moves of the same people in one record with different dates (births seldom come twice)."""
+    e = nested.project_records(lambda t: read(spark, sf_dir, t))
+    rows = nested.typed(e, "events").select(F.col("record_id").alias("record"), F.col("entity_id").alias("event_id"), "event_type", F.col("participant_mention_ids").alias("participants"), F.col("date.value").alias("date"))
+    return ledger.temporal_conflicts(rows, ("birth", "death", "wedding", "move"))
+
+
+def ordered_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cited segments of every extracted mention in transcript order, and the one that shows who it is."""
+    people = materialize(_people(spark, sf_dir))
+    segments = evidence.segments_of(read(spark, sf_dir, "benchmark_cases"))
+    order = evidence.ordered_segments(people, "mention_id", "source_segment_ids", segments)
+    best = evidence.identity_segment(people, "mention_id", "name", "source_segment_ids", segments)
+    return order.join(best, ["record", "mention_id"], "left").select("record", "mention_id", F.array_join("segments", ",").alias("segments"), "segment_id")
+
+
 def named_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Couples and siblings that transcripts name as pairs."""
     return grounding.named_pairs(_joined(spark, sf_dir))
@@ -139,7 +155,7 @@ def sanitize_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize.issue_table(sanitized_objects(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (lexical_annotations, name_occurrences, relationship_signals, anaphor_links, name_variants, correction_cues, anchor_bundle, description_support, title_support, named_pairs, mention_classes, claim_decisions, provenance_activities, merged_passes, open_statements, sanitized_objects, sanitize_issues)}
+QUERIES = {f.__name__: f for f in (lexical_annotations, name_occurrences, relationship_signals, anaphor_links, name_variants, correction_cues, anchor_bundle, description_support, title_support, temporal_conflicts, ordered_citations, named_pairs, mention_classes, claim_decisions, provenance_activities, merged_passes, open_statements, sanitized_objects, sanitize_issues)}
 
 ORACLES = {
     "name_variants": f"""WITH m AS (SELECT DISTINCT ON (mention_id) family_id AS record, mention_id, name, aliases FROM people_mentions),

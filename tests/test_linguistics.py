@@ -85,3 +85,13 @@ def test_anchor_bundle_numbers_each_once(spark):
     got = rows(L.anchor_bundle(L.with_people(t, p)), "anchor_id", "kind", "surface")
     assert [g[0] for g in got] == [f"anchor_{i:03d}" for i in range(1, len(got) + 1)]
     assert {(k, s) for _, k, s in got} == {("speaker", "Менің"), ("speaker", "әкем"), ("known_person", "Асқар"), ("name_candidate", "Асқар"), ("name_candidate", "Қайрат")}
+
+
+@pytest.mark.parametrize(("text", "surface", "want"), [
+    ("Кажется, Анна уехала.", "Анна", "uncertain"), ("Мне не кажется, Анна уехала.", "Анна", None), ("Без сомнения, возможно, Анна уехала.", "Анна", None),
+    ("Кажется, Вера ушла, но Анна уехала.", "Анна", None), ("Возможно, она ушла.", "Анна", "unresolved"), ("Точно не знаю, Анна уехала.", "Анна", "unresolved"),
+    ("Он сказал: «Анна уехала».", "Анна", "reported"), ("Анна уехала.", "Анна", None), ("", "Анна", None), ("Мүмкін, Анна кетті.", "Анна", "uncertain"),
+])
+def test_uncertainty(text, surface, want):
+    assert L.scoped_uncertainty(text, surface) == want
+    assert all(text[c.start : c.end] == c.text for c in L.clauses(text))

@@ -147,3 +147,16 @@ def test_traces_count_an_event_once(spark):
 def test_sensitive_attributes_stay(spark):
     e = spark.createDataFrame([("e1", {"Model": "x", "API_Token": "t", "long": "y" * 300})], "event_id string, attributes map<string,string>")
     assert rows(traces.safe_attributes(e)) == [("e1", "long", "y" * 256), ("e1", "model", "x")]
+
+
+def test_citations_in_transcript_order(spark):
+    s = segments(spark, ["Анна пришла", "Вера ушла", "Анна ушла"])
+    p = spark.createDataFrame([("r", "a", "Анна", ["s2", "zz", "s0", "s2"]), ("r", "b", "Вера", ["s2", "s1"]), ("r", "c", "Ира", ["s2", "s1"]), ("r", "d", None, ["zz"]), ("r", "e", "x", None)], "record string, m string, name string, refs array<string>")
+    assert rows(evidence.ordered_segments(p, "m", "refs", s), "m", "segments") == [("a", ["s0", "s2", "zz"]), ("b", ["s1", "s2"]), ("c", ["s1", "s2"]), ("d", ["zz"])]
+    assert rows(evidence.ordered_segments(p, "m", "refs", s, keep_unknown=False), "m", "segments")[-1] == ("c", ["s1", "s2"])
+    assert rows(evidence.identity_segment(p, "m", "name", "refs", s), "m", "segment_id") == [("a", "s0"), ("b", "s1"), ("c", "s1")]
+
+
+def test_temporal_conflicts(spark):
+    e = spark.createDataFrame([("r", "1", "birth", ["a", "b"], "1950"), ("r", "2", "birth", ["b", "a"], "1951"), ("r", "2", "birth", ["b", "a"], "1951"), ("r", "3", "birth", ["a"], "1950"), ("r", "4", "birth", ["a"], "1950"), ("r", "5", "move", ["a"], "1"), ("r", "6", "move", ["a"], "2"), ("r", "7", "birth", [], "1"), ("r", "8", "birth", None, "2")], "record string, event_id string, event_type string, participants array<string>, date string")
+    assert rows(ledger.temporal_conflicts(e)) == [("r", "birth", "a,b", 2, "1950,1951")]
