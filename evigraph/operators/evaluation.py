@@ -83,3 +83,58 @@ def gate(measures: DataFrame, thresholds: list[tuple[str, float | None, float |
     least = F.coalesce(*(F.when(F.col("measure") == n, F.lit(a)) for n, a, _ in thresholds), F.lit(None).cast("double"))
     most = F.coalesce(*(F.when(F.col("measure") == n, F.lit(b)) for n, _, b in thresholds), F.lit(None).cast("double"))
     return long.withColumn("passed", (F.col("value") >= F.coalesce(least, F.col("value"))) & (F.col("value") <= F.coalesce(most, F.col("value"))))
+
+
+def unique_keys(pairs: DataFrame, left: str, key: str) -> DataFrame:
+    """(left, key) of what has exactly one distinct key; the rest is unmatched, never guessed."""
+    return pairs.where(F.col(key).isNotNull()).groupBy(left).agg(F.min(key).alias(key), F.max(key).alias("_b")).where(F.col(key) == F.col("_b")).drop("_b")
+
+
+def set_counts(actual: DataFrame, expected: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """tp, fp, fn of two sets of values by ``keys``; repeated values count once."""
+    return multiset_counts(actual.select(*keys, value).distinct(), expected.select(*keys, value).distinct(), keys, value)
+
+
+def person_counts(mapped: DataFrame, gold: DataFrame, by: str, key: str) -> DataFrame:
+    """tp, fp, fn of mentions against gold people: distinct matched people are right, every further mention is not.
+
+    ``mapped``: by and key of every mention, null where it matches nobody; ``gold``: by and key of every person.
+    """
+    a = mapped.groupBy(by).agg(F.size(F.collect_set(key)).cast("long").alias("tp"), F.count(F.lit(1)).alias("n"))
+    g = gold.select(by, key).distinct().groupBy(by).agg(F.count(F.lit(1)).alias("g"))
+    j = a.join(g, by, "full_outer").select(by, F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("g", F.lit(0)).alias("g"))
+    return j.select(by, "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))
+
+
+def duplicates(rows: DataFrame, by: str, keys: list[str]) -> DataFrame:
+    """For each ``by``: rows beyond the first of their key."""
+    return rows.groupBy(by, *keys).agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.sum(F.col("n") - 1).alias("n_duplicates"))
+
+
+def equal_share(actual: DataFrame, expected: DataFrame, key: str, value: str) -> DataFrame:
+    """One row: how many expected keys have the expected value, and their share."""
+    j = expected.select(key, F.col(value).alias("_e")).join(actual.select(key, F.col(value).alias("_a")), key, "left")
+    counts = j.agg(F.coalesce(F.sum(F.col("_e").eqNullSafe(F.col("_a")).cast("long")), F.lit(0)).alias("n_equal"), F.count(F.lit(1)).alias("n_expected"))
+    return counts.withColumn("share", ratio(F.col("n_equal"), F.col("n_expected")))
+
+
+def resolution_scores(actual: DataFrame, gold: DataFrame, by: str) -> DataFrame:
+    """For each ``by``: right statuses, merges into a wrong person, and people of gold that were called new.
+
+    ``actual``: mention_id, status, person_id; ``gold``: by, mention_id, gold_status, gold_person.
+    """
+    j = gold.join(actual, "mention_id", "left")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    merged = (F.col("status") == "resolved") & ~F.col("person_id").eqNullSafe(F.col("gold_person"))
+    split = (F.col("gold_status") == "resolved") & (F.col("status") == "new_person")
+    out = j.groupBy(by).agg(F.count(F.lit(1)).alias("n_mentions"), n(F.col("status") == F.col("gold_status")).alias("n_right"), n(merged).alias("n_merged"), n(split).alias("n_split"))
+    return out.withColumn("accuracy", ratio(F.col("n_right"), F.col("n_mentions")))
+
+
+def closure(objects: DataFrame, references: str, known: DataFrame, by: str) -> DataFrame:
+    """For each ``by``: objects, and those that cite something and only what is known. ``known``: by and id."""
+    ids = known.groupBy(by).agg(F.collect_set("id").alias("_ids"))
+    j = objects.join(ids, by, "left")
+    refs = F.coalesce(F.col(references), F.array().cast("array<string>"))
+    closed = (F.size(refs) > 0) & (F.size(F.array_except(refs, F.coalesce("_ids", F.array().cast("array<string>")))) == 0)
+    return j.groupBy(by).agg(F.count(F.lit(1)).alias("n_objects"), F.sum(closed.cast("long")).alias("n_closed"))

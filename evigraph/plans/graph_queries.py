@@ -266,6 +266,46 @@ def gate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gate(prf_micro(spark, sf_dir), [("precision", 0.9, None), ("recall", 0.9, None), ("fn", None, 100.0), ("tp", 1.0, None)])
 
 
+def _exact_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mention_id, person_id) of mentions whose name is a name of exactly one person of their family."""
+    names = ledger.profile_names(read(spark, sf_dir, "known_profiles")).select("family_id", "person_id", X.name_key(F.col("name")).alias("key")).where("key <> ''")
+    m = _mentions(spark, sf_dir).select("mention_id", "family_id", X.name_key(F.col("name")).alias("key"))
+    return evaluation.unique_keys(m.join(names, ["family_id", "key"]), "mention_id", "person_id")
+
+
+def unique_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one person of every mention whose name only that person has."""
+    return _exact_people(spark, sf_dir)
+
+
+def person_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of the people of every family that its mentions name exactly."""
+    mapped = _mentions(spark, sf_dir).select("mention_id", "family_id").join(_exact_people(spark, sf_dir), "mention_id", "left")
+    gold = read(spark, sf_dir, "known_profiles").select("family_id", "person.person_id")
+    return evaluation.prf(evaluation.person_counts(mapped, gold, "family_id", "person_id"))
+
+
+def duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of every family beyond the first of their name and category."""
+    m = _mentions(spark, sf_dir).withColumn("key", X.name_key(F.col("name")))
+    return evaluation.duplicates(m, "family_id", ["key", "category"])
+
+
+def resolution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule-based resolver against exact unique names, by family."""
+    m = _mentions(spark, sf_dir)
+    exact = _exact_people(spark, sf_dir).withColumnRenamed("person_id", "gold_person")
+    gold = m.select("mention_id", "family_id").join(exact, "mention_id").withColumn("gold_status", F.lit("resolved"))
+    return evaluation.resolution_scores(resolution.resolve(m, _profiles(spark, sf_dir)), gold, "family_id")
+
+
+def citation_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of every family whose ends are all known, of all its edges."""
+    e = _edges(spark, sf_dir).select("family_id", F.array_compact(F.array("subject_person_id", "object_person_id")).alias("ends"))
+    known = read(spark, sf_dir, "known_profiles").select("family_id", F.col("person.person_id").alias("id"))
+    return evaluation.closure(e, "ends", known, "family_id")
+
+
 # traces
 
 
@@ -356,7 +396,7 @@ QUERIES = {
         mention_issues, edge_issues, segment_issues, first_wins, semantic_dedup, repeated_deliveries, result_coverage, recordings_with_results,
         graph_edges, conflict_pairs, alias_conflicts, claim_insert_absent, people_upsert, neighbour_context, profile_facets, replay_digest,
         name_candidates, resolver_status, graph_signals,
-        prf_multiset, prf_micro, word_edits, error_rates, text_sizes, gate_check,
+        prf_multiset, prf_micro, word_edits, error_rates, text_sizes, gate_check, unique_people, person_metrics, duplicate_counts, resolution_scores, citation_closure,
         job_trace, job_totals, trace_sanitize, trace_gaps, late_events, retention_preview, runtime_budget, stage_quantiles, latest_recording, newest_recordings,
         smart_ranges, edge_padding, shared_words, merged_parts,
     )
@@ -383,6 +423,7 @@ _NAMES = "nm AS (SELECT DISTINCT family_id, person.person_id AS person_id, perso
 _MK = f"mk AS (SELECT DISTINCT mention_id, family_id, {_key('surface')} AS key, k FROM (SELECT mention_id, family_id, name AS surface, 'name' AS k FROM people_mentions UNION ALL SELECT mention_id, family_id, unnest(aliases), 'alias' FROM people_mentions) WHERE surface IS NOT NULL)"
 _PK = f"pk AS (SELECT DISTINCT family_id, person_id, {_key('surface')} AS key, k FROM (SELECT family_id, person.person_id AS person_id, person.canonical_name AS surface, 'canonical' AS k FROM known_profiles UNION ALL SELECT family_id, person.person_id, unnest(person.aliases), 'alias' FROM known_profiles UNION ALL SELECT family_id, person.person_id, unnest(verified_aliases), 'verified_alias' FROM known_profiles) WHERE surface IS NOT NULL)"
 _CAND = f"{_MK}, {_PK}, c AS (SELECT mention_id, person_id, list_sort(list(DISTINCT mk.k || '_matches_' || pk.k)) AS rules FROM mk JOIN pk USING (family_id, key) WHERE key <> '' GROUP BY 1, 2)"
+_EXACT = f"{_NAMES}, ek AS (SELECT DISTINCT family_id, person_id, {_KEY} AS key FROM nm WHERE name IS NOT NULL AND {_KEY} <> ''), ex AS (SELECT mention_id, min(person_id) AS person_id FROM (SELECT DISTINCT mention_id, family_id, {_KEY} AS key FROM people_mentions) JOIN ek USING (family_id, key) GROUP BY 1 HAVING count(DISTINCT person_id) = 1)"
 _GEN = "CASE " + " ".join(f"WHEN {{r}} IN ({', '.join(repr(w) for w in ws)}) THEN {g}" for g, ws in lexicon.GENERATIONS.items()) + " END"
 _RESOLVE = f"""{_CAND},
 mm AS (SELECT DISTINCT ON (mention_id) mention_id, recording_id, category AS mc, {norm('relation_to_speaker')} AS mr, assertion_mode AS am FROM people_mentions),
@@ -465,4 +506,9 @@ SELECT record, CAST(chunk AS BIGINT) AS chunk, min(a) AS start, max(b) AS "end"
     "shared_words": f"""WITH {_S}, n AS (SELECT record, segment_id, text, lead(text) OVER (PARTITION BY record ORDER BY seg_ord) AS nxt FROM s),
 w AS (SELECT record, segment_id, list_transform(string_split_regex(trim(text), '[ \t\n\v\f\r]+'), lambda x: {_key("x")}) AS a, list_transform(string_split_regex(trim(nxt), '[ \t\n\v\f\r]+'), lambda x: {_key("x")}) AS b FROM n WHERE nxt IS NOT NULL)
 SELECT record, segment_id, CAST(coalesce(list_max(list_filter(range(2, {lexicon.OVERLAP_WORDS} + 1), lambda k: k <= len(a) AND k <= len(b) AND list_slice(a, len(a) - k + 1, len(a)) = list_slice(b, 1, k) AND NOT list_contains(list_slice(b, 1, k), ''))), 0) AS BIGINT) AS n_shared FROM w""",
+    "unique_people": f"WITH {_EXACT} SELECT mention_id, person_id FROM ex",
+    "person_metrics": f"WITH {_EXACT}, {_M}, a AS (SELECT family_id, count(DISTINCT person_id) AS tp, count(*) AS n FROM m LEFT JOIN ex USING (mention_id) GROUP BY 1), g AS (SELECT family_id, count(DISTINCT person.person_id) AS g FROM known_profiles GROUP BY 1), c AS (SELECT family_id, coalesce(tp, 0) AS tp, coalesce(n, 0) - coalesce(tp, 0) AS fp, coalesce(g, 0) - coalesce(tp, 0) AS fn FROM a FULL JOIN g USING (family_id)) {_prf('c', 'family_id, ')}",
+    "duplicate_counts": f"WITH {_M} SELECT family_id, CAST(sum(n - 1) AS BIGINT) AS n_duplicates FROM (SELECT family_id, {_KEY} AS key, category, count(*) AS n FROM m GROUP BY 1, 2, 3) GROUP BY 1",
+    "resolution_scores": f"WITH {_RESOLVE}, {_EXACT}, jg AS (SELECT DISTINCT ON (mention_id) m.mention_id, m.family_id, ex.person_id AS gold FROM people_mentions m JOIN ex USING (mention_id)) SELECT family_id, count(*) AS n_mentions, CAST(sum(CASE WHEN status = 'resolved' THEN 1 ELSE 0 END) AS BIGINT) AS n_right, CAST(sum(CASE WHEN status = 'resolved' AND person_id IS DISTINCT FROM gold THEN 1 ELSE 0 END) AS BIGINT) AS n_merged, CAST(sum(CASE WHEN status = 'new_person' THEN 1 ELSE 0 END) AS BIGINT) AS n_split, CAST(sum(CASE WHEN status = 'resolved' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS accuracy FROM jg LEFT JOIN res USING (mention_id) GROUP BY 1",
+    "citation_closure": f"WITH {_G}, k AS (SELECT DISTINCT family_id, person.person_id AS id FROM known_profiles) SELECT family_id, count(*) AS n_objects, CAST(sum(CASE WHEN (subject_person_id IS NOT NULL OR object_person_id IS NOT NULL) AND (subject_person_id IS NULL OR EXISTS (SELECT 1 FROM k WHERE k.family_id = e.family_id AND k.id = subject_person_id)) AND (object_person_id IS NULL OR EXISTS (SELECT 1 FROM k WHERE k.family_id = e.family_id AND k.id = object_person_id)) THEN 1 ELSE 0 END) AS BIGINT) AS n_closed FROM e GROUP BY 1",
 }

@@ -160,3 +160,23 @@ def test_citations_in_transcript_order(spark):
 def test_temporal_conflicts(spark):
     e = spark.createDataFrame([("r", "1", "birth", ["a", "b"], "1950"), ("r", "2", "birth", ["b", "a"], "1951"), ("r", "2", "birth", ["b", "a"], "1951"), ("r", "3", "birth", ["a"], "1950"), ("r", "4", "birth", ["a"], "1950"), ("r", "5", "move", ["a"], "1"), ("r", "6", "move", ["a"], "2"), ("r", "7", "birth", [], "1"), ("r", "8", "birth", None, "2")], "record string, event_id string, event_type string, participants array<string>, date string")
     assert rows(ledger.temporal_conflicts(e)) == [("r", "birth", "a,b", 2, "1950,1951")]
+
+
+def test_scores(spark):
+    pairs = spark.createDataFrame([("m1", "a"), ("m1", "a"), ("m2", "a"), ("m2", "b"), ("m3", None)], "m string, p string")
+    assert rows(evaluation.unique_keys(pairs, "m", "p")) == [("m1", "a")]
+    mapped = spark.createDataFrame([("f", "a"), ("f", "a"), ("f", None), ("g", "b")], "f string, p string")
+    gold = spark.createDataFrame([("f", "a"), ("f", "c"), ("h", "z"), ("g", "b")], "f string, p string")
+    assert rows(evaluation.person_counts(mapped, gold, "f", "p")) == [("f", 1, 2, 1), ("g", 1, 0, 0), ("h", 0, 0, 1)]
+    assert rows(evaluation.set_counts(mapped, gold, ["f"], "p")) == [("f", 1, 1, 1), ("g", 1, 0, 0), ("h", 0, 0, 1)]
+    assert rows(evaluation.duplicates(mapped, "f", ["p"])) == [("f", 1), ("g", 0)]
+    one = spark.createDataFrame([("k1", "x"), ("k2", None)], "k string, v string")
+    two = spark.createDataFrame([("k1", "x"), ("k2", None), ("k3", "y")], "k string, v string")
+    assert rows(evaluation.equal_share(one, two, "k", "v"), "n_equal", "n_expected") == [(2, 3)]
+    assert rows(evaluation.equal_share(one, two.limit(0), "k", "v"), "share") == [(1.0,)]
+    actual = spark.createDataFrame([("m1", "resolved", "a"), ("m2", "resolved", "b"), ("m3", "new_person", None), ("m4", "needs_review", None)], "mention_id string, status string, person_id string")
+    want = spark.createDataFrame([("f", "m1", "resolved", "a"), ("f", "m2", "resolved", "a"), ("f", "m3", "resolved", "c"), ("f", "m4", "needs_review", None), ("f", "m5", "new_person", None)], "f string, mention_id string, gold_status string, gold_person string")
+    assert rows(evaluation.resolution_scores(actual, want, "f"), "n_mentions", "n_right", "n_merged", "n_split") == [(5, 3, 1, 1)]
+    objects = spark.createDataFrame([("f", ["a"]), ("f", ["a", "q"]), ("f", []), ("f", None), ("g", ["a"])], "f string, refs array<string>")
+    known = spark.createDataFrame([("f", "a")], "f string, id string")
+    assert rows(evaluation.closure(objects, "refs", known, "f")) == [("f", 4, 1), ("g", 1, 0)]
