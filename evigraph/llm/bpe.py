@@ -161,19 +161,29 @@ class Encoder:
     def _reset(self) -> None:
         self.parts: dict[str, list[int]] = {}
         self.number: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.words = 0
+        self.store = np.zeros(4096, np.int32)
+        self.offsets = np.zeros(1024, np.int64)
+        self.stored = 0
         self.sizes = np.zeros(1024, np.int32)
         self.ends = np.zeros(1024, np.int8)
         self.spaced = np.zeros(1024, bool)
 
     def _learn(self, words: list[str]) -> None:
-        first = len(self.ids)
-        self.ids.extend(merge_words([w.encode("utf-8", "surrogatepass") for w in words], self.vocabulary))
-        while len(self.sizes) < len(self.ids):
-            self.sizes, self.ends, self.spaced = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.ends, self.spaced))
+        merged = merge_words([w.encode("utf-8", "surrogatepass") for w in words], self.vocabulary)
+        ids = np.fromiter(chain.from_iterable(merged), np.int32)
+        while len(self.store) < self.stored + len(ids):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        self.store[self.stored : self.stored + len(ids)] = ids
+        first, self.words = self.words, self.words + len(words)
+        while len(self.sizes) < self.words:
+            self.sizes, self.ends, self.spaced, self.offsets = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.ends, self.spaced, self.offsets))
+        sizes = np.array([len(m) for m in merged], np.int64)
+        self.sizes[first : self.words] = sizes
+        self.offsets[first : self.words] = self.stored + np.cumsum(sizes) - sizes
+        self.stored += len(ids)
         for i, w in enumerate(words, first):
             self.number[w] = i
-            self.sizes[i] = len(self.ids[i])
             self.ends[i] = _end_class(w)
             self.spaced[i] = w[0].isspace()
 
@@ -190,9 +200,10 @@ class Encoder:
         return [np.fromiter(map(get, words), np.int32, len(words)) for words in cut]
 
     def flat(self, numbers: np.ndarray) -> np.ndarray:
-        """The ids of a row of word numbers."""
-        n = int(self.sizes[numbers].sum())
-        return np.fromiter(chain.from_iterable(map(self.ids.__getitem__, numbers.tolist())), np.int32, n)
+        """The ids of a row of word numbers: one gather from the store of all words."""
+        sizes = self.sizes[numbers]
+        at = np.cumsum(sizes, dtype=np.int64) - sizes
+        return self.store[np.arange(int(sizes.sum())) + np.repeat(self.offsets[numbers] - at, sizes)]
 
     def encode(self, text: str) -> list[int]:
         return self.flat(self.numbers([text])[0]).tolist()
