@@ -6,6 +6,8 @@ year, a range of years, a decade, an age, a year with or without before / after
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,23 @@ MONTH_YEAR = _pattern(rf"({_MONTH})\s+([0-9]{{4}})")
 RANGE = _pattern(r"(1[5-9][0-9]{2}|20[0-9]{2})\s*(?:-|–|—|и|мен)\s*(1[5-9][0-9]{2}|20[0-9]{2})")
 AGE = _pattern(r"(?:когда\s+(?:ему|ей)\s+было\s+(?:лет\s+)?[0-9]{1,3}|[0-9]{1,3}\s+жасында)")
 YEAR = _pattern(f"({_YEAR})")
-ABOUT = _pattern("(?:примерно|около|приблизительно|шамамен|шамасы|сияқты)")
-BEFORE, AFTER = _pattern("(?:до|дейін|бұрын)"), _pattern("(?:после|кейін|соң)")
+ABOUT, BEFORE, AFTER = ("примерно", "около", "приблизительно", "шамамен", "шамасы", "сияқты"), ("до", "дейін", "бұрын"), ("после", "кейін", "соң")
 
 
 def _stems(words: tuple[str, ...]) -> str:
     return "|".join(w.replace(" ", r"\s+") for w in words)
 
 
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text has the last word of one of ``words`` anywhere; without it no pattern of them can match, and this is far cheaper."""
+    return reduce(Column.__or__, (F.contains(text, F.lit(w.split(" ")[-1])) for w in words))
+
+
+def _has(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text has one of ``words`` as a whole word."""
+    return _holds(text, words) & text.rlike(_pattern(f"(?:{'|'.join(words)})"))
+
+
 def iso(year: Column, month: Column | None = None, day: Column | None = None) -> Column:
     """A partial ISO date."""
     out = F.lpad(year.cast("string"), 4, "0")
@@ -58,7 +69,7 @@ def month_number(word: Column) -> Column:
 
 def decade(text: Column) -> Column:
     """The first year of the decade that a text names, else null."""
-    return F.coalesce(*(F.when(text.rlike(_EDGE + f"(?:{_stems(ws)})"), F.lit(base)) for base, ws in lexicon.DECADES.items()))
+    return F.coalesce(*(F.when(_holds(text, ws) & text.rlike(_EDGE + f"(?:{_stems(ws)})"), F.lit(base)) for base, ws in lexicon.DECADES.items()))
 
 
 def decade_bounds(base: Column, text: Column) -> tuple[Column, Column]:
@@ -80,7 +91,8 @@ def with_dates(rows: DataFrame, expression: str) -> DataFrame:
     every pattern many times over and be too large for generated code.
     """
     x = F.col("_x")
-    got = lambda pattern, i: F.nullif(F.regexp_extract(x, pattern, i), F.lit(""))
+    # all that is extracted holds a digit
+    got = lambda pattern, i: F.when(F.col("_digit"), F.nullif(F.regexp_extract(x, pattern, i), F.lit("")))
     found = {
         "_iso": F.concat_ws("-", got(ISO, 1), got(ISO, 2), got(ISO, 3)),
         "_day": got(DAY_MONTH, 1).try_cast("int"),
@@ -92,18 +104,18 @@ def with_dates(rows: DataFrame, expression: str) -> DataFrame:
         "_to": got(RANGE, 2),
         "_base": decade(x),
         "_year": got(YEAR, 1).try_cast("int"),
-        "_about": x.rlike(ABOUT),
-        "_before": x.rlike(BEFORE),
-        "_after": x.rlike(AFTER),
+        "_about": _has(x, ABOUT),
+        "_before": _has(x, BEFORE),
+        "_after": _has(x, AFTER),
     }
-    rows = rows.withColumn("_x", lowered(F.trim(expression))).withColumns(found)
+    rows = rows.withColumn("_x", lowered(F.trim(expression))).withColumn("_digit", x.rlike("[0-9]")).withColumns(found)
     c = F.col
     full, month_year = iso(c("_dm_year"), c("_month"), c("_day")), iso(c("_y2"), c("_m2"))
     low, high = decade_bounds(c("_base"), x)
     end = lambda y: F.concat(y, F.lit("-12-31"))
     readings: list[tuple[Column, dict]] = [
         (x == "", {"kind": "invalid", "issue": "temporal_value_invalid"}),
-        (x.rlike(AMBIGUOUS), {"kind": "unknown", "issue": "temporal_format_ambiguous"}),
+        (c("_digit") & x.rlike(AMBIGUOUS), {"kind": "unknown", "issue": "temporal_format_ambiguous"}),
         ((c("_iso") != "") & is_date(c("_iso")), {"kind": "exact_date", "value": c("_iso")}),
         (c("_iso") != "", {"kind": "invalid", "issue": "temporal_value_invalid"}),
         (c("_day").isNotNull() & c("_dm_year").isNull(), {"kind": "relative", "issue": "temporal_anchor_missing"}),
@@ -114,7 +126,7 @@ def with_dates(rows: DataFrame, expression: str) -> DataFrame:
         (c("_from") > c("_to"), {"kind": "invalid", "issue": "temporal_range_invalid"}),
         (c("_from").isNotNull(), {"kind": "range", "lower_bound": c("_from"), "upper_bound": end(c("_to"))}),
         (c("_base").isNotNull(), {"kind": "decade", "lower_bound": low, "upper_bound": high, "approximate": True}),
-        (x.rlike(AGE), {"kind": "relative", "issue": "temporal_anchor_missing"}),
+        (c("_digit") & x.rlike(AGE), {"kind": "relative", "issue": "temporal_anchor_missing"}),
         (c("_year").isNotNull() & c("_before"), {"kind": "relative", "upper_bound": end(iso(c("_year") - 1)), "issue": "temporal_anchor_missing"}),
         (c("_year").isNotNull() & c("_after"), {"kind": "relative", "lower_bound": iso(c("_year") + 1), "issue": "temporal_anchor_missing"}),
         (c("_year").isNotNull() & c("_about"), {"kind": "approximate", "value": iso(c("_year")), "lower_bound": iso(c("_year") - 1), "upper_bound": end(iso(c("_year") + 1)), "approximate": True}),
@@ -131,7 +143,7 @@ def with_dates(rows: DataFrame, expression: str) -> DataFrame:
                 v = fields[f]
                 value = F.when(F.col("_n") == i, v if isinstance(v, Column) else F.lit(v)).otherwise(value)
         out[f] = F.when(F.col("_n").isNotNull(), value)
-    return rows.withColumns(out).drop("_x", "_n", *found)
+    return rows.withColumns(out).drop("_x", "_n", "_digit", *found)
 
 
 def occurs_in(expression: Column, evidence: Column) -> Column:

@@ -107,14 +107,14 @@ def uncertainty_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(*rows)
 
 
-def _statements_with_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _docs(spark, sf_dir).select("doc_id", F.posexplode(X.statements(F.col("text"))).alias("pos", "s"))
-    return s.select("doc_id", F.col("pos").cast("bigint").alias("pos"), X.lowered(F.trim("s")).alias("s")).where(F.col("s").rlike(temporal.YEAR) & (F.length("s") <= 300))
+    return s.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "s")
 
 
 def temporal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The date in every statement of the documents that has a year."""
-    return temporal.with_dates(_statements_with_years(spark, sf_dir), "s").select("doc_id", "pos", *temporal.FIELDS)
+    """The date in every statement of the documents, of whatever length; one without a date is unresolved."""
+    return temporal.with_dates(_statements(spark, sf_dir), "s").select("doc_id", "pos", *temporal.FIELDS)
 
 
 #: Expressions of every kind of reading, for documents never use some of them.
