@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import name_key, normalize, stable_id
+from evigraph.operators.hierarchy import parent_edges
 
 
 def claim_ids(edges: DataFrame) -> DataFrame:
@@ -82,18 +83,15 @@ def upsert(history: DataFrame, key: list[str], latest: list[str], order: list[st
 
 
 def adjacency(profiles: DataFrame, edges: DataFrame) -> DataFrame:
-    """People with their neighbours in four directions, from the edges; people without edges keep empty arrays."""
-    e = edges.where("subject_person_id is not null and object_person_id is not null")
-    a = e.select(F.col("subject_person_id").alias("person_id"), F.col("object_person_id").alias("other"), F.col("relationship_type").alias("t"), F.col("subject_role").alias("role"))
-    b = e.select(F.col("object_person_id").alias("person_id"), F.col("subject_person_id").alias("other"), F.col("relationship_type").alias("t"), F.col("object_role").alias("role"))
-    both = a.unionByName(b)
-    pick = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("other"))))
-    near = both.groupBy("person_id").agg(
-        pick((F.col("t") == "parent_child") & (F.col("role") == "child")).alias("parents"),
-        pick((F.col("t") == "parent_child") & (F.col("role") == "parent")).alias("children"),
-        pick(F.col("t") == "spouse").alias("spouses"),
-        pick(F.col("t") == "sibling").alias("siblings"),
-    )
+    """People with their neighbours in four directions, from the edges; people without edges keep empty arrays.
+
+    Who is the parent is read as in ``hierarchy.parent_edges``: the subject where roles are null."""
+    two = lambda e, a, b, other, own: e.select(F.explode(F.array(F.struct(F.col(a).alias("person_id"), F.col(b).alias("other"), other.alias("t")), F.struct(F.col(b).alias("person_id"), F.col(a).alias("other"), own.alias("t")))).alias("n")).select("n.*")
+    kin = two(parent_edges(edges), "parent", "child", F.lit("child"), F.lit("parent"))
+    level = edges.where(F.col("relationship_type").isin("spouse", "sibling") & F.col("subject_person_id").isNotNull() & F.col("object_person_id").isNotNull())
+    both = kin.unionByName(two(level, "subject_person_id", "object_person_id", F.col("relationship_type"), F.col("relationship_type")))
+    pick = lambda kind: F.array_sort(F.collect_set(F.when(F.col("t") == kind, F.col("other"))))
+    near = both.groupBy("person_id").agg(pick("parent").alias("parents"), pick("child").alias("children"), pick("spouse").alias("spouses"), pick("sibling").alias("siblings"))
     people = profiles.select("family_id", "person.person_id").distinct()
     joined = people.join(near, "person_id", "left")
     return joined.select("family_id", "person_id", *(F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",").alias(c) for c in ("parents", "children", "spouses", "siblings")))

@@ -5,8 +5,15 @@ import os
 import pytest
 from conftest import rows
 
+from evigraph.operators import ledger
 from evigraph.plans import text_queries
 
+EDGE = "edge_id string, family_id string, relationship_type string, subject_person_id string, subject_role string, object_person_id string, object_role string, source_claim_ids array<string>, created_at timestamp"
+
+
+def edges(spark, *rows_):
+    return spark.createDataFrame([(f"e{i}", "f", *r, None) for i, r in enumerate(rows_)], EDGE)
+
 
 @pytest.fixture
 def table(spark, tmp_path):
@@ -24,3 +31,9 @@ def test_dates_of_every_statement(spark, table):
     sf = table("documents", list(enumerate(texts)), "doc_id long, text string")
     got = rows(text_queries.temporal_parse(spark, sf), "doc_id", "pos", "kind")
     assert got == [(0, 0, "relative"), (0, 1, "relative"), (0, 2, "decade"), (0, 3, "unknown"), (1, 0, "year"), (2, 0, "unknown")]
+
+
+def test_parents_without_roles(spark):
+    people = spark.createDataFrame([("f", (p,)) for p in "abcd"], "family_id string, person struct<person_id:string>")
+    e = edges(spark, ("parent_child", "a", None, "b", None, []), ("parent_child", "b", "child", "c", "parent", []), ("spouse", "a", None, "c", None, []), ("sibling", "b", None, None, None, []), ("friend", "a", None, "d", None, []))
+    assert rows(ledger.adjacency(people, e)) == [("f", "a", "", "b", "c", ""), ("f", "b", "a,c", "", "", ""), ("f", "c", "", "b", "a", ""), ("f", "d", "", "", "", "")]
