@@ -27,9 +27,9 @@ def canonical_edge(edges: DataFrame) -> DataFrame:
 
 
 def graph(edges: DataFrame) -> DataFrame:
-    """One row an edge of the graph, with the claims that state it."""
+    """One row an edge of the graph, with the claims that state it; an edge without claims has none."""
     rows = canonical_edge(edges).where("subject <> '' and object <> ''")
-    each = rows.select("family_id", "relationship_type", "subject", "subject_role", "object", "object_role", F.explode("source_claim_ids").alias("claim"))
+    each = rows.select("family_id", "relationship_type", "subject", "subject_role", "object", "object_role", F.explode_outer("source_claim_ids").alias("claim"))
     return each.groupBy("family_id", "relationship_type", "subject", "subject_role", "object", "object_role").agg(F.array_sort(F.collect_set("claim")).alias("c")).withColumn("n_claims", F.size("c").cast("long")).withColumn("claims", F.array_join("c", ",")).drop("c")
 
 

@@ -37,3 +37,11 @@ def test_parents_without_roles(spark):
     people = spark.createDataFrame([("f", (p,)) for p in "abcd"], "family_id string, person struct<person_id:string>")
     e = edges(spark, ("parent_child", "a", None, "b", None, []), ("parent_child", "b", "child", "c", "parent", []), ("spouse", "a", None, "c", None, []), ("sibling", "b", None, None, None, []), ("friend", "a", None, "d", None, []))
     assert rows(ledger.adjacency(people, e)) == [("f", "a", "", "b", "c", ""), ("f", "b", "a,c", "", "", ""), ("f", "c", "", "b", "a", ""), ("f", "d", "", "", "", "")]
+
+
+def test_edges_without_claims_stay(spark):
+    stated = ("parent_child", "a", "parent", "b", "child", ["c1", None])
+    e = edges(spark, stated, ("spouse", "b", "spouse", "a", "spouse", None), ("sibling", "a", None, "c", None, []), ("sibling", "c", None, "a", None, ["c2"]), ("spouse", "a", None, None, None, None))
+    assert rows(ledger.graph(e), "relationship_type", "subject", "object", "n_claims", "claims") == [("parent_child", "a", "b", 1, "c1"), ("sibling", "a", "c", 1, "c2"), ("spouse", "a", "b", 0, "")]
+    digest = lambda e: ledger.digest(ledger.graph(e), ["relationship_type", "subject", "object", "claims"]).first()
+    assert digest(edges(spark, stated)) != digest(edges(spark, stated, ("spouse", "b", None, "c", None, None)))
