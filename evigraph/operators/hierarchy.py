@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.runtime import discard, materialize
@@ -25,18 +25,27 @@ RING, BELOW_RING = -1, -2
 CHAINS = "person_id string, root_person_id string, depth int, path string"
 
 
+def is_flipped() -> Column:
+    """Whether the object of an edge is the parent: it has that role and the subject has not."""
+    return F.coalesce(F.col("object_role") == "parent", F.lit(False)) & ~F.coalesce(F.col("subject_role") == "parent", F.lit(False))
+
+
+def parent_of() -> Column:
+    """The parent of a ``parent_child`` edge."""
+    return F.when(is_flipped(), F.col("object_person_id")).otherwise(F.col("subject_person_id"))
+
+
 def parent_edges(edges: DataFrame) -> DataFrame:
     """(parent, child) of the ``parent_child`` rows that have both ends, each edge once.
 
     The parent is the end whose role is ``parent``; without such a role it is the subject.
     """
-    flip = F.coalesce(F.col("object_role") == "parent", F.lit(False)) & ~F.coalesce(F.col("subject_role") == "parent", F.lit(False))
     both = (F.col("relationship_type") == "parent_child") & F.col("subject_person_id").isNotNull() & F.col("object_person_id").isNotNull()
     return (
         edges.where(both)
         .select(
-            F.when(flip, F.col("object_person_id")).otherwise(F.col("subject_person_id")).alias("parent"),
-            F.when(flip, F.col("subject_person_id")).otherwise(F.col("object_person_id")).alias("child"),
+            parent_of().alias("parent"),
+            F.when(is_flipped(), F.col("subject_person_id")).otherwise(F.col("object_person_id")).alias("child"),
         )
         .distinct()
     )

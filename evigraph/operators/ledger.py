@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.text import name_key, normalize, stable_id
-from evigraph.operators.hierarchy import parent_edges
+from evigraph.operators.hierarchy import parent_edges, parent_of
 
 
 def claim_ids(edges: DataFrame) -> DataFrame:
@@ -40,11 +40,16 @@ def pair(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def pair_conflicts(edges: DataFrame) -> DataFrame:
-    """Pairs of persons that are stated in more than one type of relationship."""
+    """Pairs of persons whose statements differ in their signature: type and parent of ``parent_child``, type and the roles of
+    both persons of any other. A missing role is the plain one of its type."""
     first, second = pair(F.col("subject_person_id"), F.col("object_person_id"))
-    rows = edges.where("subject_person_id is not null and object_person_id is not null").select("family_id", first.alias("first_id"), second.alias("second_id"), "relationship_type", "edge_id")
-    out = rows.groupBy("family_id", "first_id", "second_id").agg(F.array_sort(F.collect_set("relationship_type")).alias("t"), F.size(F.collect_set("edge_id")).cast("long").alias("n_edges"))
-    return out.where(F.size("t") > 1).select("family_id", "first_id", "second_id", F.size("t").cast("long").alias("n_types"), F.array_join("t", ",").alias("types"), "n_edges")
+    role = lambda c: F.coalesce(F.col(c), F.col("relationship_type"))
+    ends = F.array_sort(F.array(F.struct(F.col("subject_person_id").alias("p"), role("subject_role").alias("r")), F.struct(F.col("object_person_id").alias("p"), role("object_role").alias("r"))))
+    parent = F.array(F.struct(parent_of().alias("p"), F.lit("parent").alias("r")))
+    signature = F.struct("relationship_type", F.when(F.col("relationship_type") == "parent_child", parent).otherwise(ends).alias("ends"))
+    rows = edges.where("subject_person_id is not null and object_person_id is not null").select("family_id", first.alias("first_id"), second.alias("second_id"), "relationship_type", "edge_id", signature.alias("s"))
+    out = rows.groupBy("family_id", "first_id", "second_id").agg(F.array_sort(F.collect_set("relationship_type")).alias("t"), F.size(F.collect_set("s")).alias("n"), F.size(F.collect_set("edge_id")).cast("long").alias("n_edges"))
+    return out.where("n > 1").select("family_id", "first_id", "second_id", F.size("t").cast("long").alias("n_types"), F.array_join("t", ",").alias("types"), "n_edges")
 
 
 def alias_conflicts(names: DataFrame) -> DataFrame:

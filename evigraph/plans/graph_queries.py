@@ -166,7 +166,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of persons in more than one type of relationship."""
+    """Pairs of persons whose relationship is stated in more than one way, in type, parent or roles."""
     return ledger.pair_conflicts(_edges(spark, sf_dir))
 
 

@@ -45,3 +45,8 @@ def test_edges_without_claims_stay(spark):
     assert rows(ledger.graph(e), "relationship_type", "subject", "object", "n_claims", "claims") == [("parent_child", "a", "b", 1, "c1"), ("sibling", "a", "c", 1, "c2"), ("spouse", "a", "b", 0, "")]
     digest = lambda e: ledger.digest(ledger.graph(e), ["relationship_type", "subject", "object", "claims"]).first()
     assert digest(edges(spark, stated)) != digest(edges(spark, stated, ("spouse", "b", None, "c", None, None)))
+
+
+def test_each_the_others_parent_is_a_conflict(spark):
+    e = edges(spark, ("parent_child", "a", None, "b", None, []), ("parent_child", "a", "child", "b", "parent", []), ("parent_child", "c", "parent", "d", "child", []), ("parent_child", "d", "child", "c", "parent", []), ("parent_child", "c", None, "d", None, []), ("sibling", "e", "older_sibling", "f", "younger_sibling", []), ("sibling", "e", "younger_sibling", "f", "older_sibling", []), ("spouse", "g", None, "h", None, []), ("spouse", "h", "spouse", "g", "spouse", []))
+    assert rows(ledger.pair_conflicts(e), "first_id", "second_id", "n_types", "types", "n_edges") == [("a", "b", 1, "parent_child", 2), ("e", "f", 1, "sibling", 2)]
