@@ -1,8 +1,8 @@
 """Rule-based resolution of mentions to the known people of a family, with its evidence kept.
 
-Two passes and no fixpoint: names give candidates, an alias shared by several candidates marks them as in conflict, a single
-candidate that a verified alias or relation and generation support is a seed, seeds support their neighbours in the graph,
-and a mention is resolved, needs_review or new_person. This is the exact, safe counterpart of the fuzzy linking operator.
+One pass without the graph: names give candidates, an alias shared by several candidates marks them as in conflict, a single
+candidate that a verified alias or relation and generation support resolves its mention, and any other mention is needs_review
+or new_person. Resolved neighbours do not support a mention, and ends of a relationship may resolve to one person. This is the exact, safe counterpart of the fuzzy linking operator.
 
 Defined results: a mention without a usable name is new_person; keys are compared in their normal form; null arrays are empty.
 """
