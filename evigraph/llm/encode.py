@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.bpe import Encoder
-from evigraph.runtime import spread
+from evigraph.runtime import ship
 
 #: Characters that are encoded at once; bounds a task's memory whatever the lengths of the texts.
 CHUNK_CHARS = 2_000_000
@@ -61,7 +61,8 @@ def _arrow_type(df: DataFrame, column: str) -> pa.DataType:
 def encode_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "") -> DataFrame:
     """(key, ids array<int>) of every row of ``df``."""
     kind = dict(df.dtypes)[key]
-    two = spread(df.select(key, text), key)
+    ship(df.sparkSession)
+    two = df.select(key, text)
     out = two.mapInArrow(partial(_ids, path=path, key_type=_arrow_type(df, key)), f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)
 
@@ -69,6 +70,7 @@ def encode_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
 def token_sizes(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "") -> DataFrame:
     """(key, n_tokens) of every row of ``df``."""
     kind = dict(df.dtypes)[key]
-    two = spread(df.select(key, text), key)
+    ship(df.sparkSession)
+    two = df.select(key, text)
     out = two.mapInArrow(partial(_sizes, path=path, key_type=_arrow_type(df, key)), f"key {kind}, n_tokens bigint")
     return out.select(F.col("key").alias(key), "n_tokens")

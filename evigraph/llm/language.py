@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.lookalike import transducer
-from evigraph.runtime import bounded, ship, spread
+from evigraph.runtime import bounded, ship
 
 #: The bound of the fitted sample: so many labelled documents, none longer than so many characters.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 4_000, 20_000
@@ -239,7 +239,7 @@ def project_pieces(read, codes: list[str], most: int = SAMPLE_DOCUMENTS) -> Data
     """Every segment of every transcript and every paragraph of every document with its language; ``read(table)`` gives a table."""
     documents = read("documents")
     model = documents.sparkSession.sparkContext.broadcast(fit_labelled(training_sample(documents, codes, most), codes))
-    paragraphs = spread(documents.select("doc_id", "text"), "doc_id").select("doc_id", F.split("text", "\n\n").alias("pieces"))
+    paragraphs = documents.select("doc_id", F.split("text", "\n\n").alias("pieces"))
     cases = read("benchmark_cases").select("case_id", F.col("transcript.segments.text").alias("pieces"), F.sort_array("transcript.language_hints").alias("h")).select("case_id", "pieces").distinct()
     return label_pieces(cases, "benchmark_cases", "case_id", "pieces", model).unionByName(label_pieces(paragraphs, "documents", "doc_id", "pieces", model))
 

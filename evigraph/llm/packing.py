@@ -131,8 +131,9 @@ def _pack_shards(batches: Iterator[pa.RecordBatch], linear: float, quadratic: fl
 
 
 def budget_rows(budgets: DataFrame, limit: int = 1000) -> list[tuple]:
-    """The rows of the small table of budgets; more than ``limit`` is an error, so what goes into the plan is bounded."""
-    rows = [(r["budget_id"], r["max_tokens"], r["overlap_tokens"]) for r in budgets.limit(limit + 1).collect()]
+    """The rows of the small table of budgets that have a capacity; more than ``limit`` is an error, so what goes into the plan is bounded."""
+    usable = budgets.where(F.col("max_tokens") > 0).select("budget_id", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap_tokens")).distinct()
+    rows = [(r["budget_id"], r["max_tokens"], r["overlap_tokens"]) for r in usable.limit(limit + 1).collect()]
     if len(rows) > limit:
         raise ValueError(f"more than {limit} budgets")
     return sorted(rows)

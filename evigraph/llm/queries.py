@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from evigraph.llm import encode, language, lookalike, names, packing, sentences, splitting
 from evigraph.runtime import read
 
-#: Rows of an Arrow batch; texts may be long, so fewer than Spark's default.
-ARROW_ROWS = "2000"
+#: Rows and bytes of an Arrow batch; texts may be long, so fewer than Spark's default.
+ARROW_ROWS, ARROW_BYTES = "2000", str(64 << 20)
 
 
 def _reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return lambda table: read(spark, sf_dir, table)
 
 

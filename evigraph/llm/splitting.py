@@ -7,7 +7,9 @@ depend on the limit, so all budgets share one tree and each takes the nodes that
 Defined results: a text within the limit gives no row; null and empty texts give no row; a piece's ``start_token`` ..
 ``end_token`` are places in the document's own ids and it begins with ``shared_tokens`` of the piece before it; this is the
 budget's overlap, or up to three tokens more where that place is inside a character, or less where the text of the piece
-alone would need more tokens than the limit; no piece, alone or as a slice, exceeds the limit.
+alone would need more tokens than the limit; no piece, alone or as a slice, exceeds the limit, but for a single character that
+has more tokens than it. A budget without a positive limit gives no row; an overlap that is not smaller than its limit counts
+as half of it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from evigraph.llm import bpe
 from evigraph.llm.bpe import Encoder
 from evigraph.llm.encode import chunks
-from evigraph.runtime import spread
+from evigraph.runtime import ship
 
 PIECES = "doc_id bigint, budget_id string, piece int, start_char int, end_char int, start_token bigint, end_token bigint, n_tokens int, shared_tokens int, boundary int, text string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("budget_id", pa.string()), ("piece", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("start_token", pa.int64()), ("end_token", pa.int64()), ("n_tokens", pa.int32()), ("shared_tokens", pa.int32()), ("boundary", pa.int32()), ("text", pa.string())])
@@ -136,8 +138,15 @@ class Bisection:
         keep = open_.any(axis=1)
         doc, lo, hi, open_ = doc[keep], lo[keep], hi[keep], open_[keep]
         while len(doc):
-            if (hi - lo < 2).any():
-                raise ValueError("a limit is smaller than one word and its overlap")
+            single = hi - lo < 2
+            if single.any():
+                # a unit that cannot be halved any more is a piece; its overlap is cut to what fits
+                for k in range(len(budgets)):
+                    left = open_[:, k] & single
+                    if left.any():
+                        yield k, doc[left], lo[left], hi[left]
+                doc, lo, hi, open_ = doc[~single], lo[~single], hi[~single], open_[~single]
+                continue
             cut = self.cuts(lo, hi)
             doc, lo, hi, open_ = np.repeat(doc, 2), np.repeat(lo, 2), np.repeat(hi, 2), np.repeat(open_, 2, axis=0)
             lo[1::2], hi[::2] = cut, cut
@@ -194,7 +203,6 @@ def _split(batches: Iterator[pa.RecordBatch], budgets: list[tuple], path: str) -
 
 def split_documents(df: DataFrame, budgets: list[tuple], path: str = "") -> DataFrame:
     """The pieces of every text of ``df`` (doc_id, text) that exceeds a budget, for each (budget_id, max_tokens, overlap_tokens)."""
-    if any(limit <= overlap or overlap < 0 for _, limit, overlap in budgets):
-        raise ValueError("an overlap must be smaller than its limit")
-    two = spread(df.select("doc_id", "text"), "doc_id")
-    return two.mapInArrow(partial(_split, budgets=budgets, path=path), PIECES)
+    ship(df.sparkSession)
+    usable = [(b, limit, max(0, min(overlap or 0, (limit - 1) // 2 if (overlap or 0) >= limit else overlap or 0))) for b, limit, overlap in budgets if limit and limit > 0]
+    return df.select("doc_id", "text").mapInArrow(partial(_split, budgets=usable, path=path), PIECES)

@@ -177,8 +177,11 @@ def test_split_frame_and_bad_budgets(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "short", "x"), (4, "long text. " * 200, "x")], "doc_id long, text string, piece string")
     assert {r["doc_id"] for r in splitting.split_documents(df, BUDGETS).collect()} == {4}
     assert splitting.split_documents(df.limit(0), BUDGETS).count() == 0
-    with pytest.raises(ValueError, match="overlap"):
-        splitting.split_documents(df, [("x", 8, 8)])
+    # a bad budget neither ends the query nor takes the others along
+    bad = [("none", None, 2), ("zero", 0, 2), ("same", 8, 8), ("tiny", 1, 0), *BUDGETS]
+    got = splitting.split_documents(df, bad).select("budget_id", "n_tokens").collect()
+    assert {r[0] for r in got} == {"same", "tiny", *(b for b, _, _ in BUDGETS)}
+    assert max(r[1] for r in got if r[0] == "same") <= 8 and max(r[1] for r in got if r[0] == "tiny") == 1
 
 
 def test_combining_marks_survive():
