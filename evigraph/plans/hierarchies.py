@@ -19,8 +19,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of every person."""
-    return hierarchy.descendants(_walked(spark, sf_dir))
+    """All descendants of every person, of those on rings as well."""
+    return hierarchy.all_descendants(hierarchy.parent_edges(read(spark, sf_dir, "family_graph_edges")))
 
 
 def p2_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +65,9 @@ tree AS (SELECT n, n AS root, 0 AS depth, n AS path FROM nodes WHERE n NOT IN (S
 
 ORACLES = {
     "p2_found": f"WITH RECURSIVE {_EDGES} SELECT n AS person_id, root AS root_person_id, depth, path FROM tree UNION ALL SELECT n, '', -1, '' FROM ring UNION ALL SELECT n, '', -2, '' FROM below",
-    "p2_descendants": f"""WITH RECURSIVE {_EDGES}, pairs AS (SELECT n, path, depth, unnest(string_split(path, '/')) AS anc, generate_subscripts(string_split(path, '/'), 1) AS pos FROM tree WHERE depth > 0)
-SELECT anc AS ancestor_id, n AS descendant_id, CAST(min(depth - pos + 1) AS INTEGER) AS distance FROM pairs WHERE pos <= depth GROUP BY 1, 2""",
+    "p2_descendants": f"""WITH RECURSIVE {_EDGES}, steps AS (SELECT p AS a, c AS d, 1 AS n FROM edges WHERE p <> c
+ UNION SELECT s.a, e.c, s.n + 1 FROM steps s JOIN edges e ON e.p = s.d WHERE e.c <> s.a AND s.n < (SELECT count(*) FROM nodes) AND NOT (s.n > 40 AND s.d IN (SELECT n FROM ring)))
+SELECT a AS ancestor_id, d AS descendant_id, CAST(min(n) AS INTEGER) AS distance FROM steps GROUP BY 1, 2""",
     "p2_rings": f"""WITH RECURSIVE {_EDGES}, mates AS (SELECT DISTINCT x.a AS n, x.d AS m FROM reach x JOIN reach y ON x.a = y.d AND x.d = y.a),
 first AS (SELECT n, min(m) AS f FROM mates GROUP BY 1)
 SELECT f AS first_person_id, count(*) AS n_members, array_to_string(list_sort(list(n)), ',') AS members FROM first GROUP BY 1""",

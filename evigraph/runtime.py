@@ -38,9 +38,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """Folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         base = getattr(spark.sparkContext, "_evigraph_dir", None)
         if base is None:
             base = spark.sparkContext._evigraph_dir = tempfile.mkdtemp(prefix="evigraph-")
@@ -83,16 +85,6 @@ def discard(df: DataFrame | None) -> None:
     p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
-    """Hash-partition by ``keys`` where the scan yields fewer partitions than there are cores; else leave the scan as it is.
-
-    A large input has many splits already and is not shuffled; a small file would otherwise run as one task.
-    """
-    ship(df.sparkSession)
-    want = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(want, *keys) if df.rdd.getNumPartitions() * 2 <= want else df
-
-
 def bounded(rows: DataFrame, total: int, most: int, column: str = "h") -> DataFrame:
     """About twice ``most`` of ``total`` rows by a 64-bit hash in ``column``, before they are sorted and cut to ``most``.
 

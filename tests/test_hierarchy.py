@@ -82,9 +82,43 @@ def test_self_edge_and_long_chain(spark):
 
 
 def test_descendants_and_rings(spark):
-    w = H.hierarchy(frame(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x")]))
-    assert rows(H.descendants(w)) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1)]
-    assert rows(H.rings(w), "first_person_id", "n_members", "members") == [("x", 2, "x,y")]
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("x", "z"), ("s", "s")]
+    for most in (H.MAX_EDGES, 0):
+        assert rows(H.all_descendants(frame(spark, edges), most)) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1), ("x", "y", 1), ("x", "z", 1), ("y", "x", 1), ("y", "z", 2)]
+    assert rows(H.rings(H.hierarchy(frame(spark, edges))), "first_person_id", "n_members", "members") == [("s", 1, "s"), ("x", 2, "x,y")]
+
+
+def test_descendants_match_in_both_ways(spark):
+    rng = random.Random(7)
+    edges = {(f"n{rng.randrange(30):02d}", f"n{rng.randrange(30):02d}") for _ in range(34)}
+    assert rows(H.all_descendants(frame(spark, edges))) == rows(H.all_descendants(frame(spark, edges), 0))
+
+
+def test_two_rings_of_one_large_component_stay_two(spark):
+    edges = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "x"), ("x", "y"), ("y", "x"), ("y", "z"), ("r", "m"), ("r", "q"), ("q", "w")]
+    for most in (H.MAX_EDGES, 1):
+        walked = H.hierarchy(frame(spark, edges), max_edges=most)
+        assert rows(H.chains(walked)) == brute(edges)
+        assert rows(H.rings(walked), "first_person_id", "members") == [("a", "a,b"), ("x", "x,y")]
+
+
+def test_rings_inside_rings_and_couples_in_a_large_component(spark):
+    """Chords, couples of which one parent is new, and a lattice below a ring."""
+    edges = {(f"s{i:02d}", f"s{i + 1:02d}") for i in range(12)} | {(f"m{i:02d}", f"s{i + 1:02d}") for i in range(12)}
+    edges |= {(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)} | {("r2", "r0"), ("s03", "k"), ("r5", "k"), ("k", "t"), ("t", "u"), ("u", "t"), ("u", "v")}
+    edges |= {("r6", "l0"), ("r6", "j0")} | {(f"{a}{i}", f"{b}{i + 1}") for i in range(3) for a in "lj" for b in "lj"}
+    walked = H.hierarchy(frame(spark, edges), max_edges=1)
+    assert rows(H.chains(walked)) == brute(edges)
+    assert rows(H.rings(walked), "first_person_id", "n_members") == [("r0", 7), ("t", 2)]
+
+
+def test_deep_chain_of_a_large_component_takes_few_rounds(spark):
+    n = 3000
+    edges = [(f"p{i:05d}", f"p{i + 1:05d}") for i in range(n)] + [(f"p{n:05d}", "z0")] + [(f"z{i}", f"z{i + 1}") for i in range(500)] + [("z500", "z400")]
+    walked = H.hierarchy(frame(spark, edges), max_edges=10, paths=False)
+    got = {r["person_id"]: (r["root_person_id"], r["depth"]) for r in walked.collect()}
+    assert got[f"p{n:05d}"] == ("p00000", n) and got["z300"] == ("p00000", n + 301)
+    assert got["z400"] == got["z500"] == ("", -1) and sum(d == -1 for _, d in got.values()) == 101
 
 
 def test_components(spark):
