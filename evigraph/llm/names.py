@@ -5,7 +5,7 @@ as a Levenshtein automaton (with transpositions) that yields all names within a
 up exactly. The pairs found this way are checked over the orders in which given name, surname and patronymic may stand, and
 each mention keeps its one best profile. Words are compared in a folded spelling in which scripts, transliterations, look-alike
 letters and doubled letters agree. Short forms come from the table of known ones, from the profiles' own aliases, and from
-aliases that several profiles of one given name share.
+aliases that a share of the profiles of one given name have.
 
 Defined results: null and blank names, and names without letters, give no row; a mention whose best two profiles are equally
 good gives no row; null, blank and crammed aliases are allowed; a mention or profile that was delivered twice counts once; a
@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 from itertools import pairwise
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,9 @@ from evigraph.runtime import materialize, ship
 
 #: Names in one trie, and words of mentions run through one copy of it; larger families are cut into more shards.
 TRIE_NAMES, SHARD_WORDS = 20_000, 20_000
-#: Profiles that must share a form before it counts as known.
-KNOWN_SUPPORT = 3
+#: Share of all profiles that must have a word as a name before it counts as known, and share of the profiles of a given name that
+#: must have an alias before it counts as a short form of that name. Shares, so that they mean the same at every size.
+KNOWN_SHARE, FORM_SHARE = 1 / 20_000, 0.1
 
 #: The symbol of each Cyrillic letter, and of Latin letters and groups of both transliterations; 9 is ya, 8 is yu.
 CYRILLIC = dict(zip("абвгғдезиійкқлмнңоөпрстуұүфхһыэәё", "abvggdeziiikklmnnooprstuuufhhieae", strict=True)) | {"ж": "j", "ц": "c", "ч": "q", "ш": "w", "щ": "w", "ъ": "", "ь": "", "ю": "8", "я": "9"}
@@ -178,27 +179,38 @@ class Trie:
         node[""] = name
 
     def near(self, word: str, bound: int) -> list[tuple[str, int]]:
+        """(name, distance) of the names within ``bound``; a branch ends where no continuation can come within it."""
         n = len(word)
         out = []
-        stack = [(self.root, "", tuple(range(n + 1)), None)]
+        stack = [(self.root, "", list(range(n + 1)), None)]
         while stack:
             node, last, row, above = stack.pop()
-            if "" in node and row[n] <= bound:
-                out.append((node[""], row[n]))
+            end = node.get("")
+            if end is not None and row[n] <= bound:
+                out.append((end, row[n]))
             for c, child in node.items():
                 if c == "":
                     continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    d = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c))
-                    if above is not None and j > 1 and word[j - 1] == last and word[j - 2] == c:
-                        d = min(d, above[j - 2] + 1)
+                left = row[0] + 1
+                new = [left]
+                for j in range(n):
+                    w = word[j]
+                    d = row[j] if w == c else row[j] + 1
+                    if left < d:
+                        d = left + 1
+                    up = row[j + 1] + 1
+                    if up < d:
+                        d = up
+                    if above is not None and j and w == last and word[j - 1] == c and above[j - 1] + 1 < d:
+                        d = above[j - 1] + 1
                     new.append(d)
-                if min(new) <= bound or (min(row) <= bound - 1):
-                    stack.append((child, c, tuple(new), row))
+                    left = d
+                if min(new) <= bound or min(row) <= bound - 1:
+                    stack.append((child, c, new, row))
         return out
 
 
+@lru_cache(maxsize=500_000)
 def distance(a: str, b: str, bound: int) -> int:
     """Levenshtein distance with transpositions, or bound + 1."""
     if a == b:
@@ -226,24 +238,28 @@ _MATCHES = pa.schema([("family_id", pa.string()), ("word", pa.string()), ("name"
 
 
 def _trie_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards arrive in order, the names of each before its words; one trie of each kind is held at a time."""
-    key, tries, same, bent = None, {}, {}, {}
+    """Shards arrive in order, the names of each before its words; one trie is held at a time.
+
+    A word that is a name by itself is never a misspelt other one, so it is only looked up, exactly and in its case forms.
+    """
+    key, trie, kinds, same, bent = None, Trie(), {}, {}, {}
     for b in batches:
         rows = []
         for family, t, s, side, text, kind in zip(*(b.column(n).to_pylist() for n in ("family_id", "t", "s", "side", "text", "kind")), strict=True):
             if (family, t, s) != key:
                 key = (family, t, s)
-                tries, same, bent = {k: Trie() for k in KINDS}, {k: {} for k in KINDS}, {k: {} for k in KINDS}
+                trie, kinds, same, bent = Trie(), {}, {}, {}
             if side == 0:
-                tries[kind].add(text)
-                same[kind].setdefault(fold(text), set()).add(text)
+                trie.add(text)
+                kinds.setdefault(text, []).append(kind)
+                same.setdefault(fold(text), set()).add((text, kind))
                 for f in inflected(text):
-                    bent[kind].setdefault(f, set()).add(text)
+                    bent.setdefault(f, set()).add((text, kind))
                 continue
-            for k in KINDS:
-                found = dict(tries[k].near(text, allowed(text))) | dict.fromkeys(same[k].get(fold(text), ()), 0)
-                rows.extend((family, text, name, k, d, False) for name, d in sorted(found.items()))
-                rows.extend((family, text, name, k, 0, True) for name in sorted(bent[k].get(fold(text), ())))
+            f = fold(text)
+            found = {(name, k): d for name, d in trie.near(text, 0 if kind else allowed(text)) for k in kinds[name]} | dict.fromkeys(same.get(f, ()), 0)
+            rows.extend((family, text, name, k, d, False) for (name, k), d in sorted(found.items()))
+            rows.extend((family, text, name, k, 0, True) for name, k in sorted(bent.get(f, ())))
         columns = zip(*rows, strict=True) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MATCHES, strict=True)], schema=_MATCHES)
 
@@ -251,7 +267,7 @@ def _trie_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trie_join(names: DataFrame, words: DataFrame, trie_names: int = TRIE_NAMES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Pairs of words and names of one family within the allowed distance.
 
-    ``names``: family_id, text, kind; ``words``: family_id, text; both distinct. A family with many names has several tries,
+    ``names``: family_id, text, kind; ``words``: family_id, text and perhaps known (whether it is a name by itself); distinct. A family with many names has several tries,
     and its words visit each; a family with many words has several copies of its tries, and each word visits one.
     """
     ship(names.sparkSession)
@@ -259,7 +275,7 @@ def trie_join(names: DataFrame, words: DataFrame, trie_names: int = TRIE_NAMES,
     w = words.groupBy("family_id").agg(F.ceil(F.count("*") / shard_words).cast("int").alias("copies"))
     size = n.join(w, "family_id")
     left = names.join(size, "family_id").select("family_id", F.pmod(F.xxhash64("text", "kind"), "tries").cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("s"), F.lit(0).alias("side"), "text", "kind")
-    right = words.join(size, "family_id").select("family_id", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("t"), F.pmod(F.xxhash64("text"), "copies").cast("int").alias("s"), F.lit(1).alias("side"), "text", F.lit("").alias("kind"))
+    right = words.join(size, "family_id").select("family_id", F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("t"), F.pmod(F.xxhash64("text"), "copies").cast("int").alias("s"), F.lit(1).alias("side"), "text", (F.when(F.col("known"), "known").otherwise("") if "known" in words.columns else F.lit("")).alias("kind"))
     shards = left.unionByName(right).repartition("family_id", "t", "s").sortWithinPartitions("family_id", "t", "s", "side", "text")
     return shards.mapInArrow(_trie_join, MATCHES)
 
@@ -306,10 +322,15 @@ def profile_parts(profiles: DataFrame) -> DataFrame:
     return own.select("family_id", "person_id", _profile_parts("canonical_name", "aliases").alias("p")).select("family_id", "person_id", "p.*")
 
 
-def short_forms(parts: DataFrame, known: DataFrame, support: int = 2) -> DataFrame:
-    """(given, short) pairs: the known ones, and aliases that at least ``support`` profiles of one given name share."""
+def short_forms(people: DataFrame, known: DataFrame, share: float = FORM_SHARE) -> DataFrame:
+    """(given, short) pairs: the known ones, and aliases that at least ``share`` of the profiles of a given name have.
+
+    ``people``: givens, shorts and n, the number of profiles that have just these names.
+    """
     table = known.select(_mention_words("given_name")[0].alias("given"), _mention_words("short_form")[0].alias("short"))
-    shared = parts.select("person_id", F.explode("givens").alias("given"), "shorts").select("person_id", "given", F.explode("shorts").alias("short")).groupBy(F.col("given"), F.col("short")).agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    own = people.select(F.explode("givens").alias("given"), "shorts", "n")
+    total = own.groupBy("given").agg(F.sum("n").alias("total"))
+    shared = own.select("given", F.explode("shorts").alias("short"), "n").groupBy("given", "short").agg(F.sum("n").alias("n")).join(total, "given").where(F.col("n") >= share * F.col("total"))
     return table.unionByName(shared.select("given", "short")).where("given is not null and short is not null").where(folded(F.col("given")) != folded(F.col("short"))).distinct()
 
 
@@ -334,7 +355,8 @@ def judge(words: list[str], person: dict, known: set[str]) -> float | None:
     initials = [w for w in words if len(w) == 1]
     surnames, others, patronymics = person["surnames"], person["other_surnames"], person["patronymics"]
     givens, shorts, more = person["givens"], person["shorts"], person["more"]
-    first = [*givens, *shorts, *more]
+    own = [*givens, *shorts]
+    first = [*own, *more]
     if initials and any(is_surname(w) for w in full) and not any(fold(w) in map(fold, first) for w in full):
         surname = next((w for w in full if is_surname(w)), full[0])
         bound = 0 if fold(surname) in known else 1
@@ -371,8 +393,10 @@ def judge(words: list[str], person: dict, known: set[str]) -> float | None:
                 cost += 9.0 if patronymics else 0.2
             elif is_surname(w):
                 cost += 9.0 if surnames else 0.3
-            elif any(fold(w) == fold(n) for n in first) or any(fold(w) in inflected(x) for x in [*surnames, *patronymics]):
+            elif any(fold(w) == fold(n) for n in own) or any(fold(w) in inflected(x) for x in [*surnames, *patronymics]):
                 cost += 0.1
+            elif any(fold(w) == fold(n) for n in more):
+                cost += 0.15
             else:
                 cost += 9.0 if surnames or fold(w) in known else 0.6
         if initials:
@@ -382,44 +406,61 @@ def judge(words: list[str], person: dict, known: set[str]) -> float | None:
     return best
 
 
-_JUDGED = pa.schema([("mention_id", pa.string()), ("person_id", pa.string()), ("cost", pa.float64())])
+_JUDGED = pa.schema([("family_id", pa.string()), ("spelling", pa.string()), ("person_id", pa.string()), ("n", pa.int64()), ("cost", pa.float64())])
+_PARTS = ("givens", "surnames", "patronymics", "shorts", "other_surnames", "capitals", "more")
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("givens", "surnames", "patronymics", "shorts", "other_surnames", "capitals", "more")
     for b in batches:
         rows = []
-        for r in b.to_pylist():
-            cost = judge(r["words"], {n: r[n] or [] for n in names}, set(r["known"] or ()))
+        parts = zip(*(b.column(n).to_pylist() for n in _PARTS), strict=True)
+        for family, spelling, person, n, words, known, own in zip(*(b.column(c).to_pylist() for c in ("family_id", "spelling", "person_id", "n", "words", "known")), parts, strict=True):
+            cost = judge(words, dict(zip(_PARTS, (x or [] for x in own), strict=True)), set(known or ()))
             if cost is not None:
-                rows.append((r["mention_id"], r["person_id"], cost))
-        columns = zip(*rows, strict=True) if rows else [()] * 3
+                rows.append((family, spelling, person, n, cost))
+        columns = zip(*rows, strict=True) if rows else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _JUDGED, strict=True)], schema=_JUDGED)
 
 
 def _candidates(texts: DataFrame, people: DataFrame, given: DataFrame, matches: DataFrame) -> DataFrame:
-    """(family_id, spelling, person_id) pairs that may fit, without all people who share a given name.
-
-    A spelling meets everybody whose given name and whose surname or patronymic both match words of it. People of whom only
-    the given name matches cost the same within a class (same form of the name, surname known or not, patronymic known or not):
-    two of each class are enough to find the best one and to see a tie. Spellings with initials meet everybody whose surname
-    matches and whose given name begins with an initial.
+    """(family_id, spelling, person_id): all pairs that can decide a spelling, without all people who share a given name.
+
+    A spelling meets everybody of whom two of its words match different names: a given name with a surname, a patronymic or an
+    alias of their own, and, where it has initials, a surname with the first letter of a given name. Of whom only one given name
+    matches, people of one class (the same name at the same level, the same given names, surname known or not, patronymic known
+    or not) all fit a spelling equally badly. Two of a class, besides those met already, tell the best one and a tie. Where its
+    least and its greatest person have been met already, the whole class is joined. Classes in which a further word costs more
+    than any link may are left out.
     """
-    hits = texts.select("family_id", F.col("name").alias("spelling"), F.explode("words").alias("word")).join(matches.withColumnRenamed("name", "text"), ["family_id", "word"]).select("family_id", "spelling", "kind", "text").distinct()
-    by_given = hits.where(F.col("kind") == GIVEN).select("family_id", "spelling", "text")
-    kind_of_person = people.select("family_id", "person_id", (F.size("surnames") > 0).alias("has_surname"), (F.size("patronymics") > 0).alias("has_patronymic"))
-    classes = given.join(kind_of_person, ["family_id", "person_id"]).groupBy("family_id", "text", "level", "has_surname", "has_patronymic").agg(F.min("person_id").alias("a"), F.max("person_id").alias("b"))
-    few = classes.select("family_id", "text", F.explode(F.array_distinct(F.array("a", "b"))).alias("person_id")).distinct()
-    alone = by_given.join(few, ["family_id", "text"]).select("family_id", "spelling", "person_id")
+    hits = texts.select("family_id", F.col("name").alias("spelling"), F.explode("words").alias("word")).join(matches.withColumnRenamed("name", "text"), ["family_id", "word"]).select("family_id", "spelling", "word", "kind", "text").distinct()
+    by_given = hits.where(F.col("kind") == GIVEN).select("family_id", "spelling", "word", "text")
     second = people.select("family_id", "person_id", F.explode(F.array_distinct(F.concat(_kinded("surnames", SURNAME), _kinded("other_surnames", SURNAME), _kinded("patronymics", PATRONYMIC)))).alias("x")).select("family_id", "person_id", F.col("x.k").alias("kind"), F.col("x.t").alias("second"))
-    both = given.select("family_id", "person_id", "text").join(second, ["family_id", "person_id"])
-    by_second = hits.where(F.col("kind") != GIVEN).select("family_id", "spelling", "kind", F.col("text").alias("second"))
-    paired = by_given.join(by_second, ["family_id", "spelling"]).join(both, ["family_id", "text", "kind", "second"]).select("family_id", "spelling", "person_id")
+    # an alias of a person's own stands beside the given name like a surname does
+    beside = second.unionByName(given.where("level < 2").select("family_id", "person_id", F.lit(GIVEN).alias("kind"), F.col("text").alias("second")))
+    both = given.select("family_id", "person_id", "text").distinct().join(beside, ["family_id", "person_id"]).where((F.col("kind") != GIVEN) | (F.col("text") != F.col("second")))
+    by_second = hits.select("family_id", "spelling", F.col("word").alias("other"), "kind", F.col("text").alias("second"))
+    paired = by_given.join(by_second, ["family_id", "spelling"]).where("word <> other").join(both, ["family_id", "text", "kind", "second"]).select("family_id", "spelling", "person_id")
     initials = texts.where(F.exists("words", lambda w: F.length(w) == 1)).select("family_id", F.col("name").alias("spelling"), F.explode(_initial_symbols("words")).alias("symbol"))
     starts = people.select("family_id", "person_id", F.explode("givens").alias("g")).select("family_id", "person_id", F.substring("g", 1, 1).alias("symbol")).distinct()
     surnamed = second.where(F.col("kind") == SURNAME).select("family_id", "person_id", "second").distinct().join(starts, ["family_id", "person_id"])
     by_initial = initials.join(by_second.where(F.col("kind") == SURNAME), ["family_id", "spelling"]).join(surnamed, ["family_id", "second", "symbol"]).select("family_id", "spelling", "person_id")
-    return alone.unionByName(paired).unionByName(by_initial).distinct()
+    met = materialize(paired.unionByName(by_initial).distinct())
+
+    of_class = ["family_id", "text", "level", "givens", "has_surname", "has_patronymic"]
+    flags = people.select("family_id", "person_id", "givens", (F.size("surnames") > 0).alias("has_surname"), (F.size("patronymics") > 0).alias("has_patronymic"))
+    members = given.join(flags, ["family_id", "person_id"])
+    classes = members.groupBy(*of_class).agg(F.count(F.lit(1)).alias("members"), F.min("person_id").alias("a"), F.max("person_id").alias("b"))
+    n_words = texts.select("family_id", F.col("name").alias("spelling"), F.size(F.filter("words", lambda w: F.length(w) > 1)).alias("full"))
+    wanted = by_given.select("family_id", "spelling", "text").distinct().join(n_words, ["family_id", "spelling"]).join(classes, ["family_id", "text"])
+    wanted = materialize(wanted.where((F.col("full") == 1) | ~F.col("has_surname") | ~F.col("has_patronymic")).drop("full"))
+    two = wanted.select("family_id", "spelling", F.explode(F.array_distinct(F.array("a", "b"))).alias("person_id")).distinct()
+    at = ["spelling", *of_class]
+    again = met.join(members, ["family_id", "person_id"]).select(*at, "person_id").distinct()
+    taken = wanted.join(again, at).groupBy(*at).agg(F.count(F.lit(1)).alias("seen"), F.max((F.col("person_id") == F.col("a")).cast("int")).alias("seen_a"), F.max((F.col("person_id") == F.col("b")).cast("int")).alias("seen_b"))
+    # at least one of the two was met already and others, that were not, are left
+    short = wanted.join(taken, at).where((F.col("seen_a") + F.col("seen_b") > 0) & (F.col("members") > F.col("seen")) & (F.col("members") > 2))
+    rest = short.select(*at).join(members, of_class).select("family_id", "spelling", "person_id")
+    return met.unionByName(two).unionByName(rest).distinct()
 
 
 def _kinded(column: str, kind: str) -> Column:
@@ -434,26 +475,25 @@ def link_mentions(mentions: DataFrame, profiles: DataFrame, known_forms: DataFra
     ship(mentions.sparkSession)
     own = mentions.where("mention_id is not null and family_id is not null and name is not null").select("mention_id", "family_id", "name").distinct()
     texts = materialize(own.select("family_id", "name").distinct().select("family_id", "name", _mention_words("name").alias("words")).where(F.size("words") > 0))
-    parts = materialize(profile_parts(profiles))
-    by_given = short_forms(parts, known_forms).select(folded(F.col("given")).alias("f"), "short").distinct()
-    more = parts.select("family_id", "person_id", F.explode("givens").alias("given")).select("family_id", "person_id", folded(F.col("given")).alias("f")).join(by_given, "f").groupBy("family_id", "person_id").agg(F.array_sort(F.collect_set("short")).alias("more"))
-    people = materialize(parts.join(more, ["family_id", "person_id"], "left"))
+    # people of one family with just the same names are one, counted; nobody among them can be told apart
+    parts = materialize(profile_parts(profiles).groupBy("family_id", *PARTS.names).agg(F.min("person_id").alias("person_id"), F.count(F.lit(1)).alias("n")))
+    by_name = short_forms(parts, known_forms).select(folded(F.col("given")).alias("f"), "short").distinct()
+    more = parts.select("family_id", "person_id", F.explode("givens").alias("given")).select("family_id", "person_id", folded(F.col("given")).alias("f")).join(by_name, "f").groupBy("family_id", "person_id").agg(F.array_sort(F.collect_set("short")).alias("more"))
+    people = materialize(parts.join(more, ["family_id", "person_id"], "left").withColumn("more", F.coalesce("more", F.array().cast("array<string>"))))
     given = people.select("family_id", "person_id", F.explode(F.concat(_kinded("givens", "0"), _kinded("shorts", "1"), _kinded("more", "2"))).alias("x")).select("family_id", "person_id", F.col("x.k").alias("level"), F.col("x.t").alias("text")).distinct()
     every = F.concat(_kinded("givens", GIVEN), _kinded("shorts", GIVEN), _kinded("more", GIVEN), _kinded("surnames", SURNAME), _kinded("other_surnames", SURNAME), _kinded("patronymics", PATRONYMIC))
-    by_person = people.select("family_id", "person_id", F.explode(F.array_distinct(every)).alias("x")).select("family_id", "person_id", F.col("x.k").alias("kind"), F.col("x.t").alias("text"))
-    words = texts.select("family_id", F.explode("words").alias("text")).where(F.length("text") > 1).distinct()
-    matches = materialize(trie_join(by_person.select("family_id", "text", "kind").distinct(), words))
-    known = by_person.where(F.col("kind") != PATRONYMIC).groupBy(folded(F.col("text")).alias("text")).agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN_SUPPORT).select("text")
-    known_of = texts.select("family_id", F.col("name").alias("spelling"), F.explode("words").alias("w")).select("family_id", "spelling", folded(F.col("w")).alias("text")).join(known, "text", "left_semi").groupBy("family_id", "spelling").agg(F.collect_set("text").alias("known"))
-    spelled = texts.select("family_id", F.col("name").alias("spelling"), "words").join(known_of, ["family_id", "spelling"], "left")
-    full = (
-        _candidates(texts, people, given, matches)
-        .join(spelled, ["family_id", "spelling"])
-        .join(people, ["family_id", "person_id"])
-        .select(F.to_json(F.struct("family_id", "spelling")).alias("mention_id"), "person_id", "words", "known", "givens", "surnames", "patronymics", "shorts", "other_surnames", "capitals", "more")
-    )
-    judged = full.mapInArrow(_judge, "mention_id string, person_id string, cost double")
-    best = judged.groupBy("mention_id").agg(F.min(F.struct("cost", "person_id")).alias("first"), F.sort_array(F.collect_list("cost")).alias("costs"))
-    clear = best.where((F.size("costs") == 1) | (F.get("costs", F.lit(1)) - F.col("first.cost") > margin))
-    named = clear.select(F.from_json("mention_id", "family_id string, spelling string").alias("k"), "first").select("k.family_id", F.col("k.spelling").alias("name"), "first.person_id", "first.cost")
-    return own.join(named, ["family_id", "name"]).select("mention_id", "person_id", "cost")
+    by_person = people.select("family_id", "n", F.explode(F.array_distinct(every)).alias("x")).select("family_id", "n", F.col("x.k").alias("kind"), F.col("x.t").alias("text"))
+    total = people.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    known = by_person.where(F.col("kind") != PATRONYMIC).groupBy(folded(F.col("text")).alias("f")).agg(F.sum("n").alias("n")).join(F.broadcast(total)).where(F.col("n") >= KNOWN_SHARE * F.col("total")).select("f")
+    spelled = texts.select("family_id", F.col("name").alias("spelling"), F.explode("words").alias("text")).where(F.length("text") > 1).withColumn("f", folded(F.col("text")))
+    seen = materialize(spelled.select("family_id", "text", "f").distinct().join(known.withColumn("known", F.lit(True)), "f", "left").select("family_id", "text", "f", F.coalesce("known", F.lit(False)).alias("known")))
+    matches = materialize(trie_join(by_person.select("family_id", "text", "kind").distinct(), seen.select("family_id", "text", "known")))
+    known_of = spelled.join(seen.where("known").select("family_id", "text"), ["family_id", "text"]).groupBy("family_id", "spelling").agg(F.collect_set("f").alias("known"))
+    words = texts.select("family_id", F.col("name").alias("spelling"), "words").join(known_of, ["family_id", "spelling"], "left")
+    full = _candidates(texts, people, given, matches).join(words, ["family_id", "spelling"]).join(people, ["family_id", "person_id"])
+    judged = full.select("family_id", "spelling", "person_id", "n", "words", "known", *_PARTS).mapInArrow(_judge, "family_id string, spelling string, person_id string, n bigint, cost double")
+    # the two best of a spelling are enough; each task hands on no more than two
+    order = Window.partitionBy("family_id", "spelling").orderBy("cost", "person_id")
+    best = judged.withColumn("place", F.row_number().over(order)).where("place <= 2").groupBy("family_id", F.col("spelling").alias("name")).agg(F.min(F.struct("cost", "person_id", "n")).alias("first"), F.count(F.lit(1)).alias("many"), F.max("cost").alias("last"))
+    clear = best.where((F.col("first.n") == 1) & ((F.col("many") == 1) | (F.col("last") - F.col("first.cost") > margin)))
+    return own.join(clear.select("family_id", "name", "first.person_id", "first.cost"), ["family_id", "name"]).select("mention_id", "person_id", "cost")

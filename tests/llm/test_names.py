@@ -4,6 +4,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from evigraph.llm import names as N
 
@@ -86,6 +87,50 @@ def test_two_equal_profiles_are_not_guessed(spark):
     assert linked(spark, [("f", "Анна"), ("f", "Анна Белова"), ("h", "Анна")], profiles) == [None, "p2", None]
 
 
+def test_an_own_alias_beside_another_one_is_not_lost(spark):
+    """Whoever stands least and greatest in a class must not hide a third one."""
+    alex = [("f", p, "Александр", a) for p, a in (("a1", ["Саша"]), ("b2", ["Саша", "Шурик"]), ("c3", ["Саша"]))]
+    yuri = [("f", p, "Юрий", ["Шурик"]) for p in ("a0", "d4")]
+    assert linked(spark, [("f", "Саша Шурик")], alex + yuri, forms=[("x", "y")]) == ["b2"]
+    assert linked(spark, [("f", "Саша Шурик")], [alex[1], alex[2], yuri[1]], forms=[("x", "y")]) == ["b2"]
+
+
+def test_links_equal_judging_everybody(spark):
+    """All people of the family are judged by brute force; equal names, typos, missing parts and initials are among them."""
+    rng = random.Random(5)
+    given, short, last, mid = ["Александр", "Анна", "Юрий", "Мария"], {"Александр": ["Саша", "Шурик"], "Анна": ["Аня"], "Юрий": ["Юра", "Шурик"], "Мария": ["Маша"]}, ["Громышев", "Серов", "Белов"], ["Иванович", "Павлович"]
+    profiles = []
+    for i in range(40):
+        g = rng.choice(given)
+        name = " ".join(x for x in (rng.choice([g, g, short[g][0]]), rng.choice([*mid, "", ""]), rng.choice([*last, ""])) if x)
+        profiles.append(("f", f"p{i:02d}", name, rng.choice([None, [], rng.sample(short[g], 1), [*short[g]], [f"{g} {rng.choice(last)}"]])))
+    words = [*given, *last, *mid, "Саша", "Шурик", "Аня", "Алексндр", "Громышов", "А", "Юрию"]
+    names = sorted({" ".join(rng.sample(words, rng.choice([1, 1, 2, 2, 3]))) for _ in range(160)} | {"А. Громышев", "Громышев Ю. И."})
+    got = linked(spark, [("f", n) for n in names], profiles, forms=[("Мария", "Маша")])
+    p = spark.createDataFrame([(f, (i, c, a, None, None), 1) for f, i, c, a in profiles], PROFILE)
+    parts = N.profile_parts(p).withColumn("n", F.lit(1))
+    forms = {(r["given"], r["short"]) for r in N.short_forms(parts, spark.createDataFrame([("Мария", "Маша")], "given_name string, short_form string")).collect()}
+    people = [r.asDict() for r in parts.collect()]
+    for x in people:
+        x["more"] = sorted({b for g in x["givens"] for a, b in forms if N.fold(a) == N.fold(g)})
+    known = {N.fold(w) for x in people for c in ("givens", "shorts", "more", "surnames", "other_surnames") for w in x[c]}
+    want = []
+    for n in names:
+        ws = N.words_of(n)
+        costs = sorted((c, x["person_id"]) for x in people if (c := N.judge(ws, x, known & {N.fold(w) for w in ws})) is not None)
+        want.append(costs[0][1] if costs and (len(costs) == 1 or costs[1][0] - costs[0][0] > 0.04) else None)
+    assert [(n, a, b) for n, a, b in zip(names, got, want, strict=True) if a != b] == []
+    assert sum(w is not None for w in want) > 15
+
+
+def test_copies_of_all_families_change_no_link(spark):
+    profiles = [("f", "p1", "Александр Громышев", ["Саша"]), ("f", "p2", "Александр Серов", None), ("f", "p3", "Алексадр Белов", None), ("f", "p4", "Анна Серова", ["Нюра"])]
+    names = ["Саша", "Алексадр", "Александр Серов", "Нюра", "Анна Сырова", "Александр Белов", "Нюра Серова"]
+    once = linked(spark, [("f", n) for n in names], profiles)
+    many = linked(spark, [("f", n) for n in names], [(f"{f}{k or ''}", f"{i}{k or ''}", c, a) for k in range(10) for f, i, c, a in profiles])
+    assert once == many and any(once)
+
+
 def test_shards_change_nothing(spark):
     rng = random.Random(7)
     given = ["".join(rng.choice("abdegiklmnorst") for _ in range(6)) for _ in range(60)]
