@@ -1,10 +1,13 @@
 """One form for texts that look the same but differ in their characters.
 
-A transducer is compiled from a precomputed table: full- and half-width forms, composed and decomposed accents, white
-space, invisible characters and look-alike letters of other scripts each have one output. It reads a text once, always
-takes the longest entry that matches (a grapheme cluster before its base letter) and writes the outputs. The table is
-checked for conflicts when it is built: the output of an output is itself, no two letters of one script share an output,
-and upper case never becomes lower case.
+A transducer is compiled from a precomputed table: full- and half-width forms, composed and decomposed characters of every script,
+white space, invisible characters, ligatures and look-alike letters of other scripts each have one output. It reads a text once,
+always takes the longest entry that matches (a grapheme cluster before its base letter) and writes the outputs. The table is made
+from the Unicode data of the Python that runs and checked for conflicts: the output of an output is itself, no two letters of one
+script share an output, and upper case never becomes lower case.
+
+What only resembles another character stays distinct on purpose: quotes and apostrophes of different shape, bold, italic and
+encircled characters, superscripts, and letters that a script tells apart itself (У and Ү).
 
 Defined results: null stays null; a text of nothing but white space and invisible characters becomes the empty text; equal
 texts are never a pair; rows without a key, a group or a text take no part; a key that was delivered twice counts once.
@@ -12,11 +15,11 @@ texts are never a pair; rows without a key, a group or a text take no part; a ke
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,17 +29,28 @@ from evigraph.runtime import materialize, ship
 #: Cyrillic and Greek letters that look like Latin ones.
 CYRILLIC_LIKE = "АВСЕНІЈКМОРЅТХУаеһіјорсԛѕхуԝӘәԁԚԜ"
 CYRILLIC_AS = "ABCEHIJKMOPSTXYaehijopcqsxywƏədQW"
-GREEK_LIKE = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"
-GREEK_AS = "ABEZHIKMNOPTYXvo"
+GREEK_LIKE = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορϲϳ"
+GREEK_AS = "ABEZHIKMNOPTYXvopcj"
+#: Letters of other scripts that look like Latin ones.
+OTHER_LIKE = "ѵՕՏՍհոսօցզյᎪᎬᎫᎳᎷᎻᎽᏀᏃᎢᎡᏚᏙᏞᏟᏢᏦᏴᎠ"
+OTHER_AS = "vOSUhnuogqjAEJWMHYGZTRSVLCPKBD"
 
 #: Code points that are not seen at all (first and last of each range).
 INVISIBLE_RANGES = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
 INVISIBLE = "".join(chr(c) for a, b in INVISIBLE_RANGES for c in range(a, b + 1))
 
 
+#: Where Unicode has characters that are equal to others or to a base and its marks; syllables of Hangul are composed by rule.
+CANONICAL = [*range(0xC0, 0x2400), *range(0x2A00, 0x2B00), *range(0x3040, 0x3100), *range(0xF900, 0xFB00), *range(0xFB1D, 0xFB50), *range(0x11000, 0x11A00), *range(0x2F800, 0x2FA20)]
+#: Ligatures and Roman numerals: one character that looks like several letters, or like one.
+JOINED = [*range(0xFB00, 0xFB07), *range(0x2160, 0x2180)]
+
+
 def _letters() -> dict[str, str]:
     """Each single character whose output is another one."""
-    out = dict(zip(CYRILLIC_LIKE, CYRILLIC_AS, strict=True)) | dict(zip(GREEK_LIKE, GREEK_AS, strict=True))
+    out = {}
+    for like, as_ in ((CYRILLIC_LIKE, CYRILLIC_AS), (GREEK_LIKE, GREEK_AS), (OTHER_LIKE, OTHER_AS)):
+        out |= dict(zip(like, as_, strict=True))
     for c in map(chr, [*range(0xFF01, 0xFFEF), *range(0x3200, 0x3400)]):
         d = unicodedata.decomposition(c)
         if d.startswith(("<wide>", "<narrow>")):
@@ -52,9 +66,9 @@ def _accented(letters: dict[str, str]) -> dict[str, str]:
     for c, o in letters.items():
         looks.setdefault(o, []).append(c)
     out = {}
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x900, 0x980), *range(0x1E00, 0x2000), *range(0x3040, 0x3100)]):
+    for c in map(chr, CANONICAL):
         d = unicodedata.normalize("NFD", c)
-        if len(d) < 2 or unicodedata.combining(d[0]):
+        if d == c or unicodedata.combining(d[0]):
             continue
         target = unicodedata.normalize("NFC", letters.get(d[0], d[0]) + d[1:])
         if c != target:
@@ -68,7 +82,7 @@ def _accented(letters: dict[str, str]) -> dict[str, str]:
 def build_table() -> dict[str, str]:
     """The whole mapping, checked for conflicts."""
     letters = _letters()
-    table = _accented(letters) | letters
+    table = _accented(letters) | letters | {chr(c): d for c in JOINED if (d := unicodedata.normalize("NFKC", chr(c))) != chr(c)}
     for source, target in table.items():
         again = "".join(table.get(c, c) for c in target)
         if table.get(target, target) != target or (len(target) == 1 and again != target):
@@ -88,15 +102,16 @@ class Transducer:
 
     def __init__(self) -> None:
         self.table = build_table()
-        hidden = re.escape(INVISIBLE)
-        marks = "".join(map(chr, [*range(0x300, 0x34F), *range(0x350, 0x370), 0x93C, 0x3099, 0x309A, *range(0x1AB0, 0x1AF0), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x20F1)]))
-        singles = "".join(re.escape(c) for c in sorted(self.table) if len(c) == 1)
-        self.hidden = re.compile(f"[{hidden}]+")
-        self.pattern = re.compile(rf"[^\s{hidden}{re.escape(marks)}][{hidden}]*[{re.escape(marks)}][{re.escape(marks)}{hidden}]*|[{singles}]|[\s{hidden}]+")
-        self.plain = re.compile(r"[\x21-\x7e]*(?: [\x21-\x7e]+)*")
+        hidden = regex.escape(INVISIBLE)
+        singles = "".join(regex.escape(c) for c in sorted(self.table) if len(c) == 1)
+        mark = rf"[\p{{M}}--[{hidden}]]"
+        cluster = rf"[^\s\p{{M}}{hidden}][{hidden}]*{mark}[\p{{M}}{hidden}]*"
+        self.hidden = regex.compile(f"(?V1)[{hidden}]+")
+        self.pattern = regex.compile(rf"(?V1){cluster}|[\uFF66-\uFF9D][\uFF9E\uFF9F]|[\u1100-\u11FF\uA960-\uA97F\uD7B0-\uD7FF]{{2,}}|[{singles}]|[\s{hidden}]+")
+        self.plain = regex.compile(r"[\x21-\x7e]*(?: [\x21-\x7e]+)*")
         self.known: dict[str, str] = {}
 
-    def _out(self, m: re.Match) -> str:
+    def _out(self, m: regex.Match) -> str:
         s = m.group()
         got = self.known.get(s)
         if got is None:
@@ -144,16 +159,35 @@ def digest(column: str) -> Column:
     return F.unhex(F.md5(column))
 
 
-def equal_looking(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
-    """(key_a, key_b) of rows of one group whose texts look the same but are not equal.
+def _formed(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    """(key, grp, text, form) of the rows of forms that have more than one text; texts and forms as digests, written once.
 
-    Texts and forms are read once and go on as digests. The distinct texts of a form are paired first, and only then their
-    rows, so copies of one text never meet each other. Forms with a single text, nearly all of them, leave before any join.
+    Forms with a single text, nearly all of them, leave before any join.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text"))
     rows = materialize(unified(rows, "text").select("key", "grp", digest("text").alias("text"), digest("form").alias("form")).distinct())
     many = rows.groupBy("grp", "form").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("grp", "form")
-    rows = rows.join(many, ["grp", "form"], "left_semi")
+    return rows.join(many, ["grp", "form"], "left_semi")
+
+
+def form_classes(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    """(key, class_id, n_texts, n_members): one row for each row that looks like another text of its group.
+
+    A class is named by the least key in it; it has as many rows as members, however many pairs these make.
+    """
+    rows = _formed(df, key, group, text)
+    texts = rows.groupBy("grp", "form", "text").agg(F.min("key").alias("least"), F.countDistinct("key").alias("n"))
+    classes = texts.groupBy("grp", "form").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_members"))
+    return rows.select("grp", "form", "key").distinct().join(classes, ["grp", "form"]).select("key", "class_id", "n_texts", "n_members")
+
+
+def equal_looking(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
+    """(key_a, key_b) of rows of one group whose texts look the same but are not equal.
+
+    The distinct texts of a form are paired first, and only then their rows, so copies of one text never meet each other. The
+    pairs are what the project asks for; ``form_classes`` says the same in one row a member.
+    """
+    rows = _formed(df, key, group, text)
     texts = rows.select("grp", "form", "text").distinct()
     both = texts.withColumnRenamed("text", "text_a").join(texts.withColumnRenamed("text", "text_b"), ["grp", "form"]).where("text_a < text_b").drop("form")
     left = rows.select("grp", F.col("text").alias("text_a"), F.col("key").alias("a"))

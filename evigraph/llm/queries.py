@@ -56,6 +56,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(F.lit("people_mentions").alias("source"), "key_a", "key_b").unionByName(b.select(F.lit("benchmark_cases").alias("source"), "key_a", "key_b"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mentions that look like others of their family but are written differently, by class."""
+    return lookalike.form_classes(_reader(spark, sf_dir)("people_mentions"), "mention_id", "family_id", "name")
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one form of every mention's name."""
     mentions = _reader(spark, sf_dir)("people_mentions").select("mention_id", "name").distinct()
@@ -123,7 +128,7 @@ def p9_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_pieces(spark, sf_dir).groupBy("budget_id", "boundary").agg(F.count("*").alias("n_pieces"), F.avg("n_tokens").alias("mean_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_records, p3_found, p3_forms, p4_found, p4_profiles, p6_found, p6_lengths, p7_ids, p7_sizes, p8_containers, p8_fill, p9_pieces, p9_boundaries)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_records, p3_found, p3_classes, p3_forms, p4_found, p4_profiles, p6_found, p6_lengths, p7_ids, p7_sizes, p8_containers, p8_fill, p9_pieces, p9_boundaries)}
 
 def _form_sql(text: str) -> str:
     """The one form in SQL: invisible characters out, single characters mapped between two compositions, white space as one space."""
@@ -146,5 +151,8 @@ def _pairs_sql(source: str, table: str, key: str, group: str, text: str) -> str:
 #: Queries of this package that SQL can express.
 ORACLES = {
     "p3_found": _pairs_sql("people_mentions", "people_mentions", "mention_id", "family_id", "name") + " UNION ALL " + _pairs_sql("benchmark_cases", "benchmark_cases", "case_id", "speaker_id", "transcript.full_text"),
+    "p3_classes": f"""WITH r AS (SELECT DISTINCT mention_id AS k, family_id AS g, name AS t, {_form_sql("name")} AS f FROM people_mentions WHERE mention_id IS NOT NULL AND family_id IS NOT NULL AND name IS NOT NULL),
+c AS (SELECT g, f, min(k) AS class_id, count(DISTINCT t) AS n_texts, count(DISTINCT k) AS n_members FROM r GROUP BY 1, 2 HAVING count(DISTINCT t) > 1)
+SELECT DISTINCT k AS key, class_id, n_texts, CAST(n_members AS BIGINT) AS n_members FROM r JOIN c USING (g, f)""",
     "p3_forms": f"SELECT mention_id, name, {_form_sql('name')} AS form FROM (SELECT DISTINCT mention_id, name FROM people_mentions)",
 }

@@ -61,3 +61,24 @@ def test_pairs_match_brute_force(spark):
 def test_unified_column(spark):
     df = spark.createDataFrame([("a", "Аb"), ("b", None), ("c", "")], "id string, t string")
     assert {r["id"]: r["form"] for r in K.unified(df, "t").collect()} == {"a": "Ab", "b": None, "c": ""}
+
+
+@pytest.mark.parametrize(("a", "b"), [
+    ("ｶﾞ", "ガ"), ("ﾊﾟﾝ", "パン"), ("\u1112\u1161\u11ab", "한"), ("\u1100\u1161", "가"), ("\u0627\u0653", "آ"), ("ﬁn", "fin"), ("ﬃ", "ffi"), ("ρ", "p"), ("ѵ", "v"), ("Ꭺnna", "Anna"), ("օ", "o"), ("Ⅳ", "IV"),
+    ("\u0958", "\u0915\u093c"), ("\u212b", "Å"), ("A\u030a", "\u212b"), ("\u0435\u0300", "\u00e8"), ("\uf900", "\u8c48"), ("e\u0323\u0302", "\u1ec7"), ("e\u0302\u0323", "\u1ec7"), ("a\u200d\u0301", "\u00e1"), ("\u05d0\u05b7", "\ufb2e"), ("①", "①"), ("ﾞ", "\u3099"),
+])
+def test_written_by_hand_what_looks_the_same(a, b):
+    apply = T.apply
+    assert apply(a) == apply(b) and apply(apply(a)) == apply(a)
+
+
+@pytest.mark.parametrize(("a", "b"), [("У", "Ү"), ("’", "'"), ("①", "1"), ("\U0001d400", "A"), ("x²", "x2"), ("é", "e"), ("й", "и"), ("A", "a"), ("が", "か"), ("ё", "е"), ("ı", "i")])
+def test_written_by_hand_what_stays_distinct(a, b):
+    apply = T.apply
+    assert apply(a) != apply(b)
+
+
+def test_class_rows(spark):
+    df = spark.createDataFrame([("a", "g", "Анна"), ("b", "g", "Aннa"), ("c", "g", "Анна"), ("d", "g", "Вера"), ("e", "h", "Aннa"), ("f", "g", None), (None, "g", "Aннa"), ("b", "g", "Aннa")], "k string, g string, t string")
+    assert rows(K.form_classes(df, "k", "g", "t")) == [("a", "a", 2, 3), ("b", "a", 2, 3), ("c", "a", 2, 3)]
+    assert rows(K.form_classes(df.limit(0), "k", "g", "t")) == []
