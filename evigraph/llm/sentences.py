@@ -1,10 +1,13 @@
 """Sentences of texts in any language and script, by maximum-entropy classification of candidate boundaries.
 
-Candidates are clusters of end marks with their closing quotes, line ends, and white space between characters of scripts
-that use none. Each is classified by features of its neighbourhood: tokens on both sides, their case, length, digits and
-script, the marks, the white space and whether a quotation is open. The classifier is logistic regression over hashed
-features. It learns from reliable boundaries only, the ends of transcript segments: it predicts how often a place like this
-is the end of a segment, and divides by how often a true boundary is one (learning from positive and unlabelled cases).
+Candidates are clusters of end marks (every mark that Unicode calls a sentence terminal) with their closing quotes, line ends, and
+white space between characters of scripts that use none. Each is classified by features of its neighbourhood: tokens on both
+sides, their case, length, digits and script, the marks, the white space and whether a quotation is open. The classifier is logistic
+regression over hashed features. It learns from reliable boundaries only, the ends of transcript segments: it predicts how often a
+place like this is the end of a segment, and divides by how often a true boundary is one (learning from positive and unlabelled
+cases). Line ends have weights of their own, learned from the same segments set one to a line, wrapped at a width, or both; what
+tells a wrapped line from a finished one is mostly whether the next word would still have fitted. White space between Han or kana
+is a boundary by itself, and in scripts like Thai where a text has no end mark at all.
 
 Defined results: null texts give no sentence, nor do empty and blank ones; offsets count code points, the end is exclusive,
 outer white space is left out; text after the last boundary is a sentence of its own; a case that was delivered twice gives
@@ -13,32 +16,40 @@ its sentences once; very long texts are read in one pass.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.runtime import bounded, ship
 
-#: The bound of the fitted sample, in transcripts of each table.
-SAMPLE_CASES = 3_000
+#: The bound of the fitted sample, of each table: transcripts, characters of one transcript, and characters of all.
+SAMPLE_CASES, CASE_CHARS, SAMPLE_CHARS = 3_000, 40_000, 6_000_000
+#: Transcripts of the sample whose line ends are fitted.
+LINE_CASES = 300
 DIMENSIONS = 1 << 18
 #: A quotation that does not close within so many characters is not taken for one.
 LONGEST_QUOTE = 400
 #: Below and above these shares an unlabelled place counts as known in the later fits.
 UNLIKELY, LIKELY = 0.2, 0.6
 
-_MARKS = r"[.!?…。！？।॥．｡]"
+_MARKS = r"[\p{Sentence_Terminal}…]"
 _CLOSERS = "\"'»”“’」』)）]＂"
 _BARE = r"\p{Han}\p{Hiragana}\p{Katakana}"
-_CANDIDATE = regex.compile(rf"(?P<mark>{_MARKS}+)(?P<close>[\"'»”’」』\)）\]＂“]*)(?P<space>\s*)|(?P<line>[^\S\n]*\n\s*)|(?P<gap>(?<=[{_BARE}ー”」』])[^\S\n]+(?=[{_BARE}“「『\d])|(?<=\d)[^\S\n]+(?=[{_BARE}“「『]))")
+#: Scripts that part phrases, not words, by white space.
+_PHRASED = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_CANDIDATE = regex.compile(rf"(?P<mark>{_MARKS}+)(?P<close>[\"'»”’」』\)）\]＂“]*)(?P<space>\s*)|(?P<line>[^\S\n]*\n\s*)|(?P<gap>(?<=[{_BARE}ー”」』])[^\S\n]+(?=[{_BARE}“「『\d])|(?<=\d)[^\S\n]+(?=[{_BARE}“「『]))|(?P<phrase>(?<=[{_PHRASED}])[^\S\n]+(?=[{_PHRASED}]))")
+_MARK = regex.compile(_MARKS)
 _TOKEN = regex.compile(r"\p{Han}|[\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+|\d+|[^\s\p{L}\p{M}\d]")
+_FIRST = regex.compile(r"\S+")
 _PAIRS = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "‹": "›"}
 
 
@@ -50,6 +61,7 @@ class Candidate:
     next: int
     sure: bool
     features: list[str]
+    line: bool = False
 
 
 def quotations(text: str) -> list[tuple[int, int]]:
@@ -91,7 +103,9 @@ def _script(token: str) -> str:
     if not c.isalpha():
         return "0" if c.isdigit() else "-"
     o = ord(c)
-    return "L" if o < 0x370 else "C" if 0x400 <= o < 0x530 else "D" if 0x900 <= o < 0x980 else "H" if o >= 0x3040 else "x"
+    if o < 0x370:
+        return "L"
+    return "C" if 0x400 <= o < 0x530 else "D" if 0x900 <= o < 0x980 else "H" if 0x3040 <= o < 0xA000 else unicodedata.name(c, "x").split()[0].lower()
 
 
 def _word(token: str) -> str:
@@ -103,6 +117,8 @@ def candidates(text: str) -> list[Candidate]:
     quotes = quotations(text)
     first = regex.search(r"\p{L}", text)
     style = "l" if first and first.group().islower() else "u"
+    width, setting = _setting(text)
+    unmarked = None
     out = []
     q = 0
     inside_until = -1
@@ -115,7 +131,13 @@ def candidates(text: str) -> list[Candidate]:
             end, next_ = start, m.end()
             if next_ >= len(text) or not text[:end].strip():
                 continue
-            out.append(Candidate(end, next_, inside_until < start, _features(text, start, start, next_, "\n" if m["line"] is not None else "_", "", m.group(), inside_until >= end, style)))
+            quoted = inside_until >= end
+            if m["line"] is not None:
+                out.append(Candidate(end, next_, False, _line_features(text, start, end, next_, "", quoted, style, width, setting), True))
+                continue
+            if m["phrase"] is not None and unmarked is None:
+                unmarked = _MARK.search(text) is None
+            out.append(Candidate(end, next_, inside_until < start and (m["phrase"] is None or bool(unmarked)), _features(text, start, start, next_, "_", "", m.group(), quoted, style)))
             continue
         mark, close = m["mark"], m["close"]
         end = m.end("close")
@@ -128,10 +150,51 @@ def candidates(text: str) -> list[Candidate]:
             next_ += 1
         if next_ >= len(text):
             continue
-        out.append(Candidate(end, next_, "\n" in text[end:next_] and inside_until < end, _features(text, start, end, next_, mark, close, text[end:next_], inside_until >= end, style)))
+        quoted = inside_until >= end
+        space = text[end:next_]
+        if "\n" in space and _fits(text, end, next_, width):
+            out.append(Candidate(end, next_, False, _line_features(text, start, end, next_, mark, quoted, style, width, setting), True))
+        else:
+            # where a line is full its end is a space like any other
+            out.append(Candidate(end, next_, False, _features(text, start, end, next_, mark, close, space.replace("\n", " "), quoted, style)))
     return out
 
 
+def _setting(text: str) -> tuple[int, str]:
+    """The length of the longest line; how many lines, and what part of them, are too full for the word that follows, and whether
+    any line begins in lower case.
+
+    Nearly all lines of a wrapped text are full and many begin in lower case, but of a text with a sentence to a line only the
+    longest few are full.
+    """
+    if "\n" not in text:
+        return 0, ""
+    lines = [x.strip() for x in text.split("\n")]
+    lines = [x for x in lines if x]
+    width = max(map(len, lines), default=0)
+    full = sum(len(a) + 1 + len(_FIRST.match(b).group()) > width for a, b in pairwise(lines))
+    return width, f"{min(full, 3)}{4 * full // max(len(lines) - 1, 1)}{any(x[0].islower() for x in lines[1:]):d}"
+
+
+def _fits(text: str, end: int, next_: int, width: int) -> bool:
+    """Whether the first word of the next line would still have had room in this one, were lines wrapped at ``width``."""
+    word = _FIRST.match(text, next_)
+    return text.find("\n", end, next_) != text.rfind("\n", end, next_) or end - text.rfind("\n", 0, end) + len(word.group() if word else "") <= width
+
+
+def _line_features(text: str, start: int, end: int, next_: int, mark: str, quoted: bool, style: str, width: int, setting: str) -> list[str]:
+    """Features of a line end; all begin with ^ and meet no other features."""
+    before = _TOKEN.findall(text[max(0, start - 40) : start])[-1:]
+    after = _TOKEN.findall(text[next_ : next_ + 40])[:2]
+    b, n = (before[0] if before else ""), (after[0] if after else "")
+    blank = text.count("\n", end, next_) > 1
+    fits = "b" if blank else "f" if _fits(text, end, next_, width) else "w"
+    kind = "m" if mark else "p" if b and not b[0].isalnum() else "t"
+    shape, wide = _shape(n)[:1], min(width // 25, 6)
+    filled = 4 * (end - text.rfind("\n", 0, end) - 1) // max(width, 1)
+    return ["^" + x for x in (fits + setting, fits + setting + shape, fits + setting + kind + shape, setting[2:] + shape, fits + setting[2:] + shape, fits, "k" + kind, fits + kind, fits + shape, fits + shape + style, fits + str(wide), fits + str(wide) + shape, f"{fits}r{filled}", f"{fits}r{filled}{shape}", f"q{quoted}{fits}", "b" + _word(b) if kind == "p" else "", f"s{_script(b)}{fits}", f"{fits}{kind}{shape}{wide}")]
+
+
 def _features(text: str, start: int, end: int, next_: int, mark: str, close: str, space: str, quoted: bool, style: str) -> list[str]:
     """``style`` is l where the text itself begins in lower case, as transcripts without capitals do."""
     before = _TOKEN.findall(text[max(0, start - 40) : start])[-2:]
@@ -161,14 +224,20 @@ class BoundaryModel:
     weights: np.ndarray
     bias: float
     rate: float
+    line_bias: float = 0.0
 
-    def probabilities(self, rows: list[list[str]]) -> np.ndarray:
+    def probabilities(self, found: list[Candidate]) -> np.ndarray:
         """How likely each candidate is a true boundary."""
-        if not rows:
+        if not found:
             return np.zeros(0)
-        x = np.array([_hashed(r) for r in rows])
-        p = 1 / (1 + np.exp(-(self.weights[x].sum(axis=1) + self.bias)))
-        return np.minimum(p / self.rate, 1.0)
+        line = np.array([c.line for c in found])
+        out = np.zeros(len(found))
+        for own, bias, rate in ((False, self.bias, self.rate), (True, self.line_bias, 1.0)):
+            at = np.flatnonzero(line == own)
+            if len(at):
+                x = np.array([_hashed(found[i].features) for i in at.tolist()])
+                out[at] = np.minimum(1 / (1 + np.exp(-(self.weights[x].sum(axis=1) + bias))) / rate, 1.0)
+        return out
 
 
 def _regress(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int, l2: float = 3.0, step: float = 0.5) -> tuple[np.ndarray, float]:
@@ -211,10 +280,12 @@ def fit(segment_lists: list[list[str]], rounds: int = 60) -> BoundaryModel:
     for segments in segment_lists:
         text, begins = _joined([s for s in segments if s and s.strip()])
         for c in candidates(text):
-            rows.append(c.features)
-            known.append(int(c.next in begins))
+            if not c.line:
+                rows.append(c.features)
+                known.append(int(c.next in begins))
     if not rows or not any(known):
-        return BoundaryModel(np.zeros(DIMENSIONS), 10.0, 1.0)
+        return BoundaryModel(np.zeros(DIMENSIONS), 10.0, 1.0, 10.0)
+    w_line, line_bias = _fit_lines(segment_lists[:: max(1, len(segment_lists) // LINE_CASES)][:LINE_CASES], rounds)
     x, y = np.array([_hashed(r) for r in rows]), np.array(known, dtype=np.float64)
     w, bias = _regress(x, y, np.ones(len(y)), rounds)
     p = 1 / (1 + np.exp(-(w[x].sum(axis=1) + bias)))
@@ -225,13 +296,61 @@ def fit(segment_lists: list[list[str]], rounds: int = 60) -> BoundaryModel:
         target = np.where((y == 1) | (share > (UNLIKELY + LIKELY) / 2), 1.0, 0.0)
         w, bias = _regress(x[sure], target[sure], np.ones(int(sure.sum())), rounds)
         share = 1 / (1 + np.exp(-(w[x].sum(axis=1) + bias)))
-    return BoundaryModel(w, float(bias), 1.0)
+    return BoundaryModel(w + w_line, float(bias), 1.0, line_bias)
+
+
+def _wrapped(text: str, width: int) -> str:
+    """A text with line ends in place of the spaces at which its lines are full."""
+    lines, line = [], ""
+    for word in text.split():
+        if line and len(line) + 1 + len(word) > width:
+            lines.append(line)
+            line = word
+        else:
+            line = f"{line} {word}" if line else word
+    return "\n".join([*lines, line])
+
+
+def _set_in_lines(segments: list[str]) -> Iterator[tuple[str, set[int]]]:
+    """Texts whose line ends are known, and where a segment begins in them: one segment to a line with its marks or without, the
+    whole text wrapped, and wrapped segments."""
+    seed = zlib.crc32("".join(segments).encode("utf-8", "surrogatepass"))
+    width = 30 + seed % 71
+    bare = [s.rstrip(".!?…।。！？ ") or s for s in segments]
+    sets = [("\n", segments), ("\n", bare), ("\n\n" if seed % 3 == 0 else "\n", [_wrapped(s, width) for s in bare]), (" ", segments)]
+    for joint, parts in sets:
+        text, begins = "", set()
+        for s in parts:
+            if text:
+                text += joint
+                begins.add(len(text))
+            text += s
+        if joint == " ":
+            text, begins = _wrapped(text, width), set()
+        yield (text.lower() if seed % 4 == 0 else text), begins
+
+
+def _fit_lines(segment_lists: list[list[str]], rounds: int) -> tuple[np.ndarray, float]:
+    """Weights of line ends. A line end after a mark inside a segment is not known and left out."""
+    rows: list[list[str]] = []
+    known: list[int] = []
+    for segments in segment_lists:
+        own = [" ".join(s.split()) for s in segments if s and s.strip()]
+        if len(own) > 1:
+            for text, begins in _set_in_lines(own):
+                for c in candidates(text):
+                    if c.line and (c.next in begins or "^km" not in c.features):
+                        rows.append(c.features)
+                        known.append(int(c.next in begins))
+    if not any(known):
+        return np.zeros(DIMENSIONS), 10.0
+    return _regress(np.array([_hashed(r) for r in rows]), np.array(known, dtype=np.float64), np.ones(len(known)), rounds)
 
 
 def split(text: str, model: BoundaryModel) -> list[tuple[int, int]]:
     """(start, end) of each sentence of a text."""
     found = candidates(text)
-    p = model.probabilities([c.features for c in found])
+    p = model.probabilities(found)
     out, at = [], 0
     for c, s in zip(found, p.tolist(), strict=True):
         if c.sure or s >= 0.5:
@@ -260,11 +379,14 @@ def _cut(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def training_sample(cases: DataFrame, key: str, segments: str, most: int = SAMPLE_CASES) -> list[list[str]]:
-    """The segments of at most ``most`` transcripts, chosen by the hash of their key."""
-    rows = cases.select(F.col(key).alias("k"), F.col(segments).alias("s")).where(F.aggregate("s", F.lit(0), lambda n, t: n + F.coalesce(F.length(t), F.lit(0))) < 40_000)
-    rows = bounded(rows.select("k", "s", F.xxhash64("k").alias("h")), cases.count(), most)
-    return [list(r["s"]) for r in rows.orderBy("h", "k").limit(most).select("s").collect()]
+def training_sample(cases: DataFrame, key: str, segments: str, most: int = SAMPLE_CASES, chars: int = SAMPLE_CHARS) -> list[list[str]]:
+    """The segments of at most ``most`` transcripts and ``chars`` characters, chosen by the hash of their key."""
+    size = F.aggregate("s", F.lit(0), lambda n, t: n + F.coalesce(F.length(t), F.lit(0)))
+    rows = cases.select(F.col(key).alias("k"), F.col(segments).alias("s")).select("k", "s", size.alias("n"), F.xxhash64("k").alias("h")).where(F.col("n") < CASE_CHARS)
+    rows = bounded(rows, cases.count(), most).orderBy("h", "k").limit(most)
+    # the sample is bounded, so its running total may be worked out in one task
+    so_far = Window.orderBy("h", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return [list(r["s"]) for r in rows.withColumn("n", F.sum("n").over(so_far)).where(F.col("n") <= chars).select("s").collect()]
 
 
 def sentences(texts: DataFrame, model) -> DataFrame:

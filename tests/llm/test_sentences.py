@@ -77,3 +77,25 @@ def test_held_out_reference_and_transcript_agree(spark):
     held = cases[1::2]
     same = sum(len(S.split(c["r"], model)) == len(S.split(c["f"], model)) for c in held)
     assert same / len(held) > 0.95
+
+
+@pytest.fixture(scope="module")
+def project_model(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("needs the test tables")
+    cases = spark.read.parquet(f"{SF}/e2e_cases.parquet")
+    return S.fit(S.training_sample(cases, "case_id", "request.transcript.segments.text") + S.training_sample(spark.read.parquet(f"{SF}/benchmark_cases.parquet"), "case_id", "transcript.segments.text"))
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("This line is hard\nwrapped in the middle. And here is another one that\ngoes on for quite a while until it is\ndone. The end is near\nand then it came.", 3),
+    ("Анна пришла домой\nПётр ушёл рано утром и не вернулся\nОна ждала\nПотом уехали", 4),
+    ("هل جاء أحمد؟ نعم جاء. ثم ذهب۔ وانتهى", 4), ("គាត់ទៅផ្សារ។ នាងនៅផ្ទះ។", 2), ("እሱ መጣ። እሷ ሄደች።", 2), ("เขาไปตลาด เธออยู่บ้าน", 2),
+])
+def test_wrapped_lines_and_other_scripts(project_model, text, want):
+    assert len(S.split(text, project_model)) == want
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    df = spark.createDataFrame([(f"k{i}", ["x" * 50, None]) for i in range(20)], "k string, s array<string>")
+    assert len(S.training_sample(df, "k", "s", most=10)) == 10 and len(S.training_sample(df, "k", "s", chars=240)) == 4
