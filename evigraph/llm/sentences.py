@@ -311,9 +311,15 @@ def _wrapped(text: str, width: int) -> str:
     return "\n".join([*lines, line])
 
 
+def _broken(text: str) -> str:
+    """A text with line ends in place of some spaces, wherever the hash of the word after them says so."""
+    first, *rest = text.split()
+    return first + "".join(("\n" if zlib.crc32(w.encode("utf-8", "surrogatepass")) % 6 == 0 else " ") + w for w in rest)
+
+
 def _set_in_lines(segments: list[str]) -> Iterator[tuple[str, set[int]]]:
     """Texts whose line ends are known, and where a segment begins in them: one segment to a line with its marks or without, the
-    whole text wrapped, and wrapped segments."""
+    whole text wrapped or broken anywhere, and wrapped segments."""
     seed = zlib.crc32("".join(segments).encode("utf-8", "surrogatepass"))
     width = 30 + seed % 71
     bare = [s.rstrip(".!?…।。！？ ") or s for s in segments]
@@ -326,7 +332,8 @@ def _set_in_lines(segments: list[str]) -> Iterator[tuple[str, set[int]]]:
                 begins.add(len(text))
             text += s
         if joint == " ":
-            text, begins = _wrapped(text, width), set()
+            # now and then lines are broken anywhere
+            text, begins = _wrapped(text, width) if seed % 5 else _broken(text), set()
         yield (text.lower() if seed % 4 == 0 else text), begins
 
 
