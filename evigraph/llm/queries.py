@@ -41,6 +41,12 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.project_pieces(table, _codes(table))
 
 
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of a segment or paragraph that is in one language, with a confidence."""
+    table = _reader(spark, sf_dir)
+    return language.project_segments(table, _codes(table))
+
+
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every transcript and document, and how many languages it holds."""
     table = _reader(spark, sf_dir)
@@ -128,7 +134,7 @@ def p9_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_pieces(spark, sf_dir).groupBy("budget_id", "boundary").agg(F.count("*").alias("n_pieces"), F.avg("n_tokens").alias("mean_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_records, p3_found, p3_classes, p3_forms, p4_found, p4_profiles, p6_found, p6_lengths, p7_ids, p7_sizes, p8_containers, p8_fill, p9_pieces, p9_boundaries)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_segments, p1_records, p3_found, p3_classes, p3_forms, p4_found, p4_profiles, p6_found, p6_lengths, p7_ids, p7_sizes, p8_containers, p8_fill, p9_pieces, p9_boundaries)}
 
 def _form_sql(text: str) -> str:
     """The one form in SQL: invisible characters out, single characters mapped between two compositions, white space as one space."""

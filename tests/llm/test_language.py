@@ -33,7 +33,7 @@ def model(noise=0.2, n=120):
 
 def decide(m, texts):
     totals, n = L.Scorer(m).score(texts)
-    return L.decide(totals, n, m.codes)
+    return L.decide(totals, n, m)
 
 
 def test_wrong_labels_do_not_matter():
@@ -94,3 +94,34 @@ def test_held_out_documents(spark):
     held = [(lang, t) for lang, t in docs[1::2] if "\n\n" not in t]
     got, _ = decide(m, [t for _, t in held])
     assert sum(g == lang for g, (lang, _) in zip(got, held, strict=True)) / len(held) > 0.85
+
+
+@pytest.fixture(scope="module")
+def project(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("needs the test tables")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    codes = sorted(r[0] for r in spark.read.parquet(f"{SF}/language_codes.parquet").select("lang").collect())
+    return L.fit_labelled(L.training_sample(docs, codes), codes)
+
+
+@pytest.mark.parametrize("text", [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan.", "Tất cả mọi người sinh ra đều được tự do và bình đẳng.",
+    "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกัน", "Tous les êtres humains naissent libres et égaux en dignité.",
+])
+def test_a_language_outside_the_table_is_not_trusted(project, text):
+    assert decide(project, [text])[1][0] < 0.5
+
+
+def test_a_piece_that_changes_its_language_is_cut_there(project):
+    text = "Мой дед родился в деревне и всю жизнь работал в колхозе. My grandmother was born in the city and she worked at the post office."
+    scorer = L.Scorer(project)
+    parts = L.segments(text, scorer)
+    assert [project.codes[k] for _, _, k in parts] == ["ru", "en"] and text[parts[1][0] :].startswith("My") and parts[0][0] == 0 and parts[-1][1] == len(text)
+    assert L.changes([L.words_of(text), L.words_of(text[:56]), []], scorer) == [True, False, False]
+    assert L.segments("", scorer) == [] and L.segments("123", scorer) == []
+
+
+def test_confidence_is_borne_out(project):
+    rows_ = L.reliability(project, ["en", "ru", "en"], ["My grandfather came home", "Дед вернулся домой", "Atam üyge keldi"])
+    assert sum(n for _, n, _, _ in rows_) == 3 and all(0 <= r <= 1 for *_, r in rows_)
