@@ -7,7 +7,9 @@ schema to one tag.
 Defined results: a null, blank or invalid document gives no row; an object without an id gives no row and neither does
 anything below it; a collection may be a list, a single object, a map from id to object, or any of these as a JSON
 string; null collections and null members are skipped; ids that are not strings are written as JSON; a document that
-came twice gives each of its rows once.
+came twice gives each of its rows once. Nothing is lost: a collection that is no table where it stands stays in the payload of the
+object that holds it, objects of unknown wrappers are searched for tables like the known ones, and what else a record holds beside
+its tables is the payload of its one row of the table ``rest``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigraph.runtime import ship
+from evigraph.runtime import materialize, ship
 
 
 @dataclass(frozen=True)
@@ -67,6 +69,7 @@ TAGGED = T.StructType([T.StructField(n, T.StringType()) for n in ("source", "rec
 
 #: Schemas of the flat tables, over the payload; absent fields become null.
 SCHEMAS = {
+    "rest": "recording_id string, speaker_id string, speaker_name string, languages array<string>",
     "people_mentions": "mention_id string, name string, category string, relation_to_speaker string, confidence double, source_segment_ids array<string>, aliases array<string>",
     "name_variants": "variant_id string, surface string, variant_type string, source_segment_ids array<string>",
     "relationship_claims": "relationship_id string, relationship_type string, subject_mention_id string, object_mention_id string",
@@ -109,13 +112,17 @@ def _members(value: object, id_field: str) -> list[dict]:
     return []
 
 
+#: The table of what a record holds outside its tables; its id is that of the record.
+REST = "rest"
+
+
 def visit(document: object, record_id: str, layout: Layout, with_payload: bool = True) -> Iterator[tuple[str, str, str, str, str | None]]:
     """(entity, entity_id, parent_entity, parent_id, payload) of every object with an id, depth first."""
     tables = {(e.parent, e.name): e for e in layout.entities}
-    names = {e.name for e in layout.entities}
-    stack: list[tuple[object, str, str]] = [(document, "", record_id)]
+    stack: list[tuple[object, str, str, str]] = [(document, "", record_id, "")]
+    rest: dict[str, object] = {}
     while stack:
-        node, table, key = stack.pop()
+        node, table, key, place = stack.pop()
         if not isinstance(node, dict):
             continue
         below = []
@@ -129,14 +136,20 @@ def visit(document: object, record_id: str, layout: Layout, with_payload: bool =
                     id_ = id_ if isinstance(id_, str) else json.dumps(id_)
                     payload = None
                     if with_payload:
-                        payload = json.dumps({k: v for k, v in x.items() if k not in names}, ensure_ascii=False)
+                        payload = json.dumps({k: v for k, v in x.items() if (entity.name, k) not in tables}, ensure_ascii=False)
                     yield entity.name, id_, table or layout.root, key, payload
-                    below.append((x, entity.name, id_))
+                    below.append((x, entity.name, id_, ""))
             elif name in layout.wrappers:
                 if isinstance(value, str):
                     value = _loads(value)
-                below.append((value, table, key))
+                below.append((value, table, key, f"{place}{name}."))
+            elif not table and isinstance(value, dict):
+                below.append((value, table, key, f"{place}{name}."))
+            elif not table and with_payload:
+                rest[place + name] = value
         stack.extend(reversed(below))
+    if rest:
+        yield REST, record_id, layout.root, record_id, json.dumps(rest, ensure_ascii=False)
 
 
 def _emit(batches: Iterator[pa.RecordBatch], source: str, layout: Layout, with_payload: bool) -> Iterator[pa.RecordBatch]:
@@ -181,3 +194,8 @@ def project_records(read) -> DataFrame:
     a = flatten_records(read("benchmark_cases"), "benchmark_cases", "case_id", "raw_extraction", one)
     b = flatten_records(read("pipeline_results"), "pipeline_results", "recording_id", "payload", two)
     return a.unionByName(b)
+
+
+def stored(tagged: DataFrame) -> DataFrame:
+    """Tagged rows written by table to the shared folder and read again; a query of one table reads that table's files only."""
+    return materialize(tagged, by=["entity"])

@@ -29,12 +29,12 @@ def p2_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.project_records(lambda table: read(spark, sf_dir, table))
+    return nested.stored(nested.project_records(lambda table: read(spark, sf_dir, table)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every object with an id, its parent and its record."""
-    return _tagged(spark, sf_dir).select("source", "record_id", "entity", "entity_id", "parent_entity", "parent_id").distinct()
+    return _tagged(spark, sf_dir).where(F.col("entity") != nested.REST).select("source", "record_id", "entity", "entity_id", "parent_entity", "parent_id").distinct()
 
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,12 @@ def p5_people_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "record_id", "entity_id", "name", "category", "confidence", F.size(F.coalesce("aliases", F.array().cast("array<string>"))).alias("n_aliases"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_rings, p5_found, p5_tables, p5_people_mentions)}
+def p5_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the records hold outside their tables: how many of each source have anything."""
+    return _tagged(spark, sf_dir).where(F.col("entity") == nested.REST).groupBy("source").agg(F.countDistinct("record_id").alias("n_records"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_rings, p5_found, p5_tables, p5_people_mentions, p5_rest)}
 
 _EDGES = """
 edges AS (SELECT DISTINCT CASE WHEN object_role = 'parent' AND coalesce(subject_role, '') <> 'parent' THEN object_person_id ELSE subject_person_id END AS p,
@@ -110,5 +115,13 @@ def _tables_sql() -> str:
     return f"WITH {', '.join(ctes)}, found AS ({' UNION '.join(selects)})"
 
 
+def table_sql(*names: str) -> str:
+    """``_tables_sql`` as a list of common tables: w is each record, o_<table> has source, record_id, id and obj of each object."""
+    return _tables_sql().removeprefix("WITH ")
+
+
+_TEXTS = "CASE json_type(json_extract(obj, '$.aliases')) WHEN 'ARRAY' THEN len(json_extract(obj, '$.aliases[*]')) ELSE 0 END"
+ORACLES["p5_people_mentions"] = f"""{_tables_sql()} SELECT DISTINCT source, record_id, id AS entity_id, json_extract_string(obj, '$.name') AS name, json_extract_string(obj, '$.category') AS category,
+TRY_CAST(json_extract_string(obj, '$.confidence') AS DOUBLE) AS confidence, CAST({_TEXTS} AS INTEGER) AS n_aliases FROM o_people_mentions"""
 ORACLES["p5_found"] = f"{_tables_sql()} SELECT * FROM found"
 ORACLES["p5_tables"] = f"{_tables_sql()} SELECT source, entity, parent_entity, count(*) AS n_rows FROM found GROUP BY ALL"

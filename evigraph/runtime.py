@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -50,17 +51,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, **metrics: Column) -> DataFrame:
+def materialize(df: DataFrame, by: Sequence[str] = (), **metrics: Column) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage is cut and each row is computed once.
 
     Unlike a cached table the copy outlives the executors that made it. ``metrics`` are aggregates worked out while the rows
-    are written, without a job of their own; the result has them in ``metrics``.
+    are written, without a job of their own; the result has them in ``metrics``. The files are partitioned by the columns ``by``.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/evigraph/{uuid.uuid4().hex}"
     seen = Observation() if metrics else None
-    (df.observe(seen, *(c.alias(n) for n, c in metrics.items())) if seen else df).write.parquet(path)
+    (df.observe(seen, *(c.alias(n) for n, c in metrics.items())) if seen else df).write.parquet(path, partitionBy=list(by) or None)
     out = spark.read.schema(df.schema).parquet(path)
     out._evigraph_path = path
     out.metrics = seen.get if seen else {}

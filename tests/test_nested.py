@@ -45,3 +45,18 @@ def test_round_trip_through_partitioned_tables(spark, tmp_path):
     e = N.read_table(spark, str(tmp_path / "t"), "events").collect()
     assert len(e) == 1 and e[0]["title"] == "t" and e[0]["date"]["value"] == "1950" and e[0]["parent_id"] == "r"
     assert N.read_table(spark, str(tmp_path / "t"), "calls").count() == 0
+
+
+def test_nothing_is_lost(spark):
+    """Collections where they are no table, unknown wrappers, and what stands beside the tables."""
+    doc = {
+        "speaker": "x", "stories": [{"story_id": "s", "events": [{"event_id": "e"}], "passes": [{"pass_id": "p"}]}],
+        "unknown": {"deep": {"people_mentions": [{"mention_id": "m", "name": "n"}], "note": 1}}, "loose": [1, {"a": 2}],
+    }
+    got = list(N.visit(doc, "r", N.Layout("root", N.ENTITIES, N.WRAPPERS)))
+    by = {e: (i, p, k, json.loads(x)) for e, i, p, k, x in got}
+    assert set(by) == {"stories", "people_mentions", "rest"} and by["people_mentions"][:3] == ("m", "root", "r")
+    assert by["stories"][3] == doc["stories"][0] and by["rest"][3] == {"speaker": "x", "unknown.deep.note": 1, "loose": [1, {"a": 2}]}
+    df = spark.createDataFrame([("r", json.dumps(doc)), ("q", None)], "k string, d string")
+    stored = N.stored(N.flatten_records(df, "s", "k", "d", N.Layout("root", N.ENTITIES, N.WRAPPERS)))
+    assert rows(N.typed(stored, "people_mentions"), "entity_id", "name") == [("m", "n")] and stored.count() == 3
