@@ -87,3 +87,13 @@ ALIAS_CHARS = 32
 UNCERTAINTY_GUARDS = ("без сомнения", "без сомнений", "точно", "анық")
 GUARD_CHARS = 16
 REPORTED = ("сказал", "сказала", "сказали", "говорил", "говорила", "говорили", "утверждал", "утверждала", "утверждали", "айтты", "деді")
+
+# Patterns of the states of a relationship, in the order in which they are tried.
+FAMILY_WORDS = "(?:брат|сестра|отец|мать|муж|жена)"
+RELATIONSHIP_STATES = (
+    ("unresolved", (rf"не\s+не\s+{FAMILY_WORDS}",)),
+    ("figurative", (r"как\s+(?:родной\s+)?брат", r"как\s+(?:родная\s+)?сестра", "ағамдай", "бауырдай")),
+    ("negated", (r"никогда\s+не\s+были\s+женаты", r"не\s+является\s+(?:его\s+|её\s+|ее\s+)?(?:отцом|матерью)", rf"не\s+(?:мой|моя|его|её|ее|ей|ему)?\s*{FAMILY_WORDS}", r"(?:әкесі|анасы|ағасы|інісі|әпкесі|сіңлісі|күйеуі|әйелі)\s+емес", r"туыс\s+емес", r"ерлі[-\s]?зайыпты\s+емес")),
+    ("ended", ("развел(?:ись|ся|ась)", "вдов(?:а|ец|ы|цы)", "жесір", "ажыраст(?:ы|ық|ыңыз)", r"уже\s+не\s+женаты", r"больше\s+не\s+супруги", r"қазір\s+бірге\s+емес")),
+    ("former", ("бывш(?:ий|ая|ие|его|ей)", "бұрынғы", r"раньше\s+были\s+женаты", r"бұрын\s+ерлі[-\s]?зайыпты\s+болған")),
+)

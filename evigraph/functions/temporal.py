@@ -156,15 +156,7 @@ def occurs_in(expression: Column, evidence: Column) -> Column:
 def relationship_state(c: Column) -> Column:
     """current, former, ended, negated, figurative or unresolved, by what a text says of a relationship."""
     x = lowered(c)
-    family = "(?:брат|сестра|отец|мать|муж|жена)"
-    rules = (
-        ("unresolved", (rf"не\s+не\s+{family}",)),
-        ("figurative", (r"как\s+(?:родной\s+)?брат", r"как\s+(?:родная\s+)?сестра", "ағамдай", "бауырдай")),
-        ("negated", (r"никогда\s+не\s+были\s+женаты", r"не\s+является\s+(?:его\s+|её\s+|ее\s+)?(?:отцом|матерью)", rf"не\s+(?:мой|моя|его|её|ее|ей|ему)?\s*{family}", r"(?:әкесі|анасы|ағасы|інісі|әпкесі|сіңлісі|күйеуі|әйелі)\s+емес", r"туыс\s+емес", r"ерлі[-\s]?зайыпты\s+емес")),
-        ("ended", ("развел(?:ись|ся|ась)", "вдов(?:а|ец|ы|цы)", "жесір", "ажыраст(?:ы|ық|ыңыз)", r"уже\s+не\s+женаты", r"больше\s+не\s+супруги", r"қазір\s+бірге\s+емес")),
-        ("former", ("бывш(?:ий|ая|ие|его|ей)", "бұрынғы", r"раньше\s+были\s+женаты", r"бұрын\s+ерлі[-\s]?зайыпты\s+болған")),
-    )
     out = F.lit("current")
-    for name, patterns in reversed(rules):
+    for name, patterns in reversed(lexicon.RELATIONSHIP_STATES):
         out = F.when(x.rlike(_pattern(f"(?:{'|'.join(patterns)})")), name).otherwise(out)
     return F.when(c.isNull(), F.lit(None)).otherwise(out)

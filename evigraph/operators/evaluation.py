@@ -38,23 +38,32 @@ def micro(rows: DataFrame) -> DataFrame:
     return prf(rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))))
 
 
+#: Words of a text whose edits are counted; beyond it the counts of a cell would not fit their bits.
+MOST_WORDS = 1 << 20
+
+
 def edits(reference: Sequence, hypothesis: Sequence) -> tuple[int, int, int, int]:
     """(distance, substitutions, deletions, insertions), the least in this order among all alignments.
 
-    One row of the table at a time; the four counts are one number each, so the least tuple is the least number.
+    One row of the table at a time. The counts of a cell are one number of 63 bits, 21 for each of distance, substitutions and
+    deletions, so the least tuple is the least number; what insertions a cell takes from its left is a running minimum, so a row
+    is a few vector operations. Sequences are bounded by ``MOST_WORDS``.
     """
-    base = 1 << 20
-    sub, dele, ins = base**3 + base**2, base**3 + base, base**3 + 1
-    n = len(hypothesis)
-    row = np.array([j * ins for j in range(n + 1)], dtype=object)
-    for i, r in enumerate(reference, 1):
-        new = np.empty(n + 1, dtype=object)
+    if max(len(reference), len(hypothesis)) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words to compare")
+    sub, dele, ins = (1 << 42) + (1 << 21), (1 << 42) + 1, 1 << 42
+    number: dict = {}
+    a, b = (np.array([number.setdefault(w, len(number)) for w in x], dtype=np.int64) for x in (reference, hypothesis))
+    across = np.arange(len(b) + 1, dtype=np.int64) * ins
+    row = across.copy()
+    for i, r in enumerate(a, 1):
+        new = row + dele
         new[0] = i * dele
-        for j, h in enumerate(hypothesis, 1):
-            new[j] = min(row[j - 1] if r == h else row[j - 1] + sub, row[j] + dele, new[j - 1] + ins)
-        row = new
-    x = int(row[n])
-    return x // base**3, x // base**2 % base, x // base % base, x % base
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(b == r, 0, sub))
+        row = np.minimum.accumulate(new - across) + across
+    x = int(row[-1])
+    d, s, k = x >> 42, x >> 21 & (1 << 21) - 1, x & (1 << 21) - 1
+    return d, s, k, d - s - k
 
 
 EDITS = T.StructType([T.StructField(n, T.LongType()) for n in ("errors", "substitutions", "deletions", "insertions", "reference_size")])
@@ -133,8 +142,8 @@ def resolution_scores(actual: DataFrame, gold: DataFrame, by: str) -> DataFrame:
 
 def closure(objects: DataFrame, references: str, known: DataFrame, by: str) -> DataFrame:
     """For each ``by``: objects, and those that cite something and only what is known. ``known``: by and id."""
-    ids = known.groupBy(by).agg(F.collect_set("id").alias("_ids"))
-    j = objects.join(ids, by, "left")
-    refs = F.coalesce(F.col(references), F.array().cast("array<string>"))
-    closed = (F.size(refs) > 0) & (F.size(F.array_except(refs, F.coalesce("_ids", F.array().cast("array<string>")))) == 0)
-    return j.groupBy(by).agg(F.count(F.lit(1)).alias("n_objects"), F.sum(closed.cast("long")).alias("n_closed"))
+    one = objects.withColumn("_o", F.monotonically_increasing_id()).select(by, "_o", F.explode_outer(references).alias("id"))
+    have = known.select(by, "id").distinct().withColumn("_known", F.lit(True))
+    each = one.join(have, [by, "id"], "left").groupBy(by, "_o").agg(F.count("id").alias("n"), F.count("_known").alias("k"))
+    closed = (F.col("n") > 0) & (F.col("n") == F.col("k"))
+    return each.groupBy(by).agg(F.count(F.lit(1)).alias("n_objects"), F.sum(closed.cast("long")).alias("n_closed"))

@@ -113,7 +113,8 @@ def facets(profiles: DataFrame) -> DataFrame:
 
 
 def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One order-insensitive digest of a table: the number of rows and the sum of their hashes, in one partial aggregation."""
+    """One order-insensitive digest of a table: the number of rows and the sums of both halves of their 128-bit hashes."""
     text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
-    half = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return rows.select(half.alias("h")).agg(F.count("*").alias("n_rows"), F.sum("h").cast("bigint").alias("digest"))
+    half = lambda at: F.sum(F.conv(F.substring("h", at, 16), 16, 10).cast("decimal(20,0)"))
+    sums = rows.select(F.md5(text).alias("h")).agg(F.count("*").alias("n_rows"), half(1).alias("a"), half(17).alias("b"))
+    return sums.select("n_rows", F.concat_ws(":", F.coalesce(F.col("a").cast("string"), F.lit("0")), F.coalesce(F.col("b").cast("string"), F.lit("0"))).alias("digest"))

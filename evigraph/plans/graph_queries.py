@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import lexicon
 from evigraph.functions import text as X
-from evigraph.operators import contract, evaluation, evidence, ledger, resolution, speech, traces
+from evigraph.operators import contract, evaluation, evidence, ledger, nested, resolution, speech, traces
+from evigraph.plans.hierarchies import table_sql
 from evigraph.plans.text_queries import low, norm, sig
 from evigraph.runtime import read
 
@@ -36,6 +37,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offset_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extracted evidence of every transcript with its offsets, as claimed or recovered."""
+    e = nested.typed(nested.stored(nested.project_records(lambda t: read(spark, sf_dir, t))), "evidence_spans").where("source = 'benchmark_cases'")
+    c = e.select(F.col("record_id").alias("record"), F.col("entity_id").alias("evidence_id"), "segment_id", "text", "start_char", "end_char")
+    return evidence.recover_offsets(c, _segments(spark, sf_dir))
+
+
+def offset_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence cut from every segment, with right, missing and wrong offsets, and some of a segment that does not exist."""
     s = _segments(spark, sf_dir)
     n = F.col("seg_ord") % 4
@@ -392,7 +400,7 @@ def merged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        offset_recovery, evidence_occurrences, sliding_contexts, top_contexts, previous_context, nearest_after, unique_near, unknown_persons, weakest_assertion,
+        offset_recovery, offset_scenarios, evidence_occurrences, sliding_contexts, top_contexts, previous_context, nearest_after, unique_near, unknown_persons, weakest_assertion,
         mention_issues, edge_issues, segment_issues, first_wins, semantic_dedup, repeated_deliveries, result_coverage, recordings_with_results,
         graph_edges, conflict_pairs, alias_conflicts, claim_insert_absent, people_upsert, neighbour_context, profile_facets, replay_digest,
         name_candidates, resolver_status, graph_signals,
@@ -405,6 +413,7 @@ QUERIES = {
 _S = "s AS (SELECT record, g.segment_id AS segment_id, g.start AS start, g.\"end\" AS \"end\", g.text AS text, i - 1 AS seg_ord FROM (SELECT case_id AS record, unnest(transcript.segments) AS g, generate_subscripts(transcript.segments, 1) AS i FROM (SELECT case_id, any_value(transcript) AS transcript FROM benchmark_cases GROUP BY case_id)))"
 _M = "m AS (SELECT DISTINCT * FROM people_mentions)"
 _G = "e AS (SELECT DISTINCT * FROM family_graph_edges)"
+_PARENT = "CASE WHEN object_role = 'parent' AND coalesce(subject_role, '') <> 'parent' THEN object_person_id ELSE subject_person_id END"
 _EV = "ev AS (SELECT DISTINCT ON (event_id) * FROM processing_trace_events)"
 _KEY = rf"regexp_replace({low('name')}, '[^\p{{L}}\p{{N}}_]+', '', 'g')"
 
@@ -435,8 +444,8 @@ k AS (SELECT mention_id, count(*) AS n, sum(CASE WHEN verified THEN 1 ELSE 0 END
 res AS (SELECT mm.mention_id, CASE WHEN n IS NULL THEN 'new_person' WHEN nv <= 1 AND nc = 1 AND ns = 1 THEN 'resolved' ELSE 'needs_review' END AS status, CASE WHEN nv <= 1 AND nc = 1 AND ns = 1 THEN p END AS person_id, coalesce(n, 0) AS n_candidates FROM mm LEFT JOIN k USING (mention_id))"""
 _GRAPH = f"""{_G}, o AS (SELECT *, {{'p': coalesce(subject_person_id, ''), 'r': coalesce(subject_role, '')}} AS a, {{'p': coalesce(object_person_id, ''), 'r': coalesce(object_role, '')}} AS b FROM e),
 q AS (SELECT family_id, relationship_type, source_claim_ids, CASE WHEN relationship_type IN ('spouse', 'sibling') AND (b.p < a.p OR (b.p = a.p AND b.r < a.r)) THEN b ELSE a END AS s, CASE WHEN relationship_type IN ('spouse', 'sibling') AND (b.p < a.p OR (b.p = a.p AND b.r < a.r)) THEN a ELSE b END AS t FROM o),
-gr AS (SELECT family_id, relationship_type, s.p AS subject, s.r AS subject_role, t.p AS object, t.r AS object_role, unnest(source_claim_ids) AS claim FROM q WHERE s.p <> '' AND t.p <> ''),
-graph AS (SELECT family_id, relationship_type, subject, subject_role, object, object_role, count(DISTINCT claim) AS n_claims, array_to_string(list_sort(list(DISTINCT claim)), ',') AS claims FROM gr GROUP BY ALL)"""
+gr AS (SELECT family_id, relationship_type, s.p AS subject, s.r AS subject_role, t.p AS object, t.r AS object_role, unnest(CASE WHEN len(source_claim_ids) > 0 THEN source_claim_ids ELSE [NULL] END) AS claim FROM q WHERE s.p <> '' AND t.p <> ''),
+graph AS (SELECT family_id, relationship_type, subject, subject_role, object, object_role, count(DISTINCT claim) AS n_claims, coalesce(array_to_string(list_sort(list(DISTINCT claim) FILTER (claim IS NOT NULL)), ','), '') AS claims FROM gr GROUP BY ALL)"""
 _WORDS = f"cs AS (SELECT DISTINCT case_id, reference_text AS ref, request.transcript.full_text AS hyp FROM e2e_cases), a AS (SELECT case_id, w, count(*) AS a FROM (SELECT case_id, unnest({sig('hyp')}) AS w FROM cs WHERE ref IS NOT NULL AND hyp IS NOT NULL) GROUP BY 1, 2), b AS (SELECT case_id, w, count(*) AS b FROM (SELECT case_id, unnest({sig('ref')}) AS w FROM cs WHERE ref IS NOT NULL AND hyp IS NOT NULL) GROUP BY 1, 2), f AS (SELECT case_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b USING (case_id, w)), n AS (SELECT case_id, sum(least(a, b)) AS tp, sum(greatest(a - b, 0)) AS fp, sum(greatest(b - a, 0)) AS fn FROM f GROUP BY 1)"
 
 
@@ -447,14 +456,16 @@ def _prf(table: str, key: str = "") -> str:
 
 _TOTAL = "(SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM n)"
 
-ORACLES = {
-    "offset_recovery": f"""WITH {_S}, c AS (SELECT record, record || '-' || segment_id AS evidence_id, CASE WHEN seg_ord % 7 = 6 THEN 'seg_none' ELSE segment_id END AS segment_id, CASE WHEN seg_ord % 4 = 3 THEN substring(text, 1, 1) ELSE substring(text, 6, 12) END AS text,
-CASE WHEN seg_ord % 4 = 0 THEN 5 WHEN seg_ord % 4 = 1 THEN NULL ELSE 2 END AS a, CASE WHEN seg_ord % 4 = 0 THEN 17 WHEN seg_ord % 4 = 1 THEN NULL ELSE 14 END AS b FROM s WHERE length(text) > 20),
-j AS (SELECT c.*, s.text AS source, coalesce(substring(s.text, a + 1, length(c.text)) = c.text AND b - a = length(c.text), false) AS valid FROM c LEFT JOIN s USING (record, segment_id)),
+_RECOVERED = f"""j AS (SELECT c.*, s.text AS source, coalesce(substring(s.text, a + 1, length(c.text)) = c.text AND b - a = length(c.text), false) AS valid FROM c LEFT JOIN s USING (record, segment_id)),
 k AS (SELECT *, CASE WHEN source IS NULL OR valid THEN [] ELSE {_OCC} END AS f FROM j),
 l AS (SELECT *, CASE WHEN source IS NULL THEN 'unknown_segment' WHEN valid THEN 'already_valid' WHEN len(f) = 1 THEN 'recovered' WHEN len(f) > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM k),
 z AS (SELECT *, CASE WHEN status = 'already_valid' THEN a WHEN status = 'recovered' THEN f[1] - 1 END AS st FROM l)
-SELECT record, evidence_id, segment_id, status, CAST(st AS INTEGER) AS start_char, CAST(st + length(text) AS INTEGER) AS end_char FROM z""",
+SELECT record, evidence_id, segment_id, status, CAST(st AS INTEGER) AS start_char, CAST(st + length(text) AS INTEGER) AS end_char FROM z"""
+
+ORACLES = {
+    "offset_recovery": f"""WITH {table_sql()}, {_S}, c AS (SELECT DISTINCT record_id AS record, id AS evidence_id, json_extract_string(obj, '$.segment_id') AS segment_id, json_extract_string(obj, '$.text') AS text, TRY_CAST(json_extract_string(obj, '$.start_char') AS INTEGER) AS a, TRY_CAST(json_extract_string(obj, '$.end_char') AS INTEGER) AS b FROM o_evidence_spans WHERE source = 'benchmark_cases'), {_RECOVERED}""",
+    "offset_scenarios": f"""WITH {_S}, c AS (SELECT record, record || '-' || segment_id AS evidence_id, CASE WHEN seg_ord % 7 = 6 THEN 'seg_none' ELSE segment_id END AS segment_id, CASE WHEN seg_ord % 4 = 3 THEN substring(text, 1, 1) ELSE substring(text, 6, 12) END AS text,
+CASE WHEN seg_ord % 4 = 0 THEN 5 WHEN seg_ord % 4 = 1 THEN NULL ELSE 2 END AS a, CASE WHEN seg_ord % 4 = 0 THEN 17 WHEN seg_ord % 4 = 1 THEN NULL ELSE 14 END AS b FROM s WHERE length(text) > 20), {_RECOVERED}""",
     "evidence_occurrences": f"WITH {_S}, w AS (SELECT record, segment_id, text AS source, string_split(text, ' ')[2] AS text FROM s), o AS (SELECT *, {_OCC} AS f FROM w WHERE text IS NOT NULL AND text <> '') SELECT record, segment_id, CAST(len(f) AS BIGINT) AS n_occurrences, CAST(f[1] - 1 AS BIGINT) AS first_char FROM o",
     "sliding_contexts": f"WITH {_WINDOWS} SELECT record, CAST(seg_ord AS BIGINT) AS seg_ord, n, norm FROM y",
     "top_contexts": f"WITH {_WINDOWS} SELECT record, CAST(rank AS INTEGER) AS rank, n, text FROM (SELECT *, row_number() OVER (PARTITION BY record ORDER BY n, length(text), text, seg_ord) AS rank FROM y) WHERE rank <= {lexicon.TOP_CONTEXTS}",
@@ -472,15 +483,18 @@ SELECT record, evidence_id, segment_id, status, CAST(st AS INTEGER) AS start_cha
     "result_coverage": "SELECT CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'both' WHEN a IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS side, count(*) AS n FROM (SELECT DISTINCT recording_id AS a FROM recordings) FULL JOIN (SELECT DISTINCT recording_id AS b FROM pipeline_results) ON a = b GROUP BY 1",
     "recordings_with_results": "SELECT family_id, count(*) AS n_results, CAST(sum(coalesce(size, 0)) AS BIGINT) AS n_chars FROM (SELECT DISTINCT recording_id, family_id FROM recordings) JOIN (SELECT DISTINCT recording_id, length(payload) AS size FROM pipeline_results) USING (recording_id) GROUP BY 1",
     "graph_edges": f"WITH {_GRAPH} SELECT * FROM graph",
-    "conflict_pairs": f"WITH {_G} SELECT family_id, least(subject_person_id, object_person_id) AS first_id, greatest(subject_person_id, object_person_id) AS second_id, count(DISTINCT relationship_type) AS n_types, array_to_string(list_sort(list(DISTINCT relationship_type)), ',') AS types, count(DISTINCT edge_id) AS n_edges FROM e WHERE subject_person_id IS NOT NULL AND object_person_id IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT relationship_type) > 1",
+    "conflict_pairs": f"""WITH {_G}, r AS (SELECT *, {{'p': subject_person_id, 'r': coalesce(subject_role, relationship_type)}} AS a, {{'p': object_person_id, 'r': coalesce(object_role, relationship_type)}} AS b FROM e WHERE subject_person_id IS NOT NULL AND object_person_id IS NOT NULL),
+g AS (SELECT *, relationship_type || '|' || CASE WHEN relationship_type = 'parent_child' THEN {_PARENT} ELSE array_to_string(list_sort([a.p || chr(31) || a.r, b.p || chr(31) || b.r]), '|') END AS signature FROM r)
+SELECT family_id, least(subject_person_id, object_person_id) AS first_id, greatest(subject_person_id, object_person_id) AS second_id, count(DISTINCT relationship_type) AS n_types, array_to_string(list_sort(list(DISTINCT relationship_type)), ',') AS types, count(DISTINCT edge_id) AS n_edges FROM g GROUP BY 1, 2, 3 HAVING count(DISTINCT signature) > 1""",
     "alias_conflicts": f"WITH {_NAMES} SELECT family_id, {_KEY} AS key, count(DISTINCT person_id) AS n_people, array_to_string(list_sort(list(DISTINCT person_id)), ',') AS people FROM nm WHERE name IS NOT NULL AND {_KEY} <> '' GROUP BY 1, 2 HAVING count(DISTINCT person_id) > 1",
     "claim_insert_absent": f"WITH {_G}, c AS (SELECT *, 'claim_' || substr(sha256(concat_ws(chr(31), coalesce(family_id, ''), coalesce(relationship_type, ''), coalesce(subject_person_id, ''), coalesce(subject_role, ''), coalesce(object_person_id, ''), coalesce(object_role, ''))), 1, 32) AS claim_id FROM e) SELECT DISTINCT claim_id, relationship_type FROM c WHERE created_at >= TIMESTAMPTZ '2026-07-01 00:00:00+00' AND claim_id NOT IN (SELECT claim_id FROM c WHERE created_at < TIMESTAMPTZ '2026-07-01 00:00:00+00')",
     "people_upsert": f"WITH {_M}, k AS (SELECT *, {_KEY} AS key FROM m) SELECT family_id, key, arg_max(category, mention_id) AS category, array_to_string(list_sort(list_distinct(flatten(list(source_segment_ids)))), ',') AS segments FROM k WHERE key <> '' GROUP BY 1, 2",
-    "neighbour_context": f"""WITH {_G}, b AS (SELECT subject_person_id AS p, object_person_id AS o, relationship_type AS t, subject_role AS r FROM e WHERE subject_person_id IS NOT NULL AND object_person_id IS NOT NULL UNION ALL SELECT object_person_id, subject_person_id, relationship_type, object_role FROM e WHERE subject_person_id IS NOT NULL AND object_person_id IS NOT NULL),
-a AS (SELECT p, list_sort(list(DISTINCT o) FILTER (t = 'parent_child' AND r = 'child')) AS parents, list_sort(list(DISTINCT o) FILTER (t = 'parent_child' AND r = 'parent')) AS children, list_sort(list(DISTINCT o) FILTER (t = 'spouse')) AS spouses, list_sort(list(DISTINCT o) FILTER (t = 'sibling')) AS siblings FROM b GROUP BY 1)
+    "neighbour_context": f"""WITH {_G}, two AS (SELECT *, {_PARENT} AS parent FROM e WHERE subject_person_id IS NOT NULL AND object_person_id IS NOT NULL),
+b AS (SELECT subject_person_id AS p, object_person_id AS o, relationship_type AS t, parent FROM two UNION ALL SELECT object_person_id, subject_person_id, relationship_type, parent FROM two),
+a AS (SELECT p, list_sort(list(DISTINCT o) FILTER (t = 'parent_child' AND (parent = o))) AS parents, list_sort(list(DISTINCT o) FILTER (t = 'parent_child' AND (parent = p))) AS children, list_sort(list(DISTINCT o) FILTER (t = 'spouse')) AS spouses, list_sort(list(DISTINCT o) FILTER (t = 'sibling')) AS siblings FROM b GROUP BY 1)
 SELECT DISTINCT family_id, person.person_id AS person_id, coalesce(array_to_string(parents, ','), '') AS parents, coalesce(array_to_string(children, ','), '') AS children, coalesce(array_to_string(spouses, ','), '') AS spouses, coalesce(array_to_string(siblings, ','), '') AS siblings FROM known_profiles LEFT JOIN a ON p = person.person_id""",
     "profile_facets": f"WITH f AS (SELECT family_id, person.person_id AS person_id, 'canonical_name' AS predicate, person.canonical_name AS value FROM known_profiles UNION ALL SELECT family_id, person.person_id, 'category', person.category FROM known_profiles UNION ALL SELECT family_id, person.person_id, 'relation', person.relation_to_speaker FROM known_profiles UNION ALL SELECT family_id, person.person_id, 'generation', CAST(generation_relative_to_speaker AS VARCHAR) FROM known_profiles UNION ALL SELECT family_id, person.person_id, 'alias', unnest(person.aliases) FROM known_profiles) SELECT family_id, person_id, predicate, {norm('value')} AS value_key, min(value) AS value FROM f WHERE value IS NOT NULL AND trim(value) <> '' GROUP BY 1, 2, 3, 4",
-    "replay_digest": f"WITH {_GRAPH} SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), family_id, relationship_type, subject, object, claims)), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM graph",
+    "replay_digest": f"WITH {_GRAPH}, h AS (SELECT md5(concat_ws(chr(31), family_id, relationship_type, subject, object, claims)) AS h FROM graph) SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 16) AS UBIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 17, 16) AS UBIGINT)) AS VARCHAR) AS digest FROM h",
     "name_candidates": f"WITH {_CAND} SELECT mention_id, person_id, array_to_string(rules, ',') AS rules FROM c",
     "resolver_status": f"WITH {_RESOLVE} SELECT * FROM res",
     "graph_signals": f"WITH {_RESOLVE}, {_G}, seen AS (SELECT DISTINCT recording_id, person_id FROM res JOIN mm USING (mention_id) WHERE status = 'resolved' AND recording_id IS NOT NULL), ee AS (SELECT DISTINCT relationship_type, least(subject_person_id, object_person_id) AS a, greatest(subject_person_id, object_person_id) AS b FROM e WHERE subject_person_id IS NOT NULL AND object_person_id IS NOT NULL) SELECT s.recording_id, s.person_id, o.person_id AS neighbour_id, relationship_type FROM seen s JOIN ee ON a = s.person_id JOIN seen o ON o.recording_id = s.recording_id AND o.person_id = b",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import lexicon, temporal
 from evigraph.functions import text as X
+from evigraph.operators import nested
+from evigraph.plans.hierarchies import table_sql
 from evigraph.runtime import read
 
 
@@ -143,14 +145,26 @@ def relationship_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", temporal.relationship_state(F.col("e")).alias("state"))
 
 
+def segment_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every segment of a transcript says of the state of a relationship."""
+    c = read(spark, sf_dir, "benchmark_cases").select("case_id", F.explode("transcript.segments").alias("g")).where("g.text is not null")
+    return c.select("case_id", "g.segment_id", temporal.relationship_state(F.col("g.text")).alias("state")).distinct()
+
+
 def calendar_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ISO dates built of each event's numbers, and whether they are days of the calendar."""
+    """The dates of all extracted events, and whether they are days of the calendar."""
+    e = nested.typed(nested.stored(nested.project_records(lambda t: read(spark, sf_dir, t))), "events").where("date.value is not null")
+    return e.select("source", "record_id", "entity_id", F.col("date.value").alias("iso"), temporal.is_date(F.col("date.value")).alias("valid")).distinct()
+
+
+def calendar_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISO dates built of each trace event's numbers, most of them no days of the calendar."""
     e = read(spark, sf_dir, "processing_trace_events").dropDuplicates(["event_id"])
     iso = F.concat(F.lit("19"), F.lpad((F.coalesce("duration_ms", F.lit(0)) % 100).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("sequence") % 14).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.coalesce("duration_ms", F.lit(0)) % 35).cast("string"), 2, "0"))
     return e.select("event_id", iso.alias("iso")).select("event_id", "iso", temporal.is_date(F.col("iso")).alias("valid"))
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, script_buckets, kazakh_preference, phrase_containment, statement_split, significant_tokens, sensitivity_levels, factual_support, unsupported_statements, ordered_subsequence, stable_ids, relation_generations, uncertainty_markers, temporal_parse, temporal_expressions, relationship_states, calendar_check)}
+QUERIES = {f.__name__: f for f in (text_normalize, script_buckets, kazakh_preference, phrase_containment, statement_split, significant_tokens, sensitivity_levels, factual_support, unsupported_statements, ordered_subsequence, stable_ids, relation_generations, uncertainty_markers, temporal_parse, temporal_expressions, relationship_states, segment_states, calendar_check, calendar_numbers)}
 
 
 def _values(items: tuple[str, ...]) -> str:
@@ -203,16 +217,9 @@ def _rx(body: str) -> str:
     return f"{_E}{body}{_Z}"
 
 
-def _state_sql() -> str:
-    fam = "(?:брат|сестра|отец|мать|муж|жена)"
-    rules = (
-        ("unresolved", rf"не\s+не\s+{fam}"),
-        ("figurative", r"как\s+(?:родной\s+)?брат|как\s+(?:родная\s+)?сестра|ағамдай|бауырдай"),
-        ("negated", rf"никогда\s+не\s+были\s+женаты|не\s+является\s+(?:его\s+|её\s+|ее\s+)?(?:отцом|матерью)|не\s+(?:мой|моя|его|её|ее|ей|ему)?\s*{fam}|(?:әкесі|анасы|ағасы|інісі|әпкесі|сіңлісі|күйеуі|әйелі)\s+емес|туыс\s+емес"),
-        ("ended", r"развел(?:ись|ся|ась)|вдов(?:а|ец|ы|цы)|жесір|ажыраст(?:ы|ық|ыңыз)|уже\s+не\s+женаты|больше\s+не\s+супруги|қазір\s+бірге\s+емес"),
-        ("former", r"бывш(?:ий|ая|ие|его|ей)|бұрынғы|раньше\s+были\s+женаты"),
-    )
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower(e), '{_rx(f'(?:{p})')}') THEN '{n}'" for n, p in rules) + " ELSE 'current' END"
+def _state_sql(e: str = "e") -> str:
+    rules = [(name, "|".join(patterns)) for name, patterns in lexicon.RELATIONSHIP_STATES]
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({e}), '{_rx(f'(?:{p})')}') THEN '{n}'" for n, p in rules) + " ELSE 'current' END"
 
 
 def _parse_sql(x: str) -> dict[str, str]:
@@ -279,12 +286,15 @@ ORACLES = {
     "stable_ids": "SELECT DISTINCT recording_id, 'rec_' || substr(sha256(coalesce(family_id, '') || chr(31) || coalesce(speaker_name, '') || chr(31) || coalesce(content_type, '')), 1, 32) AS stable_id FROM recordings",
     "relation_generations": f"SELECT {'CASE ' + ' '.join(f'WHEN r IN ({chr(44).join(repr(w) for w in ws)}) THEN {g}' for g, ws in lexicon.GENERATIONS.items()) + ' END'} AS generation, count(*) AS n FROM (SELECT {norm('relation_to_speaker')} AS r FROM (SELECT DISTINCT mention_id, name, relation_to_speaker FROM people_mentions)) GROUP BY 1",
     "uncertainty_markers": "SELECT " + ", ".join(f"CAST(sum(CASE WHEN {' OR '.join(f'''contains(n, ' {p.replace('-', ' ')} ')''' for p in ps)} THEN 1 ELSE 0 END) AS BIGINT) AS {s}" for s, ps in lexicon.UNCERTAINTY.items()) + f" FROM (SELECT ' ' || {norm('text')} || ' ' AS n FROM ({_DOCS}))",
-    "temporal_parse": f"SELECT doc_id, pos, {_select(_parse_sql('s'))} FROM (SELECT doc_id, pos, {low('trim(s)')} AS s FROM ({_NUMBERED})) WHERE regexp_matches(s, '{_rx('(1[5-9][0-9]{2}|20[0-9]{2}|21[0-9]{2})')}') AND length(s) <= 300",
+    "temporal_parse": f"SELECT doc_id, pos, {_select(_parse_sql('s'))} FROM (SELECT doc_id, pos, {low('trim(s)')} AS s FROM ({_NUMBERED}))",
     "temporal_expressions": f"SELECT id, {_select(_parse_sql('s'))} FROM (SELECT id, lower(trim(e)) AS s FROM (VALUES {_values(EXPRESSIONS)}) v(id, e))",
     "relationship_states": f"SELECT id, {_state_sql()} AS state FROM (VALUES {_values(STATES)}) v(id, e)",
-    "calendar_check": "SELECT event_id, iso, try_strptime(iso, '%Y-%m-%d') IS NOT NULL AS valid FROM (SELECT DISTINCT event_id, '19' || lpad(CAST(coalesce(duration_ms, 0) % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(sequence % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(coalesce(duration_ms, 0) % 35 AS VARCHAR), 2, '0') AS iso FROM processing_trace_events)",
+    "segment_states": f"SELECT DISTINCT case_id, g.segment_id AS segment_id, {_state_sql('g.text')} AS state FROM (SELECT case_id, unnest(transcript.segments) AS g FROM benchmark_cases) WHERE g.text IS NOT NULL",
+    "calendar_numbers": "SELECT event_id, iso, try_strptime(iso, '%Y-%m-%d') IS NOT NULL AS valid FROM (SELECT DISTINCT event_id, '19' || lpad(CAST(coalesce(duration_ms, 0) % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(sequence % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(coalesce(duration_ms, 0) % 35 AS VARCHAR), 2, '0') AS iso FROM processing_trace_events)",
 }
 
+ORACLES["calendar_check"] = f"""WITH {table_sql()}, dates AS (SELECT DISTINCT source, record_id, id AS entity_id, json_extract_string(obj, '$.date.value') AS iso FROM o_events)
+SELECT *, coalesce(regexp_full_match(iso, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_strptime(iso, '%Y-%m-%d') IS NOT NULL, false) AS valid FROM dates WHERE iso IS NOT NULL"""
 _PAIRS = f"SELECT case_id, {stmts('ref')} AS ss, hyp FROM ({_CASES}) WHERE ref IS NOT NULL AND hyp IS NOT NULL"
 _NEG, _CAUSE = _list(lexicon.NEGATION), _list(lexicon.CAUSALITY)
 # the place reached in the needle after each word of the text, as a recursive query
