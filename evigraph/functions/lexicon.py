@@ -97,3 +97,7 @@ RELATIONSHIP_STATES = (
     ("ended", ("развел(?:ись|ся|ась)", "вдов(?:а|ец|ы|цы)", "жесір", "ажыраст(?:ы|ық|ыңыз)", r"уже\s+не\s+женаты", r"больше\s+не\s+супруги", r"қазір\s+бірге\s+емес")),
     ("former", ("бывш(?:ий|ая|ие|его|ей)", "бұрынғы", r"раньше\s+были\s+женаты", r"бұрын\s+ерлі[-\s]?зайыпты\s+болған")),
 )
+
+# Levels of sensitivity from the least, and states of a conflict.
+SENSITIVITY_LEVELS = ("normal", "personal", "sensitive", "highly_sensitive")
+CONFLICT_STATES = ("open", "resolved", "dismissed")

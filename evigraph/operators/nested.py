@@ -68,19 +68,22 @@ WRAPPERS = frozenset({"result", "extraction", "processing", "trace"})
 TAGGED = T.StructType([T.StructField(n, T.StringType()) for n in ("source", "record_id", "entity", "entity_id", "parent_entity", "parent_id", "payload")])
 
 #: Schemas of the flat tables, over the payload; absent fields become null.
+_UNCERTAIN = "uncertainty struct<status:string,markers:array<string>,evidence_ids:array<string>,source_segment_ids:array<string>>"
+_CLAIM = f"source_segment_ids array<string>, evidence_ids array<string>, evidence_class string, verification_status string, assertion_mode string, {_UNCERTAIN}, provenance struct<recording_id:string,narrator:string,generated_by_activity_id:string,evidence_ids:array<string>>, derived_from_claim_ids array<string>, conflict_ids array<string>"
+_DATE = "struct<value:string,kind:string,approximate:boolean,original_expression:string,normalized_value:string,anchor_event_id:string,source_evidence_ids:array<string>,verification_status:string>"
 SCHEMAS = {
     "rest": "recording_id string, speaker_id string, speaker_name string, languages array<string>",
-    "people_mentions": "mention_id string, name string, category string, relation_to_speaker string, confidence double, source_segment_ids array<string>, aliases array<string>",
-    "name_variants": "variant_id string, surface string, variant_type string, source_segment_ids array<string>",
-    "relationship_claims": "relationship_id string, relationship_type string, subject_mention_id string, object_mention_id string",
-    "evidence_spans": "evidence_id string, segment_id string, text string, source_layer string, evidence_class string, start_char int, end_char int, purposes array<string>",
-    "coreference_links": "coreference_id string, anaphor_text string, status string, source_segment_ids array<string>, candidate_mention_ids array<string>",
-    "conflict_sets": "conflict_id string, conflict_type string, status string",
+    "people_mentions": f"mention_id string, name string, category string, relation_to_speaker string, confidence double, aliases array<string>, {_CLAIM}",
+    "name_variants": "variant_id string, surface string, variant_type string, source_segment_ids array<string>, verification_status string",
+    "relationship_claims": f"relationship_id string, relationship_type string, relationship_state string, subject_mention_id string, object_mention_id string, state_evidence_ids array<string>, {_CLAIM}",
+    "evidence_spans": "evidence_id string, segment_id string, text string, source_layer string, evidence_class string, start_char int, end_char int, purposes array<string>, derived_from_evidence_ids array<string>",
+    "coreference_links": "coreference_id string, anaphor_text string, status string, source_segment_ids array<string>, candidate_mention_ids array<string>, antecedent_mention_ids array<string>, evidence_ids array<string>, verification_status string",
+    "conflict_sets": "conflict_id string, conflict_type string, status string, evidence_ids array<string>",
     "claim_refs": "object_id string, object_type string",
-    "events": "event_id string, event_type string, title string, location string, description string, participant_mention_ids array<string>, date struct<value:string,kind:string,approximate:boolean>",
-    "descriptions": "description_id string, person_mention_id string, description string",
-    "stories": "story_id string, title string, summary string, privacy string, person_mention_ids array<string>, event_ids array<string>",
-    "unresolved_questions": "question_id string, question string, reason string, related_mention_ids array<string>",
+    "events": f"event_id string, event_type string, title string, location string, description string, participant_mention_ids array<string>, date {_DATE}, {_CLAIM}",
+    "descriptions": f"description_id string, person_mention_id string, description string, perspective string, {_CLAIM}",
+    "stories": f"story_id string, title string, summary string, privacy string, sensitivity string, person_mention_ids array<string>, event_ids array<string>, {_CLAIM}",
+    "unresolved_questions": "question_id string, question string, reason string, related_mention_ids array<string>, source_segment_ids array<string>, evidence_ids array<string>",
     "resolutions": "mention_id string, status string, person_id string",
     "supporting_signals": "rule_id string, kind string, detail string",
     "passes": "pass_id string, name string, status string",

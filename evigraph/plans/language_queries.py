@@ -9,6 +9,7 @@ from evigraph.functions import kinship, lexicon
 from evigraph.functions import text as X
 from evigraph.functions.text import has_phrase, normalize
 from evigraph.operators import evidence, grounding, ledger, linguistics, nested, sanitize
+from evigraph.plans.hierarchies import table_sql
 from evigraph.plans.text_queries import norm, sig, stmts, words
 from evigraph.runtime import materialize, read
 
@@ -132,11 +133,23 @@ def provenance_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.activities(read(spark, sf_dir, "benchmark_cases"))
 
 
+#: The fields that make two objects of a kind the same, whatever their ids.
+SAME = {
+    "people_mentions": ["name"], "relationship_claims": ["relationship_type", "subject_mention_id", "object_mention_id"], "events": ["event_type", "description"], "descriptions": ["person_mention_id", "description"],
+    "stories": ["summary"], "unresolved_questions": ["question"], "evidence_spans": ["segment_id", "text"], "coreference_links": ["anaphor_text"],
+}
+
+
 def merged_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects of results once by their content, whatever recording stated them first: people by name, events by type and title."""
-    tagged = _tagged(spark, sf_dir).where(F.col("entity").isin("people_mentions", "events"))
-    rows = tagged.select(F.col("source").alias("record"), F.col("entity").alias("kind"), F.lit(0).alias("pass_order"), "payload")
-    return grounding.merge_passes(rows, {"people_mentions": ["name"], "events": ["event_type", "location"]}).groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_dropped").alias("n_dropped"))
+    """The objects of every record of both tables once by their content, and how many repetitions that drops.
+
+    Ids count up in the order of the passes that state them, so the first by id stands.
+    """
+    tagged = nested.stored(nested.project_records(lambda t: read(spark, sf_dir, t))).where(F.col("entity").isin(*SAME)).distinct()
+    order = F.coalesce(F.regexp_extract("entity_id", "([0-9]{1,9})$", 1).try_cast("int"), F.lit(0))
+    rows = tagged.select("record_id", F.col("entity").alias("kind"), order.alias("pass_order"), "payload").withColumnRenamed("record_id", "record")
+    out = grounding.merge_passes(rows, SAME)
+    return out.groupBy("kind").agg(F.count("*").alias("n"), F.sum("n_dropped").cast("bigint").alias("n_dropped"))
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +158,10 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanitized_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every extracted object, accepted or with its issue."""
-    tagged = materialize(_tagged(spark, sf_dir))
-    return sanitize.sanitize(tagged, sanitize.transcripts(read(spark, sf_dir, "benchmark_cases")))
+    """Every extracted object of both tables, accepted or with its issue."""
+    tagged = nested.stored(nested.project_records(lambda t: read(spark, sf_dir, t)))
+    texts = sanitize.transcripts(read(spark, sf_dir, "benchmark_cases")).unionByName(sanitize.payload_transcripts(tagged))
+    return sanitize.sanitize(tagged, materialize(texts))
 
 
 def sanitize_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +171,13 @@ def sanitize_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (lexical_annotations, name_occurrences, relationship_signals, anaphor_links, name_variants, correction_cues, anchor_bundle, description_support, title_support, temporal_conflicts, ordered_citations, named_pairs, mention_classes, claim_decisions, provenance_activities, merged_passes, open_statements, sanitized_objects, sanitize_issues)}
 
+_FIELD = lambda f: f"lower(trim(coalesce(json_extract_string(obj, '$.{f}'), '')))"
+_MERGED = " UNION ALL ".join(f"SELECT source, record_id, '{k}' AS kind, id, concat_ws(chr(31), {', '.join(map(_FIELD, fs))}) AS key, CAST(obj AS VARCHAR) AS o FROM o_{k}" for k, fs in SAME.items())
+
 ORACLES = {
+    "merged_passes": f"WITH {table_sql()}, every AS (SELECT DISTINCT * FROM ({_MERGED})), g AS (SELECT kind, record_id, key, count(*) - 1 AS n_dropped FROM every GROUP BY 1, 2, 3) SELECT kind, count(*) AS n, CAST(sum(n_dropped) AS BIGINT) AS n_dropped FROM g GROUP BY 1",
+    "temporal_conflicts": f"""WITH {table_sql()}, v AS (SELECT DISTINCT record_id AS record, id AS event_id, json_extract_string(obj, '$.event_type') AS event_type, array_to_string(list_sort(list_distinct(from_json(json_extract(obj, '$.participant_mention_ids'), '["VARCHAR"]'))), ',') AS people, json_extract_string(obj, '$.date.value') AS date FROM o_events)
+SELECT record, event_type, people, count(DISTINCT event_id) AS n_events, array_to_string(list_sort(list(DISTINCT date)), ',') AS dates FROM v WHERE event_type IN ('birth', 'death', 'wedding', 'move') AND date IS NOT NULL AND people <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT date) > 1""",
     "name_variants": f"""WITH m AS (SELECT DISTINCT ON (mention_id) family_id AS record, mention_id, name, aliases FROM people_mentions),
 v AS (SELECT record, mention_id, 0 AS pos, 'primary' AS variant_type, name AS surface FROM m UNION ALL SELECT record, mention_id, generate_subscripts(aliases, 1), 'explicit_alias', unnest(aliases) FROM m),
 n AS (SELECT *, {norm('surface')} AS norm FROM v WHERE surface IS NOT NULL)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,11 @@ def sessions(events: DataFrame, gap: str = "1 hour", delay: str = "7 days") -> D
 LAST = "job_id string, attempt int, n_events long, outcome string"
 
 
-def _fold_job(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The newest attempt of a job and its outcome over all batches."""
+def _fold_job(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
+    """The newest attempt of a job and its outcome over all batches; a job that is silent for ``keep_ms`` is forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     attempt, sequence, n, outcome = state.get if state.exists else (0, -1, 0, "")
     for f in frames:
         n += len(f)
@@ -49,12 +53,13 @@ def _fold_job(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
             if (a, s) >= (attempt, sequence):
                 attempt, sequence, outcome = int(a), int(s), o or ""
     state.update((attempt, sequence, n, outcome))
+    state.setTimeoutDuration(keep_ms)
     yield pd.DataFrame({"job_id": [key[0]], "attempt": [attempt], "n_events": [n], "outcome": [outcome]})
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """The running state of every job, in update mode, by custom state."""
-    return events.groupBy("job_id").applyInPandasWithState(_fold_job, LAST, "attempt int, sequence int, n long, outcome string", "update", GroupStateTimeout.NoTimeout)
+def job_states(events: DataFrame, keep_hours: float = 168.0) -> DataFrame:
+    """The running state of every job, in update mode, by custom state that goes ``keep_hours`` after a job's last event."""
+    return events.groupBy("job_id").applyInPandasWithState(partial(_fold_job, keep_ms=int(keep_hours * 3_600_000)), LAST, "attempt int, sequence int, n long, outcome string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _fs(spark: SparkSession, path: str):
