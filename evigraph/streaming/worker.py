@@ -42,24 +42,26 @@ LAST = "job_id string, attempt int, n_events long, outcome string"
 
 
 def _fold_job(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, keep_ms: int) -> Iterator[pd.DataFrame]:
-    """The newest attempt of a job and its outcome over all batches; a job that is silent for ``keep_ms`` is forgotten."""
+    """The newest attempt of a job and its outcome over all batches; a job without events for ``keep_ms`` of event time is forgotten."""
     if state.hasTimedOut:
         state.remove()
         return
     attempt, sequence, n, outcome = state.get if state.exists else (0, -1, 0, "")
+    newest = 0
     for f in frames:
         n += len(f)
+        newest = max([newest, *(int(t.timestamp() * 1000) for t in f["created_at"].dropna())])
         for a, s, o in sorted(zip(f["attempt"], f["sequence"], f["outcome"], strict=True), key=lambda x: (x[0], x[1])):
             if (a, s) >= (attempt, sequence):
                 attempt, sequence, outcome = int(a), int(s), o or ""
     state.update((attempt, sequence, n, outcome))
-    state.setTimeoutDuration(keep_ms)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
     yield pd.DataFrame({"job_id": [key[0]], "attempt": [attempt], "n_events": [n], "outcome": [outcome]})
 
 
-def job_states(events: DataFrame, keep_hours: float = 168.0) -> DataFrame:
-    """The running state of every job, in update mode, by custom state that goes ``keep_hours`` after a job's last event."""
-    return events.groupBy("job_id").applyInPandasWithState(partial(_fold_job, keep_ms=int(keep_hours * 3_600_000)), LAST, "attempt int, sequence int, n long, outcome string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+def job_states(events: DataFrame, keep_hours: float = 168.0, delay: str = "7 days") -> DataFrame:
+    """The running state of every job, in update mode, by custom state that goes ``keep_hours`` of event time after a job's last event."""
+    return events.withWatermark("created_at", delay).groupBy("job_id").applyInPandasWithState(partial(_fold_job, keep_ms=int(keep_hours * 3_600_000)), LAST, "attempt int, sequence int, n long, outcome string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def _fs(spark: SparkSession, path: str):
