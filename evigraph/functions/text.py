@@ -65,11 +65,12 @@ def statements(c: Column) -> Column:
 def occurrences(text: Column, part: Column) -> Column:
     """The places, from 0, at which ``part`` occurs in ``text``, overlaps included; empty where it does not fit.
 
-    The text is split before every occurrence, so the work grows with its length and not with its square.
+    The text is split before every occurrence, so the work grows with its length and not with its square; every piece but the
+    first begins with one.
     """
     quoted = F.concat(F.lit(r"(?=\Q"), F.replace(part, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
     pieces = F.split(text, quoted)
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.when(F.startswith(x, part), F.array_append(acc["found"], acc["at"])).otherwise(acc["found"]).alias("found"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.when((acc["at"] > 0) | F.startswith(text, part), F.array_append(acc["found"], acc["at"])).otherwise(acc["found"]).alias("found"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
     return F.when(F.length(part) > 0, F.aggregate(pieces, start, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<int>"))
 
